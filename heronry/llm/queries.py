@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces, toxicity
+from . import decontaminate, lines, pieces, toxicity
 
 #: The BPE model that op1 uses: HERONRY_PIECES, or the public model that is installed beside the tokenizers.
 PIECES = "piece_bpe_32k.model"
@@ -37,6 +37,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.cleaned(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
+
+
 #: Words as flat.spans() and flat.LOWER make them.
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
 
@@ -58,9 +62,25 @@ SELECT doc_id, item_id, n::INTEGER AS n_shared, total::INTEGER AS n_shingles, ro
 FROM top JOIN bn USING (item_id, n_words, size) WHERE n >= greatest(1, ceil({decontaminate.THRESHOLD} * total - 1e-9))
 """
 
+OP8 = f"""
+WITH line AS (SELECT doc_id, i - 1 AS i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+              FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM line),
+e AS (SELECT *, (h + {lines.FACTOR} * lag(h, 1, 0) OVER w + {lines.FACTOR**2} * lag(h, 2, 0) OVER w) % {lines.DIVISOR} = 0 AS is_last
+      FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, coalesce(sum(is_last::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e),
+chunk AS (SELECT doc_id, c, min(i) AS b, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, c),
+gone AS (SELECT doc_id, c FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, b) AS k FROM chunk WHERE n > 1) WHERE k > 1),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM c ANTI JOIN gone USING (doc_id, c) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       coalesce(len(string_split(d.text, chr(10))) - coalesce(k.n, 0), 0)::INTEGER AS lines_removed
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_decontaminate": op3_decontaminate,
     "op5_toxicity": op5_toxicity,
+    "op8_line_dedup": op8_line_dedup,
 }
-SQL: dict[str, str] = {"op3_decontaminate": OP3}
+SQL: dict[str, str] = {"op3_decontaminate": OP3, "op8_line_dedup": OP8}
