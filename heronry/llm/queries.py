@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, pieces, toxicity
+from . import decontaminate, lines, pieces, similar, toxicity
 
 #: The BPE model that op1 uses: HERONRY_PIECES, or the public model that is installed beside the tokenizers.
 PIECES = "piece_bpe_32k.model"
@@ -37,6 +37,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.pairs(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.cleaned(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
 
@@ -62,6 +66,17 @@ SELECT doc_id, item_id, n::INTEGER AS n_shared, total::INTEGER AS n_shingles, ro
 FROM top JOIN bn USING (item_id, n_words, size) WHERE n >= greatest(1, ceil({decontaminate.THRESHOLD} * total - 1e-9))
 """
 
+OP7 = f"""
+WITH d AS (SELECT doc_id, ws, least({similar.N}, len(ws)) AS size
+           FROM (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) WHERE len(ws) > 0),
+g AS (SELECT DISTINCT doc_id, size, array_to_string(ws[i:i + size - 1], ' ') AS g
+      FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS o FROM g x JOIN g y ON x.g = y.g AND x.size = y.size AND x.doc_id < y.doc_id GROUP BY ALL)
+SELECT doc_a, doc_b, round(o / (x.n + y.n - o), 6) AS jaccard FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
+WHERE o >= ceil({similar.THRESHOLD} * (x.n + y.n - o) - 1e-9)
+"""
+
 OP8 = f"""
 WITH line AS (SELECT doc_id, i - 1 AS i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
               FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
@@ -81,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_decontaminate": op3_decontaminate,
     "op5_toxicity": op5_toxicity,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_line_dedup": op8_line_dedup,
 }
-SQL: dict[str, str] = {"op3_decontaminate": OP3, "op8_line_dedup": OP8}
+SQL: dict[str, str] = {"op3_decontaminate": OP3, "op7_ngram_jaccard": OP7, "op8_line_dedup": OP8}
