@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, pieces, similar, toxicity
+from . import decontaminate, lines, pieces, repeats, similar, toxicity
 
 #: The BPE model that op1 uses: HERONRY_PIECES, or the public model that is installed beside the tokenizers.
 PIECES = "piece_bpe_32k.model"
@@ -29,6 +29,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.coded(table(spark, sf_dir, "documents"), pieces_path())
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.super_kmers(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,9 +49,24 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.cleaned(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.suffixes(table(spark, sf_dir, "documents"))
+
+
 #: Words as flat.spans() and flat.LOWER make them.
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
 
+OP2 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\t\n\x0b\x0c\r ]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT doc_id, i - 1 AS first_word, array_to_string(ws[i:i + {repeats.WINDOW} - 1], ' ') AS w
+      FROM (SELECT *, unnest(range(1, len(ws) - {repeats.WINDOW} + 2)) AS i FROM d)),
+r AS (SELECT w FROM w GROUP BY w HAVING min(doc_id) <> max(doc_id)),
+f AS (SELECT doc_id, first_word, first_word > lag(first_word, 1, -1000000) OVER (PARTITION BY doc_id ORDER BY first_word) + {repeats.WINDOW} AS is_new
+      FROM w SEMI JOIN r USING (w)),
+s AS (SELECT doc_id, first_word, sum(is_new::INT) OVER (PARTITION BY doc_id ORDER BY first_word) AS k FROM f)
+SELECT doc_id, min(first_word)::BIGINT AS first_word, (max(first_word) - min(first_word) + {repeats.WINDOW})::BIGINT AS n_words FROM s GROUP BY doc_id, k
+"""
+
 OP3 = f"""
 WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 b AS (SELECT item_id, ws, len(ws) AS n_words, least({decontaminate.N}, len(ws)) AS size
@@ -94,9 +113,11 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_line_dedup": op8_line_dedup,
+    "op9_suffix_array": op9_suffix_array,
 }
-SQL: dict[str, str] = {"op3_decontaminate": OP3, "op7_ngram_jaccard": OP7, "op8_line_dedup": OP8}
+SQL: dict[str, str] = {"op2_substring_dedup": OP2, "op3_decontaminate": OP3, "op7_ngram_jaccard": OP7, "op8_line_dedup": OP8, "op9_suffix_array": OP2}
