@@ -7,8 +7,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, lines, pieces, repeats, similar, toxicity
+from . import decontaminate, lines, pieces, quality, repeats, similar, toxicity, urls, warc
 
 #: The BPE model that op1 uses: HERONRY_PIECES, or the public model that is installed beside the tokenizers.
 PIECES = "piece_bpe_32k.model"
@@ -37,10 +38,20 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.through(table(spark, sf_dir, "pages"))
+    page = F.substring_index("record_id", ":", -1).cast("long").alias("page_id")
+    return rows.select(page, "record_id", "url", "chunk_no", "begin", "n_bytes", F.translate(F.base64("chunk"), "\r\n", "").alias("chunk"), "digest", "is_last", "is_valid")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.kept(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.pairs(table(spark, sf_dir, "documents"))
 
@@ -53,6 +64,10 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.suffixes(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.kept(table(spark, sf_dir, "pages"))
+
+
 #: Words as flat.spans() and flat.LOWER make them.
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
 
@@ -85,6 +100,16 @@ SELECT doc_id, item_id, n::INTEGER AS n_shared, total::INTEGER AS n_shingles, ro
 FROM top JOIN bn USING (item_id, n_words, size) WHERE n >= greatest(1, ceil({decontaminate.THRESHOLD} * total - 1e-9))
 """
 
+OP4 = f"""
+WITH p AS (SELECT page_id, url, html, unnest(range(0, greatest(1, (strlen(html) + {warc.CHUNK} - 1) // {warc.CHUNK}))) AS k FROM pages WHERE html IS NOT NULL),
+x AS (SELECT page_id, url, k, strlen(html) AS size, hex(encode(html)) AS h FROM p)
+SELECT page_id, 'urn:page:' || page_id AS record_id, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS url, k::INTEGER AS chunk_no, (k * {warc.CHUNK})::BIGINT AS "begin",
+       least({warc.CHUNK}, size - k * {warc.CHUNK})::INTEGER AS n_bytes, base64(unhex(substr(h, k * {2 * warc.CHUNK} + 1, {2 * warc.CHUNK}))) AS chunk,
+       sha256(unhex(substr(h, 1, (k + 1) * {2 * warc.CHUNK}))) AS digest, (k + 1) * {warc.CHUNK} >= size AS is_last,
+       CASE WHEN (k + 1) * {warc.CHUNK} >= size THEN true END AS is_valid
+FROM x
+"""
+
 OP7 = f"""
 WITH d AS (SELECT doc_id, ws, least({similar.N}, len(ws)) AS size
            FROM (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) WHERE len(ws) > 0),
@@ -115,9 +140,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
+    "op6_quality_forest": op6_quality_forest,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_array": op9_suffix_array,
+    "op10_url_filter": op10_url_filter,
 }
-SQL: dict[str, str] = {"op2_substring_dedup": OP2, "op3_decontaminate": OP3, "op7_ngram_jaccard": OP7, "op8_line_dedup": OP8, "op9_suffix_array": OP2}
+SQL: dict[str, str] = {"op2_substring_dedup": OP2, "op3_decontaminate": OP3, "op4_warc": OP4, "op7_ngram_jaccard": OP7, "op8_line_dedup": OP8, "op9_suffix_array": OP2}
