@@ -1 +1 @@
-
+"""Retrieval operators on DataFrames."""

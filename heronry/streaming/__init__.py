@@ -1 +1 @@
-
+"""Streams of documents."""
