@@ -31,7 +31,7 @@ _powers = [np.ones(1, U), np.ones(1, U)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and BASE ** -i modulo 2 ** 64, for i below n."""
     if len(_powers[0]) < n:
-        size = max(n, SLICE + (SLICE >> 2))
+        size = max(n, SLICE)
         for k, base in enumerate((BASE, INVERSE)):
             table = np.full(size, base, U)
             table[0] = 1
@@ -90,10 +90,38 @@ def spans(data: np.ndarray, offs: np.ndarray, table: np.ndarray = LETTER) -> tup
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
     """64-bit hash of each span of the bytes."""
+    if len(data) <= 2 * SLICE:
+        return mix(_raw(data, starts, ends, fold) + (ends - starts).astype(U))
+    # by parts, so that the tables of powers stay small
+    out = np.empty(len(starts), U)
+    long = ends - starts > SLICE
+    for i in np.flatnonzero(long).tolist():
+        out[i] = _long(data[starts[i] : ends[i]], fold)
+    order = np.flatnonzero(~long)
+    order = order[np.argsort(starts[order], kind="stable")]
+    begin = starts[order]
+    i = 0
+    while i < len(order):
+        j = int(np.searchsorted(begin, begin[i] + SLICE, "left"))
+        own, base = order[i:j], begin[i]
+        out[own] = _raw(data[base : base + 2 * SLICE], starts[own] - base, ends[own] - base, fold)
+        i = j
+    return mix(out + (ends - starts).astype(U))
+
+
+def _raw(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray) -> np.ndarray:
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, U)
     np.cumsum((fold[data].astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
+def _long(data: np.ndarray, fold: np.ndarray) -> int:
+    total, mask = 0, (1 << 64) - 1
+    for a in range(0, len(data), SLICE):
+        part = data[a : a + SLICE]
+        total += int(_raw(part, np.array([0]), np.array([len(part)]), fold)[0]) * pow(int(BASE), a, 1 << 64)
+    return total & mask
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:

@@ -239,7 +239,7 @@ class Model:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offs) - 1, np.int64)
         ends = np.append(starts[1:], len(data))
-        h = np.concatenate([flat.hashes(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i], flat.SAME) for i, j in _pieces(starts, ends)])
+        h = flat.hashes(data, starts, ends, flat.SAME)
         _, first, which = np.unique(h, return_index=True, return_inverse=True)
         size = ends - starts
         like = first[which]
@@ -316,15 +316,6 @@ class Model:
             return pa.array([whole[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at, at[1:])], pa.large_string())
 
 
-def _pieces(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Consecutive parts of about SLICE bytes together."""
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + flat.SLICE, "right")))
-        yield i, j
-        i = j
-
-
 _models: dict[bytes, Model] = {}
 
 

@@ -123,7 +123,7 @@ def _joined(pages: DataFrame, counts: DataFrame) -> DataFrame:
     follow = counts.groupBy(up.alias("context")).agg(*(x for s in ("good", "bad") for x in (F.sum(s).alias(f"n_{s}"), F.sum((F.col(s) > 0).cast("long")).alias(f"t_{s}"))))
     each = pages.select("url").distinct().mapInArrow(_each, "url string, place long, k long, gram long, context long")
     full = each.join(counts, "gram", "left").join(follow, "context", "left").fillna(0)
-    steps = F.array_sort(F.collect_list(F.struct("k", *(x for s in ("good", "bad") for x in (F.col(s).cast("double").alias(s), F.col(f"n_{s}").cast("double"), F.col(f"t_{s}").cast("double"))))))
+    steps = F.array_sort(F.collect_list(F.struct("k", *(x for s in ("good", "bad") for x in (F.col(s).cast("double").alias(s), F.col(f"n_{s}").cast("double").alias(f"n_{s}"), F.col(f"t_{s}").cast("double").alias(f"t_{s}"))))))
 
     def chance(side: str) -> Column:
         step = lambda p, x: F.when(x[f"n_{side}"] > 0, (x[side] + x[f"t_{side}"] * p) / (x[f"n_{side}"] + x[f"t_{side}"])).otherwise(p)
