@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import joined, written
+from .shared import BROADCAST_BYTES, written
 
 WINDOW, GRAM = 50, 8
 #: Words of the stretches that make a bucket, and suffixes sampled for each splitter.
-BUCKET, SAMPLES = 1 << 21, 32
+BUCKET, SAMPLES = 1 << 20, 32
 _STRETCH = "doc_id long, mark long, start long, n int, lead int, key long"
 
 
@@ -100,10 +100,8 @@ def _packed(window: int, route: Callable[[list[bytes], np.ndarray], np.ndarray])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = flat.buffers(batch.column(2))
-            lists = batch.column(3)
-            cut = lists.offsets.to_numpy()
-            flat_list = lists.values
-            listed = {k: flat_list.field(k).to_numpy() for k in ("start", "n", "lead", "key")}
+            cut = batch.column(3).offsets.to_numpy()
+            listed = {k: batch.column(i).values.to_numpy() for i, k in enumerate(("start", "n", "lead", "key"), 3)}
             for row, end, part, at in flat.slices(data, offs):
                 starts, ends, bounds = flat.spans(part, at, flat.DARK)
                 own = slice(cut[row], cut[end])
@@ -130,7 +128,7 @@ def _packed(window: int, route: Callable[[list[bytes], np.ndarray], np.ndarray])
 
 def ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Numbers of words by their bytes in lexical order, equal for equal bytes alone."""
-    h = flat.hashes(data, starts, ends, flat.SAME) if len(data) < 8 * flat.SLICE else np.concatenate([flat.hashes(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i], flat.SAME) for i, j in _parts(starts, ends)])
+    h = flat.hashes(data, starts, ends, flat.SAME)
     _, first, which = np.unique(h, return_index=True, return_inverse=True)
     size, like = ends - starts, first[which]
     words = [data[a:b].tobytes() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
@@ -143,14 +141,6 @@ def ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return rank[which]
 
 
-def _parts(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + flat.SLICE, "right")))
-        yield i, j
-        i = j
-
-
 def classes(hashed: np.ndarray, word: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, class numbers in that order) of spans of `size` words from places `at` on that are equal, and equal in `hashed`, by sorting."""
     order = np.argsort(hashed, kind="stable")
@@ -289,8 +279,11 @@ def _listed(docs: DataFrame, window: int, gram: int, places: bool) -> tuple[Data
 
 
 def _texts(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    lists = kept.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n", "lead", "key")).alias("list"))
-    return joined(rows, lists, ["doc_id", "mark"], "inner", 400).select("doc_id", "mark", "text", "list")
+    names = ("start", "n", "lead", "key")
+    lists = kept.groupBy("doc_id", "mark").agg(*(F.collect_list(k).alias(k) for k in names))
+    size = lists.count() * 160 + kept.count() * 24
+    lists = F.broadcast(lists) if size <= BROADCAST_BYTES else lists
+    return rows.join(lists, ["doc_id", "mark"]).select("doc_id", "mark", "text", *names)
 
 
 _PACKED = "bucket long, doc_id long, mark long, start long, n int, lead int, body binary"
