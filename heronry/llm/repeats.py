@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import BROADCAST_BYTES, written
+from .shared import written
 
 WINDOW, GRAM = 50, 8
 #: Words of the stretches that make a bucket, and suffixes sampled for each splitter.
@@ -281,8 +281,7 @@ def _listed(docs: DataFrame, window: int, gram: int, places: bool) -> tuple[Data
 def _texts(rows: DataFrame, kept: DataFrame) -> DataFrame:
     names = ("start", "n", "lead", "key")
     lists = kept.groupBy("doc_id", "mark").agg(*(F.collect_list(k).alias(k) for k in names))
-    size = lists.count() * 160 + kept.count() * 24
-    lists = F.broadcast(lists) if size <= BROADCAST_BYTES else lists
+    # the lists grow with the texts: both sides are shuffled at every size
     return rows.join(lists, ["doc_id", "mark"]).select("doc_id", "mark", "text", *names)
 
 
