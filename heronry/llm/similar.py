@@ -4,7 +4,7 @@ Documents with the same set count as one. n-grams are ordered by frequency class
 then the others by how many sets hold them). Of a set of k, two similar sets share at least l of the first
 k - ceil(THRESHOLD * k) + l in each (the l-prefix). Each set takes the l for which its estimated candidate cost is least, a
 pair the larger l of its two. Prefix n-grams travel packed to the bucket of their hash, where the sets that share them are
-paired; pairs that share l are verified on whole sets.
+paired; pairs that share l are verified on whole sets, those around the same set together.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from .shared import joined, written
 N, THRESHOLD = 3, 0.55
 #: An n-gram is frequent if it is in one set of RARE, and in LEAST_FREQUENT at least.
 RARE, LEAST_FREQUENT = 1000, 64
-#: Largest l, cost of a verification in posting comparisons for each n-gram of the set, n-grams of a counted block, postings of a bucket.
-MOST_SHARED, VERIFY, BLOCK, BUCKET = 4, 0.1, 4 << 20, 2 << 20
+#: Largest l, cost of a verification in posting comparisons for each n-gram of the set.
+MOST_SHARED, VERIFY = 64, 0.1
+#: n-grams of a counted block, postings of a bucket, n-grams of the sets that are verified together.
+BLOCK, BUCKET, TOGETHER = 4 << 20, 3 << 19, 1 << 20
 SECOND = flat.U(0xE7037ED1A0B428DB)
 
 
@@ -112,10 +114,9 @@ def ordered(own: np.ndarray, keys: np.ndarray, times: np.ndarray) -> tuple[np.nd
 
 def chosen(df: np.ndarray, prefix: int) -> int:
     """The l whose l-prefix costs least: its postings, and at most their number / l candidates to verify."""
-    cost = np.cumsum(df)
     most = min(MOST_SHARED, len(df) - prefix + 1)
-    total = [float(cost[prefix + k - 2]) * (1 + VERIFY * len(df) / k) for k in range(1, most + 1)]
-    return int(np.argmin(total)) + 1
+    cost = np.cumsum(df[: prefix + most - 1])[prefix - 1 :]
+    return int(np.argmin(cost * (1 + VERIFY * len(df) / np.arange(1, most + 1)))) + 1
 
 
 def _postings(n: int, threshold: float, keys: np.ndarray, times: np.ndarray, buckets: int):
@@ -157,7 +158,7 @@ def _postings(n: int, threshold: float, keys: np.ndarray, times: np.ndarray, buc
     return run
 
 
-def _couples(sizes: np.ndarray, heads: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _couples(sizes: np.ndarray, heads: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of all pairs within each run, about `most` at a time."""
     for m in np.unique(sizes).tolist():
         own = heads[sizes == m]
@@ -186,6 +187,7 @@ def _paired(threshold: float):
         size, ell = np.concatenate(parts["sizes"])[which].astype(np.int64), np.concatenate(parts["ells"])[which]
         doc = back[np.concatenate([x + o for x, o in zip(parts["docs"], base)])]
         gram, extra = np.concatenate(parts["grams"]), np.concatenate(parts["extra"])
+        parts.clear()
         order = np.argsort(gram)
         new = np.ones(len(order), bool)
         new[1:] = gram[order][1:] != gram[order][:-1]
@@ -202,6 +204,7 @@ def _paired(threshold: float):
         heads = np.flatnonzero(np.diff(run_no, prepend=-1))
         lens = np.diff(np.append(heads, len(order)))
         own, most = doc[order], extra[order]
+        del gram, extra, doc, order, inner, new, many, same, run_no
         keys, counts, pending = [], [], 0
 
         def fold() -> None:
@@ -217,7 +220,7 @@ def _paired(threshold: float):
             keys.append(x[ok].astype(np.int64) << 32 | y[ok])
             counts.append(np.ones(int(ok.sum()), np.int64))
             pending += len(keys[-1])
-            if pending > 4 << 20:
+            if pending > 1 << 20:
                 fold()
                 pending = 0
         if keys:
@@ -290,8 +293,14 @@ class Join:
         root = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
         of = lambda side: root.select(F.col("a").alias(side), F.col("root").alias(f"root_{side}"))
         keyed = met.join(of("a"), "a").join(of("b"), "b")
-        many = max(1, math.ceil(root.count() / 1500))
-        keyed = written(keyed.select("a", "b", F.pmod(F.hash(F.least("root_a", "root_b")), F.lit(many)).alias("part")), "keyed")
+        keyed = written(keyed.select("a", "b", F.least("root_a", "root_b").alias("root")), "keyed")
+        ends = keyed.select("root", F.col("a").alias("sid")).unionAll(keyed.select("root", F.col("b").alias("sid"))).distinct()
+        weights = written(ends.join(self.kept.select("sid", "size"), "sid").groupBy("root").agg(F.sum("size").alias("weight")), "weights")
+        many = max(1, math.ceil((weights.agg(F.sum("weight")).first()[0] or 0) / TOGETHER))
+        large = weights.where(F.col("weight") > TOGETHER).select("root", F.ceil(F.col("weight") * 2 / TOGETHER).cast("int").alias("cells"))
+        # pairs of a root with many sets are spread over a square of cells
+        cell = F.xxhash64("root", F.pmod(F.xxhash64("a"), F.col("cells")), F.pmod(F.xxhash64("b", F.lit(1)), F.col("cells")))
+        keyed = written(joined(keyed, large, ["root"], "left").select("a", "b", F.when(F.col("cells").isNotNull(), cell).otherwise(F.pmod(F.xxhash64("root"), F.lit(many))).alias("part")), "parts")
         sides = keyed.select("part", F.col("a").alias("sid")).unionAll(keyed.select("part", F.col("b").alias("sid"))).distinct()
         places = sides.join(self.kept.select("sid", "doc_id", "mark"), "sid")
         texts = joined(rows, written(places, "places"), ["doc_id", "mark"], "inner", 40).select("part", "sid", "text")
