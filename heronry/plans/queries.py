@@ -177,7 +177,7 @@ def rrf_hybrid(spark, sf_dir):
 
 def adaptive_weight(spark, sf_dir):
     asked, vector, keyword = _two_sides(spark, sf_dir)
-    base = asked.select("query_id", fusion.vector_weight(signals("query")).alias("weight"))
+    base = asked.withColumn("s", signals("query")).select("query_id", fusion.vector_weight(F.col("s")).alias("weight"))
     out = fusion.adaptive_weights(base, vector, keyword)
     return out.select("query_id", F.round("weight", 4).alias("weight"))
 
@@ -263,9 +263,9 @@ def ndcg_mrr_recall(spark, sf_dir):
 
 def eval_by_group(spark, sf_dir):
     scores = metrics.per_query(*_judged(spark, sf_dir), k=TOP)
-    asked = _asked(spark, sf_dir)
-    size = F.size(text.words("query"))
-    facts = asked.select("query_id", F.when(size > 40, "long").when(size > 25, "middle").alias("category"), decide(signals("query"))["strategy"].alias("strategy"))
+    asked = _asked(spark, sf_dir).withColumn("s", signals("query"))
+    size = F.col("s.word_count")
+    facts = asked.select("query_id", F.when(size > 40, "long").when(size > 25, "middle").alias("category"), decide(F.col("s"))["strategy"].alias("strategy"))
     out = metrics.grouped(scores, facts)
     return out.select("level", "name", F.col("n").cast("long").alias("n"), *(F.round(c, 5).alias(c) for c in ("ndcg", "mrr", "recall")))
 

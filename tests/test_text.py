@@ -33,7 +33,7 @@ def test_tokenize_advanced(spark):
 
 @pytest.mark.parametrize(
     ("value", "parts"),
-    [("Dr. Who is in. He waits.", ["Dr. Who is in.", "He waits."]), ("J. Doe came. (Why?) Yes!", ["J. Doe came.", "(Why?)", "Yes!"]), ("one\ntwo\n\n three ", ["one", "two", "three"]), ("", []), ("e.g. This. That", ["e.g. This.", "That"])],
+    [("Dr. Who is in. He waits.", ["Dr. Who is in.", "He waits."]), ("J. Doe came. (Why?) Yes!", ["J. Doe came.", "(Why?) Yes!"]), ("one\ntwo\n\n three ", ["one", "two", "three"]), ("", []), ("e.g. This. That", ["e.g. This.", "That"])],
 )
 def test_sentences(spark, value, parts):
     assert one(spark, value, text.split_sentences) == parts
