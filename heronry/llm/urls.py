@@ -1,11 +1,13 @@
 """URL filters: two character models, of accepted and of rejected URLs, and the difference of what they make of a URL.
 
 A model is a variable-order Markov chain: the probability of a character behind the last ORDER characters, smoothed into that behind
-one fewer, and so on (Witten and Bell). Both are counted over all pages. A URL's score is log2 of its probability as a
-rejected URL less that as an accepted one, for each character; it is kept up to the score calibrated on all seeds.
+one fewer, and so on (Witten and Bell). Both are counted over all seeds. A URL's score is log2 of its probability as a
+rejected URL less that as an accepted one, for each character, where characters that no seed has count nothing; it is kept up to
+the score calibrated on all seeds.
 
-Seeds: a URL whose host has one of the words BLOCKED, between anything but letters and digits, is rejected, any other host
-accepted; callers may say otherwise with a column of their own.
+Seeds: a URL whose host has one of the words BLOCKED, between anything but letters and digits, is rejected; one with a host of plain
+names and none of the words in it, nor between such marks behind the host, is accepted. Others, such as hosts with a hyphen, are
+neither: no model counts them, and their score decides. Callers may say otherwise with a column of their own.
 """
 
 from __future__ import annotations
@@ -22,14 +24,19 @@ from . import flat
 from .shared import BROADCAST_BYTES, written
 
 ORDER = 5  # an n-gram is a number: its length in bits 48 to 50 and up to six bytes
-BLOCKED = ("casino", "bets", "pills", "ads", "porn", "viagra", "malware")
+BLOCKED = (
+    "casino", "bets", "betting", "gambling", "poker", "pills", "viagra", "cialis", "ads", "porn", "xxx", "sex", "adult", "escort", "malware", "phishing", "spam", "warez",
+)
 _COUNTS = "gram long, good long, bad long"
 
 
-def rejected(url: Column) -> Column:
-    """Whether a URL is a rejected seed."""
-    host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
-    return host.rlike("(^|[^a-z0-9])(" + "|".join(BLOCKED) + ")([^a-z0-9]|$)")
+def seed(url: Column, blocked: tuple[str, ...] = BLOCKED) -> Column:
+    """True for a rejected seed, false for an accepted one, null for a URL that is neither."""
+    words, whole = "|".join(blocked), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)(.*)$"
+    host, rest = (F.lower(F.regexp_extract(url, "(?s)" + whole, k)) for k in (1, 2))
+    told = f"(^|[^a-z0-9])({words})([^a-z0-9]|$)"
+    plain = host.rlike("^[a-z0-9]+([.][a-z0-9]+)*[.][a-z]+(:[0-9]+)?$") & ~host.rlike(words) & ~rest.rlike(told)
+    return F.when(host.rlike(told), F.lit(True)).when(plain, F.lit(False))
 
 
 def grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -85,7 +92,7 @@ class Chains:
                 total, types = n[up[some, k]], kinds[up[some, k]]
                 p[some] = np.where(total > 0, (c + types * p[some]) / np.maximum(total + types, 1), p[some])
             out += sign * np.log2(p)
-        return out
+        return np.where(known[:, 0], out, 0.0)
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,15 +136,19 @@ def _joined(pages: DataFrame, counts: DataFrame) -> DataFrame:
         step = lambda p, x: F.when(x[f"n_{side}"] > 0, (x[side] + x[f"t_{side}"] * p) / (x[f"n_{side}"] + x[f"t_{side}"])).otherwise(p)
         return F.aggregate("steps", F.lit(1 / 256), step)
 
-    byte = full.groupBy("url", "place").agg(steps.alias("steps")).select("url", (F.log2(chance("bad")) - F.log2(chance("good"))).alias("bits"))
+    known = F.get("steps", F.lit(0))["good"] + F.get("steps", F.lit(0))["bad"] > 0
+    byte = full.groupBy("url", "place").agg(steps.alias("steps")).select("url", F.when(known, F.log2(chance("bad")) - F.log2(chance("good"))).otherwise(0.0).alias("bits"))
     url = byte.groupBy("url").agg(F.round(F.sum("bits") / F.count("*"), 6).alias("score"))
     return pages.join(url, "url", "left").select("page_id", "url", "bad", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def scored(pages: DataFrame, bad: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """(page_id, url, bad, score) of pages with a URL; the models are sent to the executors if their counts fit `limit` bytes."""
-    rows = pages.where("url is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col(bad).cast("boolean") if bad else rejected(F.col("url")), F.lit(False)).alias("bad"))
-    counts = written(rows.select("url", "bad").mapInArrow(_counted, _COUNTS).groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-grams")
+    """(page_id, url, bad, score) of pages with a URL; bad is null where it is no seed, also in a column of the caller's own.
+
+    The models are sent to the executors if their counts fit `limit` bytes.
+    """
+    rows = pages.where("url is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", (F.col(bad).cast("boolean") if bad else seed(F.col("url"))).alias("bad"))
+    counts = written(rows.where("bad is not null").select("url", "bad").mapInArrow(_counted, _COUNTS).groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-grams")
     if counts.count() * 72 > limit:
         return _joined(rows, counts)
     table = counts.toArrow()
@@ -155,7 +166,7 @@ def kept(pages: DataFrame, bad: str | None = None, limit: int = BROADCAST_BYTES)
     other than page_id, url and `bad` are not read.
     """
     found = written(scored(pages, bad, limit), "url-scores")
-    table = found.groupBy(F.round("score", 3).alias("score")).agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count("*").alias("n")).orderBy("score").collect()
+    table = found.where("bad is not null").groupBy(F.round("score", 3).alias("score")).agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count("*").alias("n")).orderBy("score").collect()
     out, all_bad, total = found.select("page_id", "url", "score"), sum(r["bad"] for r in table), sum(r["n"] for r in table)
     if not all_bad or all_bad == total:
         return out
