@@ -17,8 +17,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that stand before; a document of nothing else goes."""
-    return lines.deduped(docs)
+    """Documents without the passages of two lines and more that stand before; a document of nothing else goes."""
+    return lines.deduped(docs, passages=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

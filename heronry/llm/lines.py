@@ -1,5 +1,7 @@
-"""Line dedup: content-defined chunks of lines, of which repeated ones of several lines stay only where they come first.
+"""Line dedup: of repeated runs of several lines only what comes first stays.
 
+Runs are found in two ways. Passages are whole: every two neighbouring lines that stand anywhere before, byte by byte, go, so that
+a repeated run of two lines and more goes wherever it begins and ends. Chunks are cheaper, and lose runs whose ends they don't meet:
 A chunk ends behind a line where a rolling hash over the hashes of the last WINDOW lines is a multiple of DIVISOR, so that the same
 run of lines is cut alike wherever it stands. Chunks of two lines and more whose hash occurs again are compared byte by byte.
 """
@@ -22,12 +24,17 @@ DIVISOR, WINDOW, FACTOR = 4, 3, 31
 _CHUNKS = "doc_id long, mark long, begin int, n int, hash long"
 
 
-def boundaries(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, lines, last): bytes of each line, lines before each text, and whether a chunk ends behind the line."""
+def split(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, lines): bytes of each line, and lines before each text."""
     breaks = np.flatnonzero(data == 10)
     starts = np.sort(np.concatenate([offs[:-1], breaks + 1]), kind="stable")
     ends = np.sort(np.concatenate([offs[1:], breaks]), kind="stable")
-    lines = np.arange(len(offs)) + np.searchsorted(breaks, offs)
+    return starts, ends, np.arange(len(offs)) + np.searchsorted(breaks, offs)
+
+
+def boundaries(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, lines, last): as split() has them, and whether a chunk ends behind the line."""
+    starts, ends, lines = split(data, offs)
     raw = data.tobytes()
     h = np.array([int.from_bytes(md5(raw[a:b], usedforsecurity=False).digest()[:4]) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
     place = np.arange(len(h)) - np.repeat(lines[:-1], np.diff(lines))
@@ -39,7 +46,22 @@ def boundaries(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, lines, last
 
 
-def _chunks(texts: bool):
+def _pieces(data: np.ndarray, offs: np.ndarray, passages: bool) -> tuple[np.ndarray, ...]:
+    """(starts, ends, lines, head, tail): first and last line of each chunk of several lines, or of each two neighbouring lines."""
+    if passages:
+        starts, ends, lines = split(data, offs)
+        last = np.zeros(len(starts), bool)
+        last[lines[1:] - 1] = True
+        head = np.flatnonzero(~last)
+        return starts, ends, lines, head, head + 1
+    starts, ends, lines, last = boundaries(data, offs)
+    tail = np.flatnonzero(last)
+    head = np.concatenate([[0], tail[:-1] + 1])
+    many = tail > head
+    return starts, ends, lines, head[many], tail[many]
+
+
+def _chunks(texts: bool, passages: bool):
     names = ["doc_id", "mark", "begin", "n", "hash", "body"][: 5 + texts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,11 +69,7 @@ def _chunks(texts: bool):
             ids, marks = batch.column(0), batch.column(1)
             data, offs = flat.buffers(batch.column(2))
             for row, _, part, at in flat.slices(data, offs):
-                starts, ends, lines, last = boundaries(part, at)
-                tail = np.flatnonzero(last)
-                head = np.concatenate([[0], tail[:-1] + 1])
-                many = tail > head
-                head, tail = head[many], tail[many]
+                starts, ends, lines, head, tail = _pieces(part, at, passages)
                 own = np.searchsorted(lines, head, "right") - 1
                 a, b = starts[head], ends[tail]
                 take = pa.array(own + row)
@@ -63,11 +81,11 @@ def _chunks(texts: bool):
     return run
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, begin, n) of the chunks to go; mark is the hash of the text. A table in the shared folder."""
+def removals(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """(doc_id, mark, begin, n) of the chunks, or with passages of the pairs of lines, to go; mark is the hash of the text. A table in the shared folder."""
     rows = docs.where(F.col("text").contains("\n")).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    again = rows.mapInArrow(_chunks(False), _CHUNKS).groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
-    bodies = joined(rows.mapInArrow(_chunks(True), _CHUNKS + ", body string"), written(again, "repeated"), ["hash"], "left_semi", 24)
+    again = rows.mapInArrow(_chunks(False, passages), _CHUNKS).groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
+    bodies = joined(rows.mapInArrow(_chunks(True, passages), _CHUNKS + ", body string"), written(again, "repeated"), ["hash"], "left_semi", 24)
     order = Window.partitionBy("hash", "body").orderBy(F.col("doc_id").asc_nulls_last(), "mark", "begin")
     return written(bodies.withColumn("rank", F.dense_rank().over(order)).where("rank > 1").select("doc_id", "mark", "begin", "n").distinct(), "removals")
 
@@ -77,15 +95,16 @@ def _rest(lines: Column, gone: Column) -> Column:
     return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
 
-def cleaned(docs: DataFrame, removed: str = "lines_removed") -> DataFrame:
+def cleaned(docs: DataFrame, removed: str = "lines_removed", passages: bool = False) -> DataFrame:
     """The documents, all columns, with repeated chunks removed from the text, and how many lines that were, in column `removed`.
 
-    Of equal chunks the one stays that comes first by doc_id (nulls last), hash of the text, and place; rows that are the same
+    With passages, pairs of neighbouring lines take the place of chunks; the first place of a line is then never removed, so no
+    line is lost altogether. Of equal chunks the one stays that comes first by doc_id (nulls last), hash of the text, and place; rows that are the same
     document again, id and text alike, keep the same lines. A null text stays null and an empty one empty, with no line
     removed. A text all of whose lines go becomes empty. An input column named as `removed` is replaced.
     """
     docs = docs.drop(removed)
-    gone = removals(docs).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(F.sequence(F.col("begin"), F.col("begin") + F.col("n") - 1))).alias("__gone"))
+    gone = removals(docs, passages).groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("begin"), F.col("begin") + F.col("n") - 1)))).alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), "__gone")
     marked = docs.withColumn("__key", F.xxhash64("text"))
     both = joined(marked, gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__mark")), "left", 200)
@@ -94,8 +113,8 @@ def cleaned(docs: DataFrame, removed: str = "lines_removed") -> DataFrame:
     return both.select(*docs.columns, removed)
 
 
-def deduped(docs: DataFrame) -> DataFrame:
-    """The documents without repeated chunks, columns as they were, n_chars anew; those that lost every line are left out."""
-    out = cleaned(docs, "__removed").where("__removed = 0 or text <> ''").drop("__removed")
+def deduped(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """The documents without repeated chunks, or with passages without repeated runs of lines, columns as they were, n_chars anew; those that lost every line are left out."""
+    out = cleaned(docs, "__removed", passages).where("__removed = 0 or text <> ''").drop("__removed")
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     return out.withColumn("n_chars", F.length("text").cast(kinds.get("n_chars", T.LongType()))) if "n_chars" in kinds else out

@@ -60,6 +60,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.cleaned(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
 
 
+def op8_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.cleaned(table(spark, sf_dir, "documents"), passages=True).select("doc_id", "text", "lines_removed")
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.suffixes(table(spark, sf_dir, "documents"))
 
@@ -136,6 +140,18 @@ SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
+OP8_PASSAGES = """
+WITH line AS (SELECT doc_id, i - 1 AS i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+              FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+w AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS body FROM line),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS k FROM w WHERE body IS NOT NULL) WHERE k > 1),
+gone AS (SELECT doc_id, i FROM again UNION SELECT doc_id, i + 1 FROM again),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM line ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       coalesce(len(string_split(d.text, chr(10))) - coalesce(k.n, 0), 0)::INTEGER AS lines_removed
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
@@ -145,7 +161,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_forest": op6_quality_forest,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_line_dedup": op8_line_dedup,
+    "op8_line_passages": op8_line_passages,
     "op9_suffix_array": op9_suffix_array,
     "op10_url_filter": op10_url_filter,
 }
-SQL: dict[str, str] = {"op2_substring_dedup": OP2, "op3_decontaminate": OP3, "op4_warc": OP4, "op7_ngram_jaccard": OP7, "op8_line_dedup": OP8, "op9_suffix_array": OP2}
+SQL: dict[str, str] = {"op2_substring_dedup": OP2, "op3_decontaminate": OP3, "op4_warc": OP4, "op7_ngram_jaccard": OP7, "op8_line_dedup": OP8, "op8_line_passages": OP8_PASSAGES, "op9_suffix_array": OP2}

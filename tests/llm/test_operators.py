@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from heronry.llm import decontaminate, lines, pieces, quality, queries, repeats, similar, toxicity, urls, warc
 
 from . import fixtures
@@ -413,6 +414,38 @@ def test_line_dedup(spark):
     assert lines.cleaned(fixtures.frame(spark, [])).count() == 0
 
 
+def brute_passages(rows):
+    seen, out = set(), {}
+    for i, t in sorted({(i, t) for i, t, *_ in rows if t is not None}, key=lambda r: (r[0] is None, r[0] or 0)):
+        ls = t.split("\n")
+        gone = set()
+        for k, pair in enumerate(zip(ls, ls[1:])):
+            if pair in seen:
+                gone |= {k, k + 1}
+            seen.add(pair)
+        out[i, t] = ("\n".join(x for k, x in enumerate(ls) if k not in gone), len(gone))
+    return out
+
+
+def test_planted_passages_go_whole(spark):
+    rows, planted = fixtures.rows(), []
+    for n in range(2, 9):
+        passage = [" ".join(fixtures.words(9000 + 10 * n + k, 10)) for k in range(n)]
+        for copy in range(4):
+            before, after = ([" ".join(fixtures.words(20_000 + 1000 * n + 100 * copy + k + at, 5)) for k in range(3 + copy)] for at in (0, 50))
+            rows.append((1000 * n + copy, "\n".join(before + passage + after), "en", "s", 0))
+            if copy:
+                planted.append((rows[-1][0], "\n".join(before + after), n))
+    want = brute_passages(rows)
+    got = lines.cleaned(fixtures.clashing(fixtures.frame(spark, rows)), passages=True).collect()
+    assert Counter((r["doc_id"], r["text"], r["lines_removed"]) for r in got) == Counter((i, *want.get((i, t), (None, 0))) for i, t, *_ in rows)
+    assert {(r["doc_id"], r["text"], r["lines_removed"]) for r in got} >= set(planted)
+    stage = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, fixtures.frame(spark, rows), "").collect()}
+    assert all(stage[i] == t for i, t, _ in planted)
+    assert {x for t in stage.values() if t for x in t.split("\n")} | {""} == {x for _, t, *_ in rows if t for x in t.split("\n")} | {""}
+    assert lines.cleaned(fixtures.frame(spark, []), passages=True).count() == 0
+
+
 # ---- URL filters
 
 
