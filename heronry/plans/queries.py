@@ -154,6 +154,22 @@ def contained_topk(spark, sf_dir):
     return _named(retrieve.contained_topk(asked, _docs(spark, sf_dir), TOP))
 
 
+def bm25_all_terms_whole(spark, sf_dir):
+    return _named(retrieve.top(_rounded(retrieve.bm25_scores(_asked(spark, sf_dir), _index(spark, sf_dir), all_terms=True)), TOP))
+
+
+def bm25_phrase_boost_requests(spark, sf_dir):
+    """Whole requests, and whole turns of conversations of no more words than the phrase boost reads."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1000).alias("query_id"), F.col("text").alias("query"))
+    asked, index = _requests(spark).unionByName(c.where(F.size(text.words("query")) <= 6)), _index(spark, sf_dir)
+    hits = retrieve.boosted(retrieve.bm25_scores(asked, index), asked, index.chunks)
+    return _named(retrieve.top(_rounded(hits), TOP))
+
+
+def contained_topk_whole(spark, sf_dir):
+    return _named(retrieve.contained_topk(_asked(spark, sf_dir), _docs(spark, sf_dir), TOP))
+
+
 def hash_embed(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     v = embedding.hash_embedder()(rows, "t", "v")
@@ -477,11 +493,18 @@ fx AS (SELECT pq.*, coalesce(CASE WHEN rt.n > 40 THEN 'long' WHEN rt.n > 25 THEN
 SELECT level, name, count(*) AS n, round(avg(ndcg), 5) AS ndcg, round(avg(mrr), 5) AS mrr, round(avg(recall), 5) AS recall
 FROM (SELECT *, 'all' AS level, 'all' AS name FROM fx UNION ALL SELECT *, 'category', category FROM fx UNION ALL SELECT *, 'strategy', strategy FROM fx) GROUP BY level, name"""
 
+SQL["bm25_all_terms_whole"] = SQL["bm25_all_terms"].replace(f"({tokens('text')})[1:3]", tokens("text"))
+SQL["contained_topk_whole"] = SQL["contained_topk"].replace(_SHORT_SQL, "sq AS (SELECT item_id AS query_id, text AS query FROM benchmark)")
+SQL["bm25_phrase_boost_requests"] = SQL["bm25_phrase_boost"].replace(
+    _SHORT_SQL,
+    rf"sq AS (SELECT query_id, query FROM ({REQUEST_ROWS}) UNION ALL SELECT conv_id * 1000 + turn + 1000, text FROM conversations WHERE len(list_filter(string_split_regex(text, '\s+'), lambda x: len(x) > 0)) <= 6)",
+)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokenize_counts, tokenize_without_stopwords, term_stats, corpus_stats, detect_language, fixed_chunks, sentence_split, sentence_chunks, metadata_chunks, semantic_chunks,
-        vector_topk, vector_topk_filtered, bm25_topk, bm25_all_terms, bm25_phrase_boost, bm25_filtered, contained_topk, hash_embed, rrf_hybrid, adaptive_weight, query_signals,
+        vector_topk, vector_topk_filtered, bm25_topk, bm25_all_terms, bm25_all_terms_whole, bm25_phrase_boost, bm25_phrase_boost_requests, bm25_filtered, contained_topk, contained_topk_whole, hash_embed, rrf_hybrid, adaptive_weight, query_signals,
         route_decisions, strategy_shares, heuristic_rerank, mmr_order, jaccard_pairs, stems, sparse_encode, sparse_dot, ndcg_mrr_recall, eval_by_group, latency_percentiles,
         report_difference, upsert_delete, context_keys,
     )
