@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import joined
+from .shared import joined, written
 
-#: Labelled documents, by order of a hash of their id, from which the field is fitted.
-FIT_DOCUMENTS = 2000
+#: Labelled documents that docs holds from which the field is fitted, and how many of them are toxic if there are so many, half of
+#: them at most unless others are too few; of either kind the first by a hash of their id.
+FIT_DOCUMENTS, TOXIC_DOCUMENTS = 2000, 400
 SPANS = "array<struct<begin: int, end: int>>"
 SCORED = f"doc_id long, score double, spans {SPANS}"
 _SPAN = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
@@ -219,23 +220,34 @@ def _clean(field: Field, least: float, at: int):
     return run
 
 
+def sampled(held: DataFrame, fit_documents: int, toxic_documents: int = TOXIC_DOCUMENTS) -> DataFrame:
+    """(doc_id, toxic) of the documents to fit from, of those in held; toxic ones first, as far as toxic_documents goes."""
+    n = {r["bad"]: r["count"] for r in held.groupBy((F.col("toxic") > 0).alias("bad")).count().collect()}
+    bad = min(n.get(True, 0), max(min(toxic_documents, fit_documents // 2), fit_documents - n.get(False, 0)))
+
+    def some(of: str, most: int) -> DataFrame:
+        return held.where(of).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+    return some("toxic > 0", bad).unionByName(some("toxic <= 0", fit_documents - bad))
+
+
 def trained(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> tuple[Field | None, float]:
-    """(field, least toxic score): fitted from at most fit_documents labelled documents, calibrated over all of them.
+    """(field, least toxic score): fitted from at most fit_documents of the labelled documents that docs holds, calibrated over all.
 
     Label rows with a null are left out; a document labelled both ways is toxic. With no labelled document of either kind, or no
     telling word, the field is None and nothing is toxic.
     """
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents)
-    rows = joined(texts, chosen, ["doc_id"], "inner").select("doc_id", "text", "toxic").collect()
+    held = written(joined(texts.select("doc_id"), marks, ["doc_id"], "inner").distinct(), "labelled")
+    rows = joined(texts, sampled(held, fit_documents), ["doc_id"], "inner").select("doc_id", "text", "toxic").collect()
     field = fitted([(r["text"], int(r["toxic"] > 0)) for r in sorted(rows)])
     if field is None:
         return None, float("inf")
     labelled = joined(texts, marks, ["doc_id"], "inner")
     found = joined(labelled.select("doc_id", "text").mapInArrow(_scored(field, 0.0), SCORED), marks, ["doc_id"], "inner")
     table = found.groupBy(F.round("score", 3).alias("score")).agg(F.sum((F.col("toxic") > 0).cast("long")).alias("yes"), F.count("*").alias("n")).orderBy(F.desc("score")).collect()
-    all_toxic = marks.where("toxic > 0").count()
+    all_toxic = held.where("toxic > 0").count()
     least, best, yes, n = float("inf"), 0.0, 0, 0
     for r in table:
         yes, n = yes + r["yes"], n + r["n"]

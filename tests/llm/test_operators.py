@@ -242,6 +242,21 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxic(docs.limit(0), known).count() == 0
 
 
+def test_rare_toxic_labels_are_used(spark):
+    rows, labels = toxic_rows(1200, 3)
+    rows = [r for (r, (i, _, t)) in zip(rows, labels) if not t or i % 50 == 0]
+    bad = {i for i, _, t in labels if t and i % 50 == 0}
+    held = [(i, 1, int(i in bad)) for i, *_ in rows]
+    # labels of documents that aren't there, toxic too
+    known = spark.createDataFrame(held + [(10_000 + i, 1, i % 2) for i in range(3000)], "doc_id long, quality int, toxic int")
+    docs = fixtures.frame(spark, rows)
+    assert {r["doc_id"] for r in toxicity.toxic(docs, known, 100).collect()} == bad
+    marks = spark.createDataFrame([(i, int(t)) for i, _, t in held], "doc_id long, toxic int")
+    for fit, most, want in ((100, 10, (10, 90)), (100, 400, (24, 76)), (20, 400, (10, 10)), (5000, 3, (24, len(rows) - 24))):
+        took = Counter(r["toxic"] for r in toxicity.sampled(marks, fit, most).collect())
+        assert (took[1], took[0]) == want
+
+
 def test_forward_backward_is_exact():
     rnd = np.random.default_rng(0)
     lens = [1, 4, 3, 5]
