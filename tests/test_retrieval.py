@@ -321,3 +321,15 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         ingest(Engine(spark), store, str(tmp_path / "in"), str(tmp_path / "state")).awaitTermination(120)
     assert store.count() == 4
+
+
+def test_approximate_search_finds_nearly_all_at_any_length(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(6)
+    v = rnd.normal(size=(300, 32))
+    v *= (10.0 ** rnd.uniform(-1, 2, 300) / np.sqrt((v * v).sum(1)))[:, None]
+    chunks = spark.createDataFrame([(str(i), x.tolist()) for i, x in enumerate(v)], "id string, embedding array<double>")
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:40])], "query_id long, vector array<double>")
+    exact, near = ({(r["query_id"], r["chunk_id"]) for r in search(asked, chunks, 10).collect()} for search in (retrieve.vector_topk, retrieve.lsh_topk))
+    assert len(exact & near) >= 0.9 * len(exact)
