@@ -53,7 +53,7 @@ def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.pairs(table(spark, sf_dir, "documents"))
+    return similar.links(table(spark, sf_dir, "documents"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,14 +115,21 @@ FROM x
 """
 
 OP7 = f"""
-WITH d AS (SELECT doc_id, ws, least({similar.N}, len(ws)) AS size
+WITH RECURSIVE d AS (SELECT doc_id, ws, least({similar.N}, len(ws)) AS size
            FROM (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) WHERE len(ws) > 0),
 g AS (SELECT DISTINCT doc_id, size, array_to_string(ws[i:i + size - 1], ' ') AS g
       FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM d)),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-o AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS o FROM g x JOIN g y ON x.g = y.g AND x.size = y.size AND x.doc_id < y.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, round(o / (x.n + y.n - o), 6) AS jaccard FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
-WHERE o >= ceil({similar.THRESHOLD} * (x.n + y.n - o) - 1e-9)
+n AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY size, gs) AS copy_of
+      FROM (SELECT doc_id, size, count(*) AS n, list_sort(list(g)) AS gs FROM g GROUP BY doc_id, size)),
+r AS (SELECT doc_id, n FROM n WHERE doc_id = copy_of),
+rg AS (SELECT g.* FROM g SEMI JOIN r USING (doc_id)),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM rg x JOIN rg y ON x.g = y.g AND x.size = y.size AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN r x ON x.doc_id = a JOIN r y ON y.doc_id = b WHERE o >= ceil({similar.THRESHOLD} * (x.n + y.n - o) - 1e-9)),
+t AS (SELECT doc_id AS x, doc_id AS root FROM r UNION SELECT e.b, t.root FROM t JOIN e ON e.a = t.x),
+c AS (SELECT x AS copy_of, min(root) AS class_id FROM t GROUP BY x),
+l AS (SELECT a AS copy_of, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, class_id, copy_of, coalesce(n_links, 0)::BIGINT AS n_links
+FROM (SELECT *, count(*) OVER (PARTITION BY class_id) AS k FROM n JOIN c USING (copy_of) LEFT JOIN l USING (copy_of)) WHERE k > 1
 """
 
 OP8 = f"""

@@ -31,6 +31,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df as a table in the shared folder, in as many buckets of its keys as shuffles have partitions: what is joined to it on all
+    keys is shuffled to the buckets, and the table itself is not shuffled again."""
+    spark, table = df.sparkSession, f"heronry_{name}_{uuid.uuid4().hex}"
+    n = partitions(spark)
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", f"{folder(spark)}/{table}").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay, and out knows them
+    return out
+
+
 def joined(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str, width: int = 32) -> DataFrame:
     """left joined to right, which is counted first: it is broadcast if its rows of about `width` bytes fit BROADCAST_BYTES,
     and otherwise both sides are shuffled on the key."""

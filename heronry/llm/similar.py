@@ -1,10 +1,13 @@
-"""N-gram Jaccard join: all pairs of documents whose sets of word n-grams have a Jaccard similarity of THRESHOLD at least.
+"""N-gram Jaccard join: documents whose sets of word n-grams have a Jaccard similarity of THRESHOLD at least are linked.
 
-Documents with the same set count as one. n-grams are ordered by frequency class (those in fewer than 1 / RARE of the sets by hash,
-then the others by how many sets hold them). Of a set of k, two similar sets share at least l of the first
-k - ceil(THRESHOLD * k) + l in each (the l-prefix). Each set takes the l for which its estimated candidate cost is least, a
-pair the larger l of its two. Prefix n-grams travel packed to the bucket of their hash, where the sets that share them are
-paired; pairs that share l are verified on whole sets, those around the same set together.
+Documents with the same set are copies, and count as one. Of a set of k, two similar sets share at least l of the first
+k - ceil(THRESHOLD * k) + l in each (the l-prefix), in an order common to all: n-grams that few sets have by hash, then the frequent
+ones by frequency. Each set takes the l for which its estimated candidate cost is least, a pair the larger l of its two.
+
+Groups of near copies hold nearly all similar pairs, and these grow with the square of a group. So groups are found first, by linking
+each set to the least one that shares two of its least n-grams. Then prefix n-grams travel packed to the bucket of their hash,
+where only sets of different groups are paired; pairs that share l are verified on whole sets. The links within a group are
+counted in place, whole sets against each other, in cells of bounded size; pairs are never sent.
 """
 
 from __future__ import annotations
@@ -18,16 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import joined, written
+from .shared import bucketed, unused, written
 
 N, THRESHOLD = 3, 0.55
 #: An n-gram is frequent if it is in one set of RARE, and in LEAST_FREQUENT at least.
 RARE, LEAST_FREQUENT = 1000, 64
 #: Largest l, cost of a verification in posting comparisons for each n-gram of the set.
 MOST_SHARED, VERIFY = 64, 0.1
-#: n-grams of a counted block, postings of a bucket, n-grams of the sets that are verified together.
-BLOCK, BUCKET, TOGETHER = 4 << 20, 3 << 19, 1 << 20
-SECOND = flat.U(0xE7037ED1A0B428DB)
+#: Least n-grams of a set by which groups are found, and how many of them a set shares with the one it is linked to.
+FIRST, MET = 8, 2
+#: n-grams of a counted block, postings of a bucket and of an n-gram in it, n-grams of the sets that are compared together.
+BLOCK, BUCKET, SPLIT, TOGETHER = 4 << 20, 3 << 19, 1 << 14, 1 << 20
 
 
 def sets(data: np.ndarray, offs: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -51,34 +55,39 @@ def needed(k: int | np.ndarray, threshold: float) -> np.ndarray:
 def _signed(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, first, second, size = [], [], [], []
+            rows, sid, size, first = [], [], [], []
             for row, own in sets(*flat.buffers(batch.column(2)), n):
                 rows.append(row)
-                first.append(int(flat.mix(own * flat.GRAM).sum(dtype=flat.U)))
-                second.append(int(flat.mix(own * SECOND).sum(dtype=flat.U)))
+                sid.append(_name(own))
                 size.append(len(own))
+                first.append(own[:FIRST].view(np.int64))
             take = pa.array(rows, pa.int64())
-            columns = [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(np.array(x, flat.U).view(np.int64)) for x in (first, second)), pa.array(size, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "sid", "other", "size"])
+            lists = pa.ListArray.from_arrays(np.cumsum([0] + [len(x) for x in first]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), lists], ["doc_id", "mark", "sid", "size", "first"])
 
     return run
 
 
+def _name(own: np.ndarray) -> int:
+    return int(flat.mix(own * flat.GRAM).sum(dtype=flat.U).astype(np.int64))
+
+
 def _likely(n: int, share: float):
-    """n-grams that are in `share` of the sets of a block: what is frequent overall is so in a block."""
+    """(n-gram, sets of a block that hold it) of those that half of `share` of the sets of the block hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = [], 0
 
         def out() -> pa.RecordBatch:
             grams, times = np.unique(np.concatenate(block), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(grams[times >= share * len(block)].view(np.int64))], ["gram"])
+            many = times >= max(2, share * len(block) / 2)
+            return pa.RecordBatch.from_arrays([pa.array(grams[many].view(np.int64)), pa.array(times[many])], ["gram", "times"])
 
         for batch in batches:
             for _, own in sets(*flat.buffers(batch.column(0)), n):
                 block.append(own)
                 size += len(own)
-                if size >= 2 * BLOCK:
+                if size >= BLOCK:
                     yield out()
                     block, size = [], 0
         if block:
@@ -87,19 +96,6 @@ def _likely(n: int, share: float):
     return run
 
 
-def _counted(n: int, keys: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            for _, own in sets(*flat.buffers(batch.column(0)), n):
-                near = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                total[near[keys[near] == own]] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(total[at])], ["gram", "times"])
-
-    return run
-
-
 def ordered(own: np.ndarray, keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n-grams in the common order, in how many sets each is known to be)."""
     df = np.ones(len(own), np.int64)
@@ -119,122 +115,134 @@ def chosen(df: np.ndarray, prefix: int) -> int:
     return int(np.argmin(cost * (1 + VERIFY * len(df) / np.arange(1, most + 1)))) + 1
 
 
-def _postings(n: int, threshold: float, keys: np.ndarray, times: np.ndarray, buckets: int):
-    names = ["bucket", "grams", "docs", "extra", "sids", "sizes", "ells"]
-
-    def packed(held: list[tuple[int, np.ndarray, int, int, int]]) -> Iterator[pa.RecordBatch]:
-        sid = np.array([h[0] for h in held], np.int64)
-        size = np.array([h[2] for h in held], np.int32)
-        ell = np.array([h[4] for h in held], np.uint8)
-        lens = np.array([len(h[1]) for h in held])
-        grams = np.concatenate([h[1] for h in held])
-        doc = np.repeat(np.arange(len(held), dtype=np.int32), lens)
-        extra = np.maximum(flat.runs(np.zeros(len(held), np.int64), lens) - np.repeat([h[3] for h in held], lens) + 1, 0).astype(np.uint8)
-        bucket = (grams >> flat.U(20)) % flat.U(buckets)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=flat.U))
-        rows = []
+def _split(sid: np.ndarray, grams: np.ndarray, df: np.ndarray, split: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, n-grams, sides) of postings, those of n-grams that more than `split` sets hold in the cells of a triangle.
+
+    A set is in all cells of its row and column; in a cell off the diagonal only sets of different sides meet.
+    """
+    parts = -(-df // split)
+    many = np.flatnonzero(parts > 1)
+    if not len(many):
+        return np.arange(len(grams)), grams, np.zeros(len(grams), np.uint8)
+    few, s = np.flatnonzero(parts <= 1), parts[many]
+    own = np.repeat((flat.mix(sid[many].view(flat.U)) % s.astype(flat.U)).astype(np.int64), s)
+    other, at, s = flat.runs(np.zeros(len(s), np.int64), s), np.repeat(many, s), np.repeat(s, s)
+    cell = (np.minimum(own, other) * s + np.maximum(own, other)).astype(flat.U) + flat.U(1)
+    side = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.uint8)
+    return np.concatenate([few, at]), np.concatenate([grams[few], flat.mix(grams[at] + cell * flat.GRAM)]), np.concatenate([np.zeros(len(few), np.uint8), side])
+
+
+_POSTED = (("grams", np.uint32), ("extra", np.uint8), ("sides", np.uint8), ("counts", np.int32), ("sids", np.int64), ("groups", np.int64), ("sizes", np.int32), ("ells", np.uint8))
+
+
+def _postings(n: int, threshold: float, keys: np.ndarray, times: np.ndarray, buckets: int, split: int):
+    """The prefixes of sets, packed by bucket: half of each n-gram's hash (what that confuses is told apart when verified), and its place beyond the 1-prefix."""
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        sid, group, size, prefix, ell = (np.array([h[k] for h in held], np.int64) for k in range(5))
+        lens = np.array([len(h[5]) for h in held])
+        doc = np.repeat(np.arange(len(held)), lens)
+        extra = np.maximum(flat.runs(np.zeros(len(held), np.int64), lens) - np.repeat(prefix, lens) + 1, 0).astype(np.uint8)
+        at, grams, side = _split(sid[doc], np.concatenate([h[5] for h in held]), np.concatenate([h[6] for h in held]), split)
+        doc, extra = doc[at], extra[at]
+        bucket = ((grams >> flat.U(32)) % flat.U(buckets)).astype(np.int64)
+        order = np.argsort(bucket * len(held) + doc, kind="stable")
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        out: dict[str, list] = {k: [] for k in ("bucket", *(k for k, _ in _POSTED))}
         for b in np.flatnonzero(np.diff(cut)).tolist():
             own = order[cut[b] : cut[b + 1]]
-            docs, local = np.unique(doc[own], return_inverse=True)
-            rows.append((b, grams[own].tobytes(), local.astype(np.int32).tobytes(), extra[own].tobytes(), sid[docs].tobytes(), size[docs].tobytes(), ell[docs].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 7))], names)
+            docs, counts = np.unique(doc[own], return_counts=True)
+            values = (grams[own] & flat.U(0xFFFFFFFF), extra[own], side[own], counts, sid[docs], group[docs], size[docs], ell[docs])
+            out["bucket"].append(b)
+            for (k, kind), v in zip(_POSTED, values):
+                out[k].append(v.astype(kind).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k != "bucket" else pa.int64()) for k, v in out.items()], list(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, total = [], 0
         for batch in batches:
-            for _, own in sets(*flat.buffers(batch.column(0)), n):
-                sid = int(flat.mix(own * flat.GRAM).sum(dtype=flat.U).astype(np.int64))
+            groups = batch.column(1).to_numpy()
+            for row, own in sets(*flat.buffers(batch.column(0)), n):
                 grams, df = ordered(own, keys, times)
                 prefix = len(own) - int(needed(len(own), threshold)) + 1
-                held.append((sid, grams[: prefix + MOST_SHARED - 1], len(own), prefix, chosen(df, prefix)))
-                size += len(held[-1][1])
-                if size >= 1 << 20:
-                    yield from packed(held)
-                    held, size = [], 0
+                end = prefix + MOST_SHARED - 1
+                ell = chosen(df, prefix)
+                held.append((_name(own), groups[row], len(own), prefix, ell, grams[:end], df[:end]))
+                total += len(held[-1][5])
+                if total >= 1 << 20:
+                    yield packed(held)
+                    held, total = [], 0
         if held:
-            yield from packed(held)
+            yield packed(held)
 
     return run
 
 
-def _couples(sizes: np.ndarray, heads: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs within each run, about `most` at a time."""
-    for m in np.unique(sizes).tolist():
-        own = heads[sizes == m]
-        first = np.arange(m - 1)
-        at = 0
-        while at < m - 1:  # the pairs of places at .. of each run with all later ones
-            step = 1
-            if m * (m - 1) // 2 <= most:
-                step = m - 1
-            a = np.repeat(first[at : at + step], m - 1 - first[at : at + step])
-            b = flat.runs(first[at : at + step] + 1, m - 1 - first[at : at + step])
-            per = max(1, most // max(1, len(a)))
-            for k in range(0, len(own), per):
-                some = own[k : k + per, None]
-                yield (some + a).ravel(), (some + b).ravel()
-            at += step
+def _across(run: np.ndarray, group: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within a run and of different groups, about `most` at a time. Both arrays are sorted, group within run."""
+    ends = np.append(np.flatnonzero(run[1:] != run[:-1]) + 1, len(run))
+    inner = np.append(np.flatnonzero((run[1:] != run[:-1]) | (group[1:] != group[:-1])) + 1, len(run))
+    place = np.arange(len(run))
+    begin = inner[np.searchsorted(inner, place, "right")]
+    n = ends[np.searchsorted(ends, place, "right")] - begin
+    done = np.concatenate([[0], np.cumsum(n)])
+    a = 0
+    while a < len(run):
+        b = max(a + 1, int(np.searchsorted(done, done[a] + most, "right")) - 1)
+        yield np.repeat(place[a:b], n[a:b]), flat.runs(begin[a:b], n[a:b])
+        a = b
 
 
 def _paired(threshold: float):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("times", pa.int32()), ("ell", pa.int32())])
 
     def run(table: pa.Table) -> pa.Table:
-        parts = {k: [np.frombuffer(x, kind) for x in table.column(k).to_pylist()] for k, kind in (("grams", flat.U), ("docs", np.int32), ("extra", np.uint8), ("sids", np.int64), ("sizes", np.int32), ("ells", np.uint8))}
-        base = np.cumsum([0] + [len(x) for x in parts["sids"]])
-        sids, which, back = np.unique(np.concatenate(parts["sids"]), return_index=True, return_inverse=True)
-        size, ell = np.concatenate(parts["sizes"])[which].astype(np.int64), np.concatenate(parts["ells"])[which]
-        doc = back[np.concatenate([x + o for x, o in zip(parts["docs"], base)])]
-        gram, extra = np.concatenate(parts["grams"]), np.concatenate(parts["extra"])
+        parts = {k: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(k)]) for k, kind in _POSTED}
+        sids, which, back = np.unique(parts["sids"], return_index=True, return_inverse=True)
+        size, ell, group = parts["sizes"][which].astype(np.int64), parts["ells"][which], parts["groups"][which]
+        doc = np.repeat(back, parts["counts"])
+        gram, extra, side = parts["grams"], parts["extra"], parts["sides"]
         parts.clear()
-        order = np.argsort(gram)
-        new = np.ones(len(order), bool)
-        new[1:] = gram[order][1:] != gram[order][:-1]
-        heads = np.flatnonzero(new)
-        lens = np.diff(np.append(heads, len(order)))
-        many = np.repeat(lens > 1, lens)
-        order, new = order[many], new[many]
-        run_no = np.cumsum(new)
-        inner = np.lexsort((doc[order], run_no))
-        order = order[inner]
-        same = np.zeros(len(order), bool)
-        same[1:] = (run_no[1:] == run_no[:-1]) & (doc[order][1:] == doc[order][:-1])
-        order, run_no = order[~same], run_no[~same]
-        heads = np.flatnonzero(np.diff(run_no, prepend=-1))
+        order = np.argsort(gram, kind="stable")
+        heads = np.flatnonzero(np.diff(gram[order], prepend=gram[order][:1] + np.uint32(1))) if len(order) else order
         lens = np.diff(np.append(heads, len(order)))
-        own, most = doc[order], extra[order]
-        del gram, extra, doc, order, inner, new, many, same, run_no
-        keys, counts, pending = [], [], 0
+        own = group[doc[order]]
+        several = np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads) if len(heads) else np.zeros(0, bool)
+        order, number = order[np.repeat(several, lens)], np.repeat(np.arange(several.sum()), lens[several])
+        inner = np.lexsort((doc[order], group[doc[order]], number))
+        order, number = order[inner], number[inner]
+        again = np.zeros(len(order), bool)
+        again[1:] = (number[1:] == number[:-1]) & (doc[order][1:] == doc[order][:-1])
+        order, number = order[~again], number[~again]
+        own, most, side = doc[order], extra[order], side[order]
+        del gram, extra, doc, order, inner, again
+        keys, counts, pending = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
 
         def fold() -> None:
-            if len(keys) > 1 or pending:
-                k, back = np.unique(np.concatenate(keys), return_inverse=True)
-                counts[:] = [np.bincount(back, np.concatenate(counts)).astype(np.int64)]
-                keys[:] = [k]
+            k, back = np.unique(np.concatenate(keys), return_inverse=True)
+            counts[:] = [np.bincount(back, np.concatenate(counts), len(k)).astype(np.int64)]
+            keys[:] = [k]
 
-        for a, b in _couples(lens[lens > 1], heads[lens > 1]):
+        for a, b in _across(number, group[own]):
             x, y = own[a], own[b]
             shared = np.maximum(ell[x], ell[y])
-            ok = (most[a] < shared) & (most[b] < shared) & (np.minimum(size[x], size[y]) >= needed(np.maximum(size[x], size[y]), threshold))
+            ok = (most[a] < shared) & (most[b] < shared) & ((side[a] == 0) | (side[a] != side[b])) & (np.minimum(size[x], size[y]) >= needed(np.maximum(size[x], size[y]), threshold))
             keys.append(x[ok].astype(np.int64) << 32 | y[ok])
             counts.append(np.ones(int(ok.sum()), np.int64))
             pending += len(keys[-1])
             if pending > 1 << 20:
                 fold()
                 pending = 0
-        if keys:
-            pending = 1
-            fold()
-        k = keys[0] if keys else np.zeros(0, np.int64)
-        x, y = k >> 32, k & 0xFFFFFFFF
-        return pa.table([pa.array(sids[x]), pa.array(sids[y]), pa.array((counts[0] if keys else k).astype(np.int32)), pa.array(np.maximum(ell[x], ell[y]).astype(np.int32))], schema=schema)
+        fold()
+        x, y = keys[0] >> 32, keys[0] & 0xFFFFFFFF
+        a, b = np.minimum(sids[x], sids[y]), np.maximum(sids[x], sids[y])
+        return pa.table([pa.array(a), pa.array(b), pa.array(counts[0].astype(np.int32)), pa.array(np.maximum(ell[x], ell[y]).astype(np.int32))], schema=schema)
 
     return run
 
 
 def _verified(n: int, threshold: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
         column = texts.column("text").cast(pa.large_string()).combine_chunks()
@@ -261,87 +269,186 @@ def _verified(n: int, threshold: float):
             mark[mine] = False
         union = size[a] + size[b] - overlap
         ok = overlap >= needed(union, threshold)
-        return pa.table([pa.array(by[a[ok]]), pa.array(by[b[ok]]), pa.array(np.round(overlap[ok] / union[ok], 6))], schema=schema)
+        return pa.table([pa.array(by[a[ok]]), pa.array(by[b[ok]])], schema=schema)
+
+    return run
+
+
+def overlaps(grams: list[np.ndarray], most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, n-grams that some rows share with every row), about `most` numbers at a time.
+
+    n-grams in an eighth of the sets are multiplied as a matrix, of eight times as many numbers as there are n-grams at most; the others
+    are counted along their lists.
+    """
+    m, size = len(grams), np.array([len(x) for x in grams])
+    _, ids, df = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), size)
+    dense = (df > 1) & (df * 8 >= m)
+    column = np.cumsum(dense) - 1
+    matrix = np.zeros((m, int(dense.sum())), np.float32)
+    matrix[row[dense[ids]], column[ids[dense[ids]]]] = 1
+    rest = np.flatnonzero((df[ids] > 1) & ~dense[ids])
+    row, ids = row[rest], ids[rest]
+    lists = row[np.argsort(ids, kind="stable")]
+    n = np.bincount(ids, minlength=len(df))
+    begin = np.cumsum(n) - n
+    step = max(1, most // m)
+    for a in range(0, m, step):
+        b = min(m, a + step)
+        out = (matrix[a:b] @ matrix.T).astype(np.int64).ravel()
+        i, j = np.searchsorted(row, [a, b])
+        done = np.concatenate([[0], np.cumsum(n[ids[i:j]])])
+        while i < j:  # the lists of some n-grams of these rows
+            k = max(i + 1, int(np.searchsorted(done, done[0] + most, "right")) - 1 + i)
+            own = ids[i:k]
+            out += np.bincount(np.repeat(row[i:k] - a, n[own]) * m + lists[flat.runs(begin[own], n[own])], minlength=len(out))
+            done, i = done[k - i :], k
+        yield a, out.reshape(b - a, m)
+
+
+def _linked(n: int, threshold: float, told: bool):
+    """(sid, links) of the sets of each group and cell that similar ones link, or the pairs (a, b, jaccard) if they are to be told."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())] if told else [("sid", pa.int64()), ("links", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        column = table.column("text").cast(pa.large_string()).combine_chunks()
+        of = {row: own for row, own in sets(*flat.buffers(column), n)}
+        sid, side = table.column("sid").to_numpy(), table.column("side").to_numpy()
+        _, cell = np.unique(np.stack([table.column("root").to_numpy(), table.column("cell").to_numpy()]), axis=1, return_inverse=True)
+        order = np.argsort(cell.ravel(), kind="stable")
+        out = [pa.table([pa.array([], f.type) for f in schema], schema=schema)]
+        for rows in np.split(order, np.flatnonzero(np.diff(cell.ravel()[order])) + 1):
+            _, first = np.unique(sid[rows], return_index=True)
+            rows = rows[first]
+            grams = [of[r] for r in rows.tolist()]
+            size = np.array([len(x) for x in grams])
+            links = np.zeros(len(rows), np.int64)
+            for a, shared in overlaps(grams):
+                i = np.arange(a, a + len(shared))
+                union = size[i, None] + size - shared
+                ok = shared >= needed(union, threshold)
+                ok &= (side[rows[i], None] == 0) | (side[rows[i], None] != side[rows])
+                ok[i - a, i] = False
+                links[i] = ok.sum(1)
+                if told:
+                    x, y = np.nonzero(ok)
+                    x, y, alike = x[i[x] < y], y[i[x] < y], (shared / union)[ok][i[x] < y]
+                    both = np.sort(np.stack([sid[rows[i[x]]], sid[rows[y]]]), axis=0)
+                    out.append(pa.table([pa.array(both[0]), pa.array(both[1]), pa.array(np.round(alike, 6))], schema=schema))
+            if not told:
+                out.append(pa.table([pa.array(sid[rows][links > 0]), pa.array(links[links > 0])], schema=schema))
+        return pa.concat_tables(out)
 
     return run
 
 
 class Join:
-    """The join of documents with themselves, as tables in the shared folder.
+    """The join of documents with themselves, as tables in the shared folder, where a copy of docs lies in buckets of (id, mark).
 
-    signed: (doc_id, mark, sid, other, size), the set of each document with a word; mark is the hash of its text.
-    pairs: (a, b, jaccard), a < b, all similar pairs of different sets.
+    signed: (doc_id, mark, sid, size, first), the set of each document with a word; mark is the hash of its text.
+    kept: (sid, doc_id, mark, n, size), the least document of each set, and how many have it.
+    groups: (sid, root) of the sets that similar pairs connect with a lesser one; root is the least of them.
     """
 
-    def __init__(self, docs: DataFrame, n: int = N, threshold: float = THRESHOLD):
-        spark = docs.sparkSession
-        rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-        self.signed = written(rows.mapInArrow(_signed(n), "doc_id long, mark long, sid long, other long, size long").distinct(), "signed")
-        kept = F.min(F.struct("doc_id", "mark"))
-        group = self.signed.groupBy("sid").agg(kept.alias("kept"), F.count("*").alias("n"), F.first("size").alias("size"))
-        self.kept = written(group.select("sid", F.col("kept.doc_id").alias("doc_id"), F.col("kept.mark").alias("mark"), "n", "size"), "kept")
-        total = self.kept.agg(F.count("*").alias("sets"), F.sum("size").alias("grams"), F.sum("n").alias("n")).first()
-        count, grams = total["sets"], total["grams"] or 0
-        again = joined(self.signed, self.kept.where("n > 1").select("sid", F.col("doc_id").alias("d"), F.col("mark").alias("m")), ["sid"], "inner").where("doc_id <> d or mark <> m").select("doc_id", "mark")
-        one = joined(rows, again, ["doc_id", "mark"], "left_anti", 24)
-        keys, times = self._frequent(one.select("text"), n, count)
-        buckets = max(1, math.ceil(grams * (1 - threshold) / BUCKET))
-        posted = one.select("text").mapInArrow(_postings(n, threshold, keys, times, buckets), "bucket long, grams binary, docs binary, extra binary, sids binary, sizes binary, ells binary")
+    def __init__(self, docs: DataFrame, n: int = N, threshold: float = THRESHOLD, split: int = SPLIT, together: int = TOGETHER):
+        self.n, self.threshold, self.together = n, threshold, together
+        self.id, self.mark = unused(docs, "id"), unused(docs, "mark")
+        self.held = bucketed(docs.withColumns({self.id: F.col("doc_id").cast("long"), self.mark: F.xxhash64("text")}), [self.id, self.mark], "documents")
+        rows = self.held.where(F.col(self.id).isNotNull() & F.col("text").isNotNull()).select(F.col(self.id).alias("doc_id"), F.col(self.mark).alias("mark"), "text")
+        self.rows = rows
+        self.signed = written(rows.mapInArrow(_signed(n), "doc_id long, mark long, sid long, size long, first array<long>").dropDuplicates(["doc_id", "mark"]), "signed")
+        one = self.signed.groupBy("sid").agg(F.min(F.struct("doc_id", "mark")).alias("kept"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("first").alias("first"))
+        self.kept = written(one.select("sid", "kept.*", "n", "size", "first"), "kept")
+        total = self.kept.agg(F.count("*").alias("sets"), F.sum("size").alias("grams")).first()
+        near = self._similar(written(self._least(), "near"))
+        labels = self.kept.select("sid", "doc_id", "mark").join(components(near), "sid", "left").select("doc_id", "mark", F.coalesce("root", "sid").alias("root"))
+        keys, times = self._frequent(total["sets"])
+        buckets = max(1, math.ceil((total["grams"] or 0) * (1 - threshold) / BUCKET))
+        posted = self._with(labels, "text", "root").mapInArrow(_postings(n, threshold, keys, times, buckets, split), ", ".join(["bucket long", *(f"{k} binary" for k, _ in _POSTED)]))
         met = posted.groupBy("bucket").applyInArrow(_paired(threshold), "a long, b long, times int, ell int")
-        met = written(met.groupBy("a", "b", "ell").agg(F.sum("times").alias("times")).where("times >= ell").select("a", "b"), "met")
-        both = met.unionAll(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        root = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
-        of = lambda side: root.select(F.col("a").alias(side), F.col("root").alias(f"root_{side}"))
-        keyed = met.join(of("a"), "a").join(of("b"), "b")
-        keyed = written(keyed.select("a", "b", F.least("root_a", "root_b").alias("root")), "keyed")
-        ends = keyed.select("root", F.col("a").alias("sid")).unionAll(keyed.select("root", F.col("b").alias("sid"))).distinct()
-        weights = written(ends.join(self.kept.select("sid", "size"), "sid").groupBy("root").agg(F.sum("size").alias("weight")), "weights")
-        many = max(1, math.ceil((weights.agg(F.sum("weight")).first()[0] or 0) / TOGETHER))
-        large = weights.where(F.col("weight") > TOGETHER).select("root", F.ceil(F.col("weight") * 2 / TOGETHER).cast("int").alias("cells"))
-        # pairs of a root with many sets are spread over a square of cells
-        cell = F.xxhash64("root", F.pmod(F.xxhash64("a"), F.col("cells")), F.pmod(F.xxhash64("b", F.lit(1)), F.col("cells")))
-        keyed = written(joined(keyed, large, ["root"], "left").select("a", "b", F.when(F.col("cells").isNotNull(), cell).otherwise(F.pmod(F.xxhash64("root"), F.lit(many))).alias("part")), "parts")
+        met = met.groupBy("a", "b", "ell").agg(F.sum("times").alias("times")).where("times >= ell").select("a", "b")
+        self.groups = components(near.unionAll(self._similar(written(met, "met"))))
+
+    def _with(self, keys: DataFrame, *columns: str) -> DataFrame:
+        """Columns of the documents whose (doc_id, mark) keys has, once for each of its rows. Only the keys are shuffled."""
+        return self.rows.join(keys.hint("shuffle_hash"), ["doc_id", "mark"]).select(*columns)
+
+    def _least(self) -> DataFrame:
+        """(a, b): each set b with the least a that has MET of its first n-grams, for which it is the least."""
+        each = self.kept.select("sid", F.explode("first").alias("gram"))
+        low = each.groupBy("gram").agg(F.min("sid").alias("a"), F.count("*").alias("n")).where("n > 1").select("gram", "a")
+        return each.join(low, "gram").where("sid <> a").groupBy("a", F.col("sid").alias("b")).count().where(F.col("count") >= MET).select("a", "b")
+
+    def _similar(self, met: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are similar. The sets around the same a are compared together, in cells if they are many."""
+        size = self.kept.select("sid", "size")
+        weights = written(met.join(size.withColumnRenamed("sid", "b"), "b").groupBy("a").agg(F.sum("size").alias("weight")), "weights")
+        many = max(1, math.ceil((weights.agg(F.sum("weight")).first()[0] or 0) / self.together))
+        cell = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(2 * F.col("weight") / self.together)))
+        keyed = written(met.join(weights, "a").select("a", "b", F.when(F.col("weight") > self.together, cell).otherwise(F.pmod(F.xxhash64("a"), F.lit(many))).alias("part")), "parts")
         sides = keyed.select("part", F.col("a").alias("sid")).unionAll(keyed.select("part", F.col("b").alias("sid"))).distinct()
-        places = sides.join(self.kept.select("sid", "doc_id", "mark"), "sid")
-        texts = joined(rows, written(places, "places"), ["doc_id", "mark"], "inner", 40).select("part", "sid", "text")
-        self.pairs = written(texts.groupBy("part").cogroup(keyed.groupBy("part")).applyInArrow(_verified(n, threshold), "a long, b long, jaccard double"), "pairs")
-        self.spark = spark
-
-    @staticmethod
-    def _frequent(texts: DataFrame, n: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """The frequent n-grams, at most RARE times the mean size of a set, and how many sets hold each: counted exactly, over all sets."""
+        texts = self._with(written(sides.join(self.kept.select("sid", "doc_id", "mark"), "sid"), "places"), "part", "sid", "text")
+        return written(texts.groupBy("part").cogroup(keyed.groupBy("part")).applyInArrow(_verified(self.n, self.threshold), "a long, b long"), "similar")
+
+    def _frequent(self, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """The frequent n-grams and in how many sets each is, as far as blocks of sets show it: it only orders, and estimates cost.
+
+        Only those counted in the least number of sets or more are fetched: no more than RARE times the mean size of a set.
+        """
         least = max(LEAST_FREQUENT, math.ceil(count / RARE))
         if count < least:
             return np.zeros(0, flat.U), np.zeros(0, np.int64)
-        likely = texts.mapInArrow(_likely(n, least / count), "gram long").groupBy("gram").count()
-        keys = np.sort(np.array([r["gram"] for r in likely.select("gram").toLocalIterator()], np.int64).view(flat.U))
-        if not len(keys):
-            return np.zeros(0, flat.U), np.zeros(0, np.int64)
-        counted = texts.mapInArrow(_counted(n, keys), "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= least).collect()
-        table = sorted((r["gram"] % (1 << 64), r["times"]) for r in counted)
-        return np.array([t[0] for t in table], flat.U), np.array([t[1] for t in table], np.int64)
+        likely = self._with(self.kept.select("doc_id", "mark"), "text").mapInArrow(_likely(self.n, least / count), "gram long, times long")
+        table = likely.groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= least).toArrow()
+        keys, times = table.column("gram").to_numpy().view(flat.U), table.column("times").to_numpy()
+        order = np.argsort(keys)
+        return keys[order], times[order]
+
+    def links(self, told: bool = False) -> DataFrame:
+        """(sid, links): how many sets each set is similar to, for those that are to any; or the pairs (a, b, jaccard), a < b."""
+        members = self.groups.unionAll(self.groups.select(F.col("root").alias("sid"), "root").distinct())
+        sets_ = members.join(self.kept.select("sid", "doc_id", "mark", "size"), "sid")
+        weights = written(sets_.groupBy("root").agg(F.sum("size").alias("weight")), "group-weights")
+        many = max(1, math.ceil((weights.agg(F.sum("weight")).first()[0] or 0) / self.together))
+        # a large group is cut in pieces, and each two of them meet in a cell
+        pieces = F.when(F.col("weight") > self.together, F.ceil(2 * F.col("weight") / self.together)).otherwise(1).cast("long")
+        cut = sets_.join(weights, "root").withColumn("c", pieces).withColumn("p", F.pmod(F.xxhash64("sid"), F.col("c"))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
+        cell = F.least("p", "q") * F.col("c") + F.greatest("p", "q")
+        side = F.when(F.col("p") == F.col("q"), 0).when(F.col("p") < F.col("q"), 1).otherwise(2)
+        placed = cut.select("doc_id", "mark", "sid", "root", cell.alias("cell"), side.alias("side"), F.when(F.col("c") > 1, F.xxhash64("root", cell)).otherwise(F.pmod(F.xxhash64("root"), F.lit(many))).alias("part"))
+        found = self._with(placed, "part", "sid", "root", "cell", "side", "text").groupBy("part").applyInArrow(_linked(self.n, self.threshold, told), "a long, b long, jaccard double" if told else "sid long, links long")
+        return written(found if told else found.groupBy("sid").agg(F.sum("links").alias("links")), "links")
+
+
+def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, split: int = SPLIT, together: int = TOGETHER) -> DataFrame:
+    """(doc_id, class_id, copy_of, n_links) of each document that has a copy or a link.
+
+    copy_of: the least id of the documents with the same set of n-grams, its own if there are no copies. n_links: how many different
+    sets are similar to the document's own. class_id: the least id of all documents that copies and links connect with it. A document
+    alone in its class has no row, as has one without a word; one of fewer than n words is the one n-gram of them all. Rows with a null
+    id or text are left out, rows that are the same document again count once, rows that share an id with different texts have a row
+    each. Other columns are not read.
+    """
+    join = Join(docs.select("doc_id", "text"), n, threshold, split, together)
+    sets_ = join.kept.select("sid", F.col("doc_id").alias("copy_of"), "n").join(join.groups, "sid", "left").join(join.links(), "sid", "left")
+    sets_ = sets_.select("sid", "copy_of", "n", F.coalesce("root", "sid").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    classes = sets_.groupBy("root").agg(F.min("copy_of").alias("class_id"), F.sum("n").alias("all")).where(F.col("all") > 1).select("root", "class_id")
+    return join.signed.select("doc_id", "sid").join(sets_.join(classes, "root"), "sid").select("doc_id", "class_id", "copy_of", "n_links")
 
 
-def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs of similar documents.
+def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, split: int = SPLIT, together: int = TOGETHER) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: all similar pairs of different sets, each named by the least id that has it.
 
-    A document without a word is similar to none, one of fewer than n words is the one n-gram of them all. Rows with a null id or
-    text are left out. Rows that share an id are not paired with each other; a pair that several of them give comes once for each
-    similarity. Other columns are not read.
+    Which documents copy these, links() tells. Rows that share an id are not paired with each other.
     """
-    join = Join(docs, n, threshold)
-    members = join.signed.groupBy("sid").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
-    of = lambda side: members.select(F.col("sid").alias(side), F.col("ids").alias(f"ids_{side}"))
-    across = join.pairs.join(of("a"), "a").join(of("b"), "b").select("jaccard", "ids_a", "ids_b")
-    within = members.where(F.size("ids") > 1).select(F.lit(1.0).alias("jaccard"), F.col("ids").alias("ids_a"), F.col("ids").alias("ids_b"))
-    one = across.select("jaccard", F.explode("ids_a").alias("x"), "ids_b").select("jaccard", "x", F.explode("ids_b").alias("y")).where("x <> y")
-    two = within.select("jaccard", F.explode("ids_a").alias("x"), "ids_b").select("jaccard", "x", F.explode("ids_b").alias("y")).where("x < y")
-    out = one.unionAll(two).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    return out if not join.signed.groupBy("doc_id").count().where("count > 1").limit(1).count() else out.distinct()
+    join = Join(docs.select("doc_id", "text"), n, threshold, split, together)
+    of = lambda side: join.kept.select(F.col("sid").alias(side), F.col("doc_id").alias(f"doc_{side}"))
+    out = join.links(told=True).join(of("a"), "a").join(of("b"), "b").where("doc_a <> doc_b")
+    return out.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of each node of the edges (a, b): root is the least node that it is connected to. Alternating large and small stars."""
+    """(sid, root) of each node of the edges (a, b) that is not the least of its component; root is the least. Alternating large and small stars."""
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     state = None
     while True:
@@ -357,25 +464,23 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(edges, "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return edges.select(F.col("u").alias("sid"), F.col("v").alias("root"))
         state = now
 
 
-def deduped(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+def deduped(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, split: int = SPLIT, together: int = TOGETHER) -> DataFrame:
     """The documents, all columns, less all but one of each group that similar pairs connect: the one of least id stays.
 
     Documents without id, text or word stay. Of rows that repeat an id with the same text one stays.
     """
-    join = Join(docs, n, threshold)
-    roots = components(join.pairs).select(F.col("node").alias("sid"), "root")
-    signed = join.signed.join(roots, "sid", "left").select("doc_id", "mark", F.coalesce("root", "sid").alias("root"))
+    join = Join(docs, n, threshold, split, together)
+    signed = join.signed.join(join.groups, "sid", "left").select("doc_id", "mark", F.coalesce("root", "sid").alias("root"))
     first = signed.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = signed.join(first, "root").where("doc_id <> first.doc_id or mark <> first.mark").select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"))
-    key = (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64("text") == F.col("__mark"))
-    out = joined(docs, written(gone, "gone"), key, "left_anti", 24)
-    ids = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__mark"))
-    twice = written(ids.groupBy("__doc", "__mark").count().where("count > 1").select("__doc", "__mark"), "twice")
+    gone = signed.join(first, "root").where("doc_id <> first.doc_id or mark <> first.mark")
+    key = [join.id, join.mark]
+    out = join.held.join(written(gone.select(F.col("doc_id").alias(join.id), F.col("mark").alias(join.mark)), "gone"), key, "left_anti")
+    real = F.col(join.id).isNotNull() & F.col("text").isNotNull()
+    twice = written(join.held.where(real).groupBy(*key).count().where("count > 1").select(*key), "twice")
     if twice.limit(1).count():
-        some = joined(out, twice, key, "left_semi").withColumn("__mark", F.xxhash64("text")).dropDuplicates(["doc_id", "__mark"]).drop("__mark")
-        out = joined(out, twice, key, "left_anti").unionByName(some)
-    return out
+        out = out.join(twice, key, "left_anti").unionByName(out.join(twice, key, "left_semi").dropDuplicates(key))
+    return out.select(*docs.columns)

@@ -47,7 +47,7 @@ def clashing(df):
     """The same rows with columns named like those that operators use inside."""
     from pyspark.sql import functions as F
 
-    names = ("mark", "hash", "score", "rank", "body", "sid", "family", "part", "bucket", "start", "n", "lead", "key", "__key", "label", "toxic", "quality", "item_id", "begin", "size", "root")
+    names = ("mark", "hash", "score", "rank", "body", "sid", "family", "part", "bucket", "start", "n", "lead", "key", "__key", "label", "toxic", "quality", "item_id", "begin", "size", "root", "id", "_id", "__doc", "__mark", "__gone", "__removed", "gone", "sid", "first", "kept", "lines_removed_", "scored", "span")
     for name in names:
         df = df.withColumn(name, F.lit("clash"))
     return df

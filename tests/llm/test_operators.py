@@ -312,16 +312,39 @@ def test_paths_of_a_forest():
 # ---- n-gram Jaccard join
 
 
-def brute_pairs(rows, n, threshold):
-    sets = defaultdict(set)
-    for i, t, *_ in rows:
+def brute_sets(rows, n):
+    """{set of n-grams: ids of the texts that have it}, a text of an id once."""
+    sets = defaultdict(list)
+    for i, t in {(r[0], r[1]) for r in rows}:
         if i is not None and t is not None and fold(t):
-            sets[i].add(frozenset(shingles(fold(t), n)))
+            sets[frozenset(shingles(fold(t), n))].append(i)
+    return sets
+
+
+def brute_pairs(rows, n, threshold):
+    sets = brute_sets(rows, n)
     out = set()
-    for a, b in itertools.combinations(sorted(sets), 2):
-        for x, y in itertools.product(sets[a], sets[b]):
-            if len(x & y) >= threshold * len(x | y) - 1e-9:
-                out.add((a, b, round(len(x & y) / len(x | y), 6)))
+    for x, y in itertools.combinations(sets, 2):
+        a, b = min(sets[x]), min(sets[y])
+        if a != b and len(x & y) >= threshold * len(x | y) - 1e-9:
+            out.add((min(a, b), max(a, b), round(len(x & y) / len(x | y), 6)))
+    return out
+
+
+def brute_links(rows, n, threshold):
+    sets = brute_sets(rows, n)
+    near = {x: [y for y in sets if x != y and len(x & y) >= threshold * len(x | y) - 1e-9] for x in sets}
+    out = []
+    for x in sets:
+        found, left = {x}, [x]
+        while left:
+            for y in near[left.pop()]:
+                if y not in found:
+                    found.add(y)
+                    left.append(y)
+        members = [i for y in found for i in sets[y]]
+        if len(members) > 1:
+            out += [(i, min(members), min(sets[x]), len(near[x])) for i in sets[x]]
     return out
 
 
@@ -339,50 +362,73 @@ def jaccard_rows(seed=4):
     return rows
 
 
-def test_jaccard_pairs(spark, monkeypatch):
+@pytest.fixture
+def small_tables(monkeypatch):
     monkeypatch.setattr(similar, "BUCKET", 500)
-    monkeypatch.setattr(similar, "TOGETHER", 300)
     monkeypatch.setattr(similar, "LEAST_FREQUENT", 3)
     monkeypatch.setattr(similar, "RARE", 20)
+
+
+def test_jaccard_links(spark, small_tables):
     rows = jaccard_rows()
-    got = [tuple(r) for r in similar.pairs(fixtures.frame(spark, rows)).collect()]
+    for split, together in ((similar.SPLIT, similar.TOGETHER), (3, 300)):  # all at once, and frequent n-grams and groups in cells
+        got = [tuple(r) for r in similar.links(fixtures.frame(spark, rows + rows[:9]), split=split, together=together).collect()]
+        assert Counter(got) == Counter(brute_links(rows, similar.N, similar.THRESHOLD))
+    got = [tuple(r) for r in similar.pairs(fixtures.frame(spark, rows), split=3, together=300).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, similar.N, similar.THRESHOLD)
 
 
-def test_jaccard_pairs_of_awkward_rows(spark):
-    rows = fixtures.rows() + [(14, "y", "en", "s", 1), (20, "x", "en", "s", 1)]
-    got = [tuple(r) for r in similar.pairs(fixtures.clashing(fixtures.frame(spark, rows))).collect()]
-    assert set(got) == brute_pairs(rows, similar.N, similar.THRESHOLD) and len(got) == len(set(got))
-    assert similar.pairs(fixtures.frame(spark, [])).count() == 0
+def test_jaccard_links_across_groups(spark, small_tables, monkeypatch):
+    monkeypatch.setattr(similar, "MET", 99)  # no groups are found before: all pairs are told
+    rows = jaccard_rows(5)
+    for split in (similar.SPLIT, 2):
+        got = [tuple(r) for r in similar.links(fixtures.frame(spark, rows), split=split, together=200).collect()]
+        assert Counter(got) == Counter(brute_links(rows, similar.N, similar.THRESHOLD))
+
 
+def test_a_group_of_a_third_of_all_rows(spark, small_tables):
+    rnd = np.random.default_rng(3)
+    base, rows = fixtures.words(1, 80), []
+    for i in range(600):
+        ws = list(base) if i % 3 == 0 else fixtures.words(100 + i, 30)
+        if i % 6 == 0:
+            for k in rnd.integers(0, 80, 3):
+                ws[int(k)] = f"w{i}"
+        rows.append((i, " ".join(ws), "en", "s", 0))
+    got = [tuple(r) for r in similar.links(fixtures.frame(spark, rows), split=16, together=2000).collect()]
+    assert Counter(got) == Counter(brute_links(rows, similar.N, similar.THRESHOLD)) and len(got) == 200
 
-def groups(pairs):
-    root = {}
 
-    def top(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
+def test_overlaps_are_exact():
+    rnd = np.random.default_rng(2)
+    grams = [np.unique(rnd.integers(0, 400, int(rnd.integers(1, 90))).astype(np.uint64)) for _ in range(120)] + [np.arange(3, dtype=np.uint64)] * 40
+    want = [[len(np.intersect1d(x, y)) for y in grams] for x in grams]
+    for most in (1, 1000, 1 << 22):
+        assert np.vstack([x for _, x in similar.overlaps(grams, most)]).tolist() == want
 
-    for a, b, _ in pairs:
-        a, b = top(a), top(b)
-        root[max(a, b)] = min(a, b)
-    return {x: top(x) for x in root}
+
+def test_jaccard_links_of_awkward_rows(spark):
+    rows = fixtures.rows() + [(14, "y", "en", "s", 1), (20, "x", "en", "s", 1)]
+    got = [tuple(r) for r in similar.links(fixtures.clashing(fixtures.frame(spark, rows))).collect()]
+    assert Counter(got) == Counter(brute_links(rows, similar.N, similar.THRESHOLD))
+    assert similar.links(fixtures.frame(spark, [])).count() == 0 and similar.pairs(fixtures.frame(spark, [])).count() == 0
 
 
 def test_one_of_each_group_stays(spark):
     rows = jaccard_rows(9)
-    root = groups(brute_pairs(rows, similar.N, similar.THRESHOLD))
-    docs = fixtures.frame(spark, rows + [rows[0], (None, rows[0][1], "en", "s", 0), (800, None, "en", "s", 0), (801, "", "en", "s", 0)])
+    gone = {i for i, least, _, _ in brute_links(rows, similar.N, similar.THRESHOLD) if i != least}
+    docs = fixtures.clashing(fixtures.frame(spark, rows + [rows[0], (None, rows[0][1], "en", "s", 0), (800, None, "en", "s", 0), (801, "", "en", "s", 0)]))
     out = similar.deduped(docs)
-    assert out.schema == docs.schema
-    assert Counter(r["doc_id"] for r in out.collect()) == Counter([i for i, *_ in rows if root.get(i, i) == i] + [None, 800, 801])
+    assert out.dtypes == docs.dtypes
+    left = out.collect()
+    assert Counter(r["doc_id"] for r in left) == Counter([i for i, *_ in rows if i not in gone] + [None, 800, 801])
+    assert all(r[c] == "clash" for r in left for c in docs.columns if c not in fixtures.SCHEMA)
     assert similar.deduped(docs.limit(0)).count() == 0
 
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 105), (105, 103), (200, 200)]
-    got = {r["node"]: r["root"] for r in similar.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["sid"]: r["root"] for r in similar.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(2, 41)}, 103: 100, 105: 100}
 
 
