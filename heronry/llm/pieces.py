@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import flat
+from .shared import frugal
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NONE = np.int64(1 << 40)
-BATCH = 8 << 20
+BATCH = 2 << 20
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -349,7 +350,7 @@ def _coded(raw: bytes, schema: pa.Schema, at: int, write: bool):
                 columns[at : at + 1] = [decoded if write else text]
                 yield pa.RecordBatch.from_arrays([*columns, listed, decoded][: len(schema)], schema.names)
 
-    return run
+    return flat.tidy(run)
 
 
 def coded(docs: DataFrame, path: str) -> DataFrame:
@@ -358,6 +359,7 @@ def coded(docs: DataFrame, path: str) -> DataFrame:
     An empty text has no piece and decodes to an empty text; a null has null for both. A null doc_id stays, a repeated row gives
     its result again. Other columns are not read.
     """
+    frugal(docs.sparkSession)
     raw = load(path)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
@@ -367,6 +369,7 @@ def coded(docs: DataFrame, path: str) -> DataFrame:
 
 def recoded(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """The documents with a text that went through pieces and back, and the column `ids` of its pieces; a column of that name is replaced."""
+    frugal(docs.sparkSession)
     raw = load(path)
     rows = docs.drop(ids)
     schema = T.StructType([*rows.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])

@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes up to which a side of a join, or a model, is sent whole to every executor.
-BROADCAST_BYTES = 64 << 20
+from ..sources.tables import folder, written
 
+__all__ = ["bucketed", "folder", "frugal", "joined", "partitions", "unused", "written"]
 
-def folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where none is set, as in tests on one machine, a temporary one is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = f"file://{tempfile.gettempdir()}/heronry-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+#: Bytes up to which a side of a join, or a model, is sent whole to every executor.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of an Arrow batch that goes to a Python worker.
+ARROW_BYTES = 8 << 20
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, and not again when an executor is lost."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def frugal(spark: SparkSession) -> None:
+    """Arrow batches of texts of at most ARROW_BYTES, unless the session says otherwise: they are held several times by an executor's tasks."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).lower().rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import bucketed, unused, written
+from .shared import bucketed, frugal, unused, written
 
 N, THRESHOLD = 3, 0.55
 #: An n-gram is frequent if it is in one set of RARE, and in LEAST_FREQUENT at least.
@@ -65,7 +65,7 @@ def _signed(n: int):
             lists = pa.ListArray.from_arrays(np.cumsum([0] + [len(x) for x in first]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), lists], ["doc_id", "mark", "sid", "size", "first"])
 
-    return run
+    return flat.tidy(run)
 
 
 def _name(own: np.ndarray) -> int:
@@ -93,7 +93,7 @@ def _likely(n: int, share: float):
         if block:
             yield out()
 
-    return run
+    return flat.tidy(run)
 
 
 def ordered(own: np.ndarray, keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +175,7 @@ def _postings(n: int, threshold: float, keys: np.ndarray, times: np.ndarray, buc
         if held:
             yield packed(held)
 
-    return run
+    return flat.tidy(run)
 
 
 def _across(run: np.ndarray, group: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -238,7 +238,7 @@ def _paired(threshold: float):
         a, b = np.minimum(sids[x], sids[y]), np.maximum(sids[x], sids[y])
         return pa.table([pa.array(a), pa.array(b), pa.array(counts[0].astype(np.int32)), pa.array(np.maximum(ell[x], ell[y]).astype(np.int32))], schema=schema)
 
-    return run
+    return flat.tidy(run)
 
 
 def _verified(n: int, threshold: float):
@@ -271,7 +271,7 @@ def _verified(n: int, threshold: float):
         ok = overlap >= needed(union, threshold)
         return pa.table([pa.array(by[a[ok]]), pa.array(by[b[ok]])], schema=schema)
 
-    return run
+    return flat.tidy(run)
 
 
 def overlaps(grams: list[np.ndarray], most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray]]:
@@ -339,7 +339,7 @@ def _linked(n: int, threshold: float, told: bool):
                 out.append(pa.table([pa.array(sid[rows][links > 0]), pa.array(links[links > 0])], schema=schema))
         return pa.concat_tables(out)
 
-    return run
+    return flat.tidy(run)
 
 
 class Join:
@@ -351,6 +351,7 @@ class Join:
     """
 
     def __init__(self, docs: DataFrame, n: int = N, threshold: float = THRESHOLD, split: int = SPLIT, together: int = TOGETHER):
+        frugal(docs.sparkSession)
         self.n, self.threshold, self.together = n, threshold, together
         self.id, self.mark = unused(docs, "id"), unused(docs, "mark")
         self.held = bucketed(docs.withColumns({self.id: F.col("doc_id").cast("long"), self.mark: F.xxhash64("text")}), [self.id, self.mark], "documents")
