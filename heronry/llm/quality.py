@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import joined
+from .shared import frugal, written
 
 #: Labelled documents, by order of a hash of their id, from which trees are grown; trees, rows of a tree, and seed.
 FIT_DOCUMENTS, TREES, ROWS, SEED = 4000, 100, 256, 7
@@ -111,50 +111,59 @@ def _path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def _scored(forest: Forest, most: float):
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, statistics(batch.column(2)).T)], ["doc_id", "quality", *NAMES])
+
+
+def _scored(forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.round(forest.scores(statistics(batch.column(1))), 6)
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
-            yield out.filter(pa.array(score <= most))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(forest.scores(statistics(batch.column(1))), 6))], ["doc_id", "score"])
 
-    return run
+    return flat.tidy(run)
 
 
-def trained(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> tuple[Forest | None, float]:
-    """(forest, greatest score kept): grown from at most fit_documents labelled rows, calibrated over all of them.
+def trained(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> tuple[Forest | None, DataFrame]:
+    """(forest, marks): grown from the statistics of at most fit_documents labelled rows; marks are (doc_id, quality) of all labels.
 
     Label rows with a null are left out; a document labelled both ways is bad. The forest is None where no document is labelled good.
-    The threshold is the score that tells most labelled rows rightly; without bad ones all is kept.
     """
+    frugal(docs.sparkSession)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents)
-    rows = sorted(joined(texts, chosen, ["doc_id"], "inner").select("doc_id", "text", "quality").collect())
-    stats = statistics(pa.array([r["text"] for r in rows], pa.string()))
-    good = np.array([r["quality"] > 0 for r in rows], bool)
-    if not good.any():
-        return None, float("inf")
-    forest = Forest(stats[good], stats.min(0), stats.max(0))
-    scored = joined(joined(texts, marks, ["doc_id"], "inner").select("doc_id", "text").mapInArrow(_scored(forest, float("inf")), "doc_id long, score double"), marks, ["doc_id"], "inner")
-    table = scored.groupBy(F.round("score", 3).alias("score")).agg(F.sum((F.col("quality") > 0).cast("long")).alias("yes"), F.count("*").alias("n")).orderBy("score").collect()
+    held = texts.select("doc_id").distinct().join(marks, "doc_id")
+    chosen = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents)
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("long").alias("quality"), "text")
+    table = rows.mapInArrow(_counted, "doc_id long, quality long, " + ", ".join(f"{n} double" for n in NAMES)).toArrow().sort_by([("doc_id", "ascending"), *((n, "ascending") for n in NAMES)])
+    stats = np.stack([table.column(n).to_numpy() for n in NAMES], 1)
+    good = table.column("quality").to_numpy() > 0
+    return (Forest(stats[good], stats.min(0), stats.max(0)) if good.any() else None), marks
+
+
+def threshold(scored: DataFrame, marks: DataFrame) -> float:
+    """The greatest score that is kept: the one that tells most labelled rows rightly, halfway to the next. Without bad ones all is kept."""
+    told = scored.where("doc_id is not null").join(marks, "doc_id")
+    table = told.groupBy(F.round("score", 3).alias("score")).agg(F.sum((F.col("quality") > 0).cast("long")).alias("yes"), F.count("*").alias("n")).orderBy("score").collect()
     score = np.array([r["score"] for r in table])
     yes, n = np.array([r["yes"] for r in table], float), np.array([r["n"] for r in table], float)
     if (n - yes).sum() == 0:
-        return forest, float("inf")
+        return float("inf")
     accuracy = np.cumsum(yes) - np.cumsum(n - yes)
     at = np.flatnonzero(accuracy == accuracy.max())
-    return forest, float((score[at[-1]] + (score[at[-1] + 1] if at[-1] + 1 < len(score) else score[at[-1]])) / 2)
+    return float((score[at[-1]] + (score[at[-1] + 1] if at[-1] + 1 < len(score) else score[at[-1]])) / 2)
 
 
 def kept(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
     """(doc_id, score) of the documents that are no anomaly.
 
     A null text is left out, an empty one is scored as one without words. A null id stays null; a repeated row comes again. Without
-    labelled good documents everything is kept, with a null score. Other columns are not read.
+    labelled good documents everything is kept, with a null score. Other columns are not read. All texts are scored once, and none
+    takes part in a join but those that the forest is grown from.
     """
-    forest, most = trained(docs, labels, fit_documents)
+    forest, marks = trained(docs, labels, fit_documents)
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if forest is None:
         return rows.select("doc_id", F.lit(None).cast("double").alias("score"))
-    return rows.mapInArrow(_scored(forest, most), "doc_id long, score double")
+    scored = written(rows.mapInArrow(_scored(forest), "doc_id long, score double"), "quality-scores")
+    return scored.where(F.col("score") <= threshold(scored, marks))

@@ -14,15 +14,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import flat
-from .shared import joined, written
+from .shared import frugal, unused, written
 
 #: Labelled documents that docs holds from which the field is fitted, and how many of them are toxic if there are so many, half of
 #: them at most unless others are too few; of either kind the first by a hash of their id.
 FIT_DOCUMENTS, TOXIC_DOCUMENTS = 2000, 400
+#: Bytes of their texts, of each kind, that the fit reads: documents are taken up to that, in the same order.
+FIT_BYTES = 32 << 20
+#: Words of a line that are gone through one after another; longer lines are cut.
+CUT = 256
 SPANS = "array<struct<begin: int, end: int>>"
 SCORED = f"doc_id long, score double, spans {SPANS}"
 _SPAN = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
@@ -44,9 +49,13 @@ class Field:
 
 
 class Lines:
-    """Words of a slice in columns: first all first words of lines, longest line first, then all second words, and so on."""
+    """Words of a slice in columns: first all first words of lines, longest line first, then all second words, and so on.
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, bounds: np.ndarray):
+    A line of more than `cut` words is cut into pieces that stand as lines of their own; what one piece hands to the next comes from
+    the products of their words' matrices.
+    """
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, bounds: np.ndarray, cut: int = 1 << 62):
         n = len(starts)
         first = np.zeros(n, bool)
         if n:
@@ -55,7 +64,16 @@ class Lines:
             first[bounds[bounds < n]] = True
         heads = np.flatnonzero(first)
         sizes = np.diff(np.append(heads, n))
+        parts = -(-sizes // cut)
+        place = flat.runs(np.zeros(len(parts), np.int64), parts)  # of a piece in its line
+        heads, left = np.repeat(heads, parts) + place * min(cut, n + 1), np.repeat(sizes, parts) - place * min(cut, n + 1)
+        sizes = np.minimum(left, cut)
         order = np.argsort(-sizes, kind="stable")
+        column = np.empty(len(order), np.int64)
+        column[order] = np.arange(len(order))
+        #: Columns of the pieces of long lines, one after another, with their first words, sizes, and whether a line begins and ends with them.
+        self.cut = np.flatnonzero(np.repeat(parts, parts) > 1)
+        self.columns, self.heads, self.sizes, self.begins, self.ends = column[self.cut], heads[self.cut], sizes[self.cut], place[self.cut] == 0, left[self.cut] <= cut
         heads, sizes = heads[order], sizes[order]
         deepest = int(sizes[0]) if n else 0
         self.active = np.searchsorted(-sizes, -np.arange(deepest), "left")  # lines longer than t
@@ -64,14 +82,57 @@ class Lines:
         for t in range(deepest):
             self.word[self.at[t] : self.at[t + 1]] = heads[: self.active[t]] + t
 
+    def _handed(self, odds: np.ndarray, start: float, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece of a long line (forward odds of the word before, 0 at a line's start; backward odds of its last word)."""
+        (oo, ot), (to, tt) = moves
+        own = np.empty(len(odds))
+        own[self.word] = odds
+        m, depth = len(self.cut), int(self.sizes.max())
+        ahead, back = np.tile(np.eye(2), (m, 1, 1)), np.tile(np.eye(2), (m, 1, 1))
+        for t in range(depth):
+            some = np.flatnonzero(self.sizes > t)
+            e = own[self.heads[some] + t]
+            step = np.empty((len(some), 2, 2))
+            step[:, 0, 0], step[:, 0, 1], step[:, 1, 0], step[:, 1, 1] = oo, to, e * ot, e * tt
+            if not t:
+                new = self.begins[some]
+                step[new, 0, 0], step[new, 0, 1], step[new, 1, 0], step[new, 1, 1] = 1, 0, e[new] * start, 0
+            ahead[some] = step @ ahead[some]
+            ahead[some] /= ahead[some].max((1, 2), keepdims=True)
+            step[:, 0, 0], step[:, 0, 1], step[:, 1, 0], step[:, 1, 1] = oo, e * ot, to, e * tt
+            back[some] = back[some] @ step
+            back[some] /= back[some].max((1, 2), keepdims=True)
+        before, after = np.zeros(m), np.ones(m)
+        v = np.array([1.0, 0.0])
+        for i in range(m):
+            if self.begins[i]:
+                v = np.array([1.0, 0.0])
+            before[i] = v[1] / max(v[0], 1e-300)
+            v = ahead[i] @ v
+            v = v / v.max()
+        v = np.ones(2)
+        for i in range(m - 1, -1, -1):
+            if self.ends[i]:
+                v = np.ones(2)
+            after[i] = v[1] / max(v[0], 1e-300)
+            v = back[i] @ v
+            v = v / v.max()
+        return before, after
+
     def marginals(self, odds: np.ndarray, start: float, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(forward odds, backward odds, probability of T), all in columns."""
         (oo, ot), (to, tt) = moves
         ahead, back = odds.copy(), np.ones_like(odds)
         at, depth = self.at, len(self.active)
+        if len(self.cut):
+            before, last = self._handed(odds, start, moves)
+            back[at[self.sizes - 1] + self.columns] = last
         for t in range(depth):
             if not t:
-                ahead[: at[1]] *= start
+                gain = np.full(int(at[1]), start)
+                if len(self.cut):
+                    gain[self.columns] = np.where(self.begins, start, (ot + tt * before) / (oo + to * before))
+                ahead[: at[1]] *= gain
             else:
                 before = ahead[at[t - 1] : at[t - 1] + self.active[t]]
                 ahead[at[t] : at[t + 1]] *= (ot + tt * before) / (oo + to * before)
@@ -179,9 +240,9 @@ def scores(field: Field, column: pa.Array) -> Iterator[tuple[int, float, list[tu
     sieve = np.zeros(1 << 22, bool)
     sieve[(field.keys >> flat.U(42)).astype(np.int64)] = True
     data, offs = flat.buffers(column)
-    for row, _, part, at in flat.slices(data, offs, 4 * flat.SLICE):
+    for row, _, part, at in flat.slices(data, offs):
         starts, ends, bounds = flat.spans(part, at)
-        lines = Lines(part, starts, bounds)
+        lines = Lines(part, starts, bounds, CUT)
         p = np.empty(len(starts))
         p[lines.word] = lines.marginals(_odds(field, features(part, starts, ends), sieve)[lines.word], field.start, field.moves)[2]
         hot = np.flatnonzero(p >= 0.5)
@@ -199,75 +260,92 @@ def scores(field: Field, column: pa.Array) -> Iterator[tuple[int, float, list[tu
             yield row + r, float(-np.log(np.maximum(1 - p[hot[own]], 1e-12)).sum()), list(zip((chars[starts[hot[heads]]] - base).tolist(), (chars[ends[hot[tails]]] - base).tolist()))
 
 
-def _scored(field: Field, least: float):
+def _scored(field: Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            rows = [(ids[r], round(s, 6), x) for r, s, x in scores(field, batch.column(1)) if s >= least]
-            columns = [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.float64()), pa.array([[{"begin": a, "end": b} for a, b in x[2]] for x in rows], _SPAN)]
+            rows = [(r, round(s, 6), x) for r, s, x in scores(field, batch.column(1))]
+            columns = [batch.column(0).take(pa.array([x[0] for x in rows], pa.int64())), pa.array([x[1] for x in rows], pa.float64()), pa.array([[{"begin": a, "end": b} for a, b in x[2]] for x in rows], _SPAN)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "spans"])
 
-    return run
+    return flat.tidy(run)
 
 
-def _clean(field: Field, least: float, at: int):
+def _marked(field: Field, at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            keep[[r for r, s, _ in scores(field, batch.column(at)) if s >= least]] = False
-            yield batch.filter(pa.array(keep))
+            score = np.zeros(batch.num_rows)
+            for r, s, _ in scores(field, batch.column(at)):
+                score[r] = round(s, 6)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names)
 
-    return run
+    return flat.tidy(run)
 
 
-def sampled(held: DataFrame, fit_documents: int, toxic_documents: int = TOXIC_DOCUMENTS) -> DataFrame:
-    """(doc_id, toxic) of the documents to fit from, of those in held; toxic ones first, as far as toxic_documents goes."""
+def sampled(held: DataFrame, fit_documents: int, toxic_documents: int = TOXIC_DOCUMENTS, fit_bytes: int = FIT_BYTES) -> DataFrame:
+    """(doc_id, toxic) of the documents (doc_id, toxic, size in bytes, if known) to fit from; toxic ones first, as far as toxic_documents goes."""
     n = {r["bad"]: r["count"] for r in held.groupBy((F.col("toxic") > 0).alias("bad")).count().collect()}
     bad = min(n.get(True, 0), max(min(toxic_documents, fit_documents // 2), fit_documents - n.get(False, 0)))
+    order, size = (F.xxhash64("doc_id"), F.col("doc_id")), F.col("size") if "size" in held.columns else F.lit(0)
 
     def some(of: str, most: int) -> DataFrame:
-        return held.where(of).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        first = held.where(of).orderBy(*order).limit(most)  # at most fit_documents rows, so that one window holds them
+        return first.withColumn("all", F.sum(size).over(Window.orderBy(*order))).where(F.col("all") <= fit_bytes).select("doc_id", "toxic")
 
     return some("toxic > 0", bad).unionByName(some("toxic <= 0", fit_documents - bad))
 
 
-def trained(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> tuple[Field | None, float]:
-    """(field, least toxic score): fitted from at most fit_documents of the labelled documents that docs holds, calibrated over all.
+def trained(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> tuple[Field | None, DataFrame]:
+    """(field, labelled documents): fitted from at most fit_documents of the labelled documents (doc_id, toxic, size) that docs holds.
 
     Label rows with a null are left out; a document labelled both ways is toxic. With no labelled document of either kind, or no
     telling word, the field is None and nothing is toxic.
     """
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    frugal(docs.sparkSession)
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    held = written(joined(texts.select("doc_id"), marks, ["doc_id"], "inner").distinct(), "labelled")
-    rows = joined(texts, sampled(held, fit_documents), ["doc_id"], "inner").select("doc_id", "text", "toxic").collect()
-    field = fitted([(r["text"], int(r["toxic"] > 0)) for r in sorted(rows)])
-    if field is None:
-        return None, float("inf")
-    labelled = joined(texts, marks, ["doc_id"], "inner")
-    found = joined(labelled.select("doc_id", "text").mapInArrow(_scored(field, 0.0), SCORED), marks, ["doc_id"], "inner")
-    table = found.groupBy(F.round("score", 3).alias("score")).agg(F.sum((F.col("toxic") > 0).cast("long")).alias("yes"), F.count("*").alias("n")).orderBy(F.desc("score")).collect()
+    sizes = texts.groupBy("doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("size"))
+    held = written(sizes.join(marks, "doc_id").select("doc_id", "toxic", "size"), "labelled")
+    rows = texts.join(F.broadcast(sampled(held, fit_documents)), "doc_id").select("doc_id", "text", "toxic").collect()
+    return fitted([(r["text"], int(r["toxic"] > 0)) for r in sorted(rows)]), held
+
+
+def threshold(found: DataFrame, held: DataFrame) -> float:
+    """The least score that counts as toxic: that of highest F1 over all labelled documents. found: (doc_id, score) of those with a span."""
+    told = found.where("score > 0").join(held, "doc_id")
+    table = told.groupBy(F.round("score", 3).alias("score")).agg(F.sum((F.col("toxic") > 0).cast("long")).alias("yes"), F.count("*").alias("n")).orderBy(F.desc("score")).collect()
     all_toxic = held.where("toxic > 0").count()
     least, best, yes, n = float("inf"), 0.0, 0, 0
     for r in table:
         yes, n = yes + r["yes"], n + r["n"]
         if 2 * yes / (n + all_toxic) >= best:
             least, best = r["score"] - 0.0005, 2 * yes / (n + all_toxic)
-    return field, least
+    return least
 
 
 def toxic(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
     """(doc_id, score, spans) of each toxic document; a span is [begin, end) in characters.
 
-    A null id or text, or an empty text, is never toxic. A repeated row gives its result again. Other columns are not read.
+    A null id or text, or an empty text, is never toxic. A repeated row gives its result again. Other columns are not read. All texts
+    are scored once, and no text takes part in a join but those that the field is fitted from.
     """
-    field, least = trained(docs, labels, fit_documents)
+    field, held = trained(docs, labels, fit_documents)
     if field is None:
         return docs.sparkSession.createDataFrame([], SCORED)
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(_scored(field, least), SCORED)
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    found = written(rows.mapInArrow(_scored(field), SCORED), "toxic-scores")
+    return found.where(F.col("score") >= threshold(found, held))
 
 
 def clean(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
-    """The documents, all columns, that are not toxic as toxic() has it; null texts and rows with a null id and no span stay."""
-    field, least = trained(docs, labels, fit_documents)
-    return docs if field is None else docs.mapInArrow(_clean(field, least, docs.columns.index("text")), docs.schema)
+    """The documents, all columns, that are not toxic as toxic() has it; null texts and rows with a null id and no span stay.
+
+    The documents are written with their scores, so that they are scored once.
+    """
+    field, held = trained(docs, labels, fit_documents)
+    if field is None:
+        return docs
+    score = unused(docs, "score")
+    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
+    marked = written(docs.mapInArrow(_marked(field, docs.columns.index("text"), schema.names), schema), "toxic-marked")
+    found = marked.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(score).alias("score"))
+    return marked.where(F.col(score) < threshold(found, held)).drop(score)
