@@ -8,6 +8,9 @@ super_kmers: stretches go to the bucket of their minimiser, where sorting the wi
 suffixes: each stretch is the suffix that begins at its minimiser, with what is before it. Splitters sampled from the suffixes
 range-partition them by leading words; a bucket sorts its suffixes by multikey quicksort. Where a splitter parts suffixes of one
 minimiser they are compared across that boundary, in a group of their own.
+
+A minimiser that more than HOT stretches have goes neither way, for its group could be a third of all: its windows are hashed where they
+are, and combined before they are sent.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import written
+from .shared import frugal, written
 
 WINDOW, GRAM = 50, 8
 #: Words of the stretches that make a bucket, and suffixes sampled for each splitter.
 BUCKET, SAMPLES = 1 << 20, 32
+#: Stretches of one minimiser that are compared in one bucket.
+HOT = 1 << 14
 _STRETCH = "doc_id long, mark long, start long, n int, lead int, key long"
 
 
@@ -91,11 +96,11 @@ def _thin(window: int, gram: int, places: bool):
                 columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(starts), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(value.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "start", "n", "lead", "key"])
 
-    return run
+    return flat.tidy(run)
 
 
-def _packed(window: int, route: Callable[[list[bytes], np.ndarray], np.ndarray]):
-    """Stretches with their words, joined by one space, and the bucket that `route` gives them."""
+def _packed(window: int, route: Callable[[list[bytes], np.ndarray], np.ndarray], tailed: bool):
+    """Stretches with their words, joined by one space, and the bucket that `route` gives them, by what follows their lead if `tailed`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,11 +124,11 @@ def _packed(window: int, route: Callable[[list[bytes], np.ndarray], np.ndarray])
                 take = pa.array(rows + row)
                 lead = listed["lead"][own].astype(np.int64)
                 begin = (inner[:-1] + np.arange(len(word)))[edge[:-1] + lead] if len(words) else edge[:0]
-                tails = [spaced[a:b].tobytes() for a, b in zip(begin.tolist(), outer[1:].tolist())]
+                tails = [spaced[a:b].tobytes() for a, b in zip(begin.tolist(), outer[1:].tolist())] if tailed else []
                 columns = [pa.array(route(tails, listed["key"][own]), pa.int64()), batch.column(0).take(take), batch.column(1).take(take), *(pa.array(listed[k][own]) for k in ("start", "n", "lead")), text]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "doc_id", "mark", "start", "n", "lead", "body"])
 
-    return run
+    return flat.tidy(run)
 
 
 def ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -200,7 +205,7 @@ def _counted(window: int):
         hit = np.flatnonzero(shared(order, group, docs[rows]))
         return _covers(rows[hit], at[hit] - bounds[rows[hit]] + start[rows[hit]], docs, marks, window)
 
-    return run
+    return flat.tidy(run)
 
 
 def multikey(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,18 +269,51 @@ def _sorted(window: int):
         rows = np.concatenate([np.zeros(0, np.int64), *rows])
         return _covers(rows, np.concatenate([np.zeros(0, np.int64), *places]), docs_, marks_, window)
 
-    return run
+    return flat.tidy(run)
+
+
+def _hashed(window: int):
+    """The windows of the stretches listed for each text, each with its place and two hashes of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = flat.buffers(batch.column(2))
+            cut = batch.column(3).offsets.to_numpy()
+            start, n = (batch.column(k).values.to_numpy().astype(np.int64) for k in (3, 4))
+            for row, end, part, at in flat.slices(data, offs):
+                starts, ends, bounds = flat.spans(part, at, flat.DARK)
+                words = flat.hashes(part, starts, ends, flat.SAME)
+                own = slice(cut[row], cut[end])
+                rows = np.repeat(np.repeat(np.arange(end - row), np.diff(cut[row : end + 1])), n[own])
+                place = flat.runs(start[own], n[own])
+                here = bounds[rows] + place
+                one, two = flat.grams(words, window)[here], flat.grams(flat.mix(words + flat.U(1)), window)[here]
+                take = pa.array(rows + row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "mark", "place", "one", "two"])
+
+    return flat.tidy(run)
+
+
+def _hot(rows: DataFrame, some: DataFrame, window: int) -> DataFrame:
+    """Covers of the stretches of minimisers that very many stretches have: their windows are counted by 128 bits of hash, one by one,
+    which are combined before they travel."""
+    each = written(_texts(rows, some).select("doc_id", "mark", "text", "start", "n").mapInArrow(_hashed(window), "doc_id long, mark long, place long, one long, two long"), "hot-windows")
+    many = each.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("one", "two")
+    return each.join(many, ["one", "two"]).select("doc_id", "mark", F.col("place").alias("first_word"), (F.col("place") + window - 1).alias("last_word"))
 
 
-def _listed(docs: DataFrame, window: int, gram: int, places: bool) -> tuple[DataFrame, DataFrame, int]:
-    """(documents with an id and text, stretches whose minimiser two documents share, their number of words)."""
+def _listed(docs: DataFrame, window: int, gram: int, places: bool, hot: int) -> tuple[DataFrame, DataFrame, int, DataFrame | None]:
+    """(documents with an id and text, stretches whose minimiser two documents share, their number of words, covers of those whose
+    minimiser more than `hot` stretches have, which are not among the stretches)."""
+    frugal(docs.sparkSession)
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    thin = rows.mapInArrow(_thin(window, gram, places), _STRETCH)
-    by = Window.partitionBy("key")
-    both = thin.withColumn("low", F.min("doc_id").over(by)).withColumn("high", F.max("doc_id").over(by)).where("low <> high").drop("low", "high")
-    kept = written(both.distinct(), "stretches")
+    thin = written(rows.mapInArrow(_thin(window, gram, places), _STRETCH), "thin")
+    by = thin.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("times")).where("low <> high").select("key", "times")
+    names = ("doc_id", "mark", "start", "n", "lead", "key")
+    both = written(thin.join(by, "key").select(*names, (F.col("times") > hot).alias("hot")).distinct(), "stretches")
+    kept, some = both.where("not hot").select(*names), both.where("hot").select(*names)
     words = kept.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
-    return rows, kept, words
+    return rows, kept, words, _hot(rows, some, window) if some.limit(1).count() else None
 
 
 def _texts(rows: DataFrame, kept: DataFrame) -> DataFrame:
@@ -285,6 +323,7 @@ def _texts(rows: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.join(lists, ["doc_id", "mark"]).select("doc_id", "mark", "text", *names)
 
 
+_COVERS = "doc_id long, mark long, first_word long, last_word long"
 _PACKED = "bucket long, doc_id long, mark long, start long, n int, lead int, body binary"
 
 
@@ -296,41 +335,44 @@ def _merged(covers: DataFrame) -> DataFrame:
     return spans.select("doc_id", "first_word", (F.col("last") - F.col("first_word") + 1).alias("n_words")).distinct()
 
 
-def super_kmers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def super_kmers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, first_word, n_words) of the passages of `window` words and more, in every document that holds them, that others share.
 
     A word belongs to a passage if a window over it stands in another document, too; passages that touch are one. Words count from 0.
     Windows that only one document repeats don't count, nor do rows that are the same document again or that share its id.
     Rows with a null id or text, and texts of fewer words than a window, have no passage. Other columns are not read.
     """
-    rows, kept, words = _listed(docs, window, gram, False)
+    rows, kept, words, covers = _listed(docs, window, gram, False, hot)
     buckets = max(1, math.ceil(words / BUCKET))
 
     def route(tails: list[bytes], keys: np.ndarray) -> np.ndarray:
         return (flat.mix(keys.view(flat.U)) % flat.U(buckets)).astype(np.int64)
 
-    packed = _texts(rows, kept).mapInArrow(_packed(window, route), _PACKED)
-    return _merged(packed.groupBy("bucket").applyInArrow(_counted(window), "doc_id long, mark long, first_word long, last_word long"))
+    packed = _texts(rows, kept).mapInArrow(_packed(window, route, False), _PACKED)
+    found = packed.groupBy("bucket").applyInArrow(_counted(window), _COVERS)
+    return _merged(found if covers is None else found.unionByName(covers))
 
 
-def suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The same passages as super_kmers() has, by sorting suffixes."""
-    rows, kept, words = _listed(docs, window, gram, True)
+def suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """The same passages as super_kmers() has, by sorting suffixes; what holds there of rows and columns holds here."""
+    rows, kept, words, covers = _listed(docs, window, gram, True, hot)
     buckets = max(1, math.ceil(words / BUCKET))
     splitters: list[bytes] = []
     if buckets > 1:
         every = max(1, kept.count() // (SAMPLES * buckets))
-        some = _texts(rows, kept.where(F.pmod(F.xxhash64("doc_id", "start", "key"), F.lit(every)) == 0)).mapInArrow(_packed(window, lambda tails, keys: np.zeros(len(keys), np.int64)), _PACKED)
+        some = _texts(rows, kept.where(F.pmod(F.xxhash64("doc_id", "start", "key"), F.lit(every)) == 0)).mapInArrow(_packed(window, lambda tails, keys: np.zeros(len(keys), np.int64), False), _PACKED)
         tails = sorted(bytes(r["tail"]) for r in some.select(_tail(F.col("body"), F.col("lead")).alias("tail")).toLocalIterator())
         splitters = sorted({tails[i * len(tails) // buckets] for i in range(1, buckets)}) if tails else []
     edges = {_head(s, gram): -1 - k for k, s in reversed(list(enumerate(splitters)))}
 
     def route(tails: list[bytes], keys: np.ndarray) -> np.ndarray:
         # suffixes that begin with the minimiser at which a splitter cuts are compared across that boundary
-        return np.array([edges.get(_head(t, gram)) if _head(t, gram) in edges else bisect.bisect_right(splitters, t) for t in tails], np.int64)
+        heads = (edges.get(_head(t, gram)) if edges else None for t in tails)
+        return np.array([bisect.bisect_right(splitters, t) if h is None else h for t, h in zip(tails, heads)], np.int64)
 
-    packed = _texts(rows, kept).mapInArrow(_packed(window, route), _PACKED)
-    return _merged(packed.groupBy("bucket").applyInArrow(_sorted(window), "doc_id long, mark long, first_word long, last_word long"))
+    packed = _texts(rows, kept).mapInArrow(_packed(window, route, True), _PACKED)
+    found = packed.groupBy("bucket").applyInArrow(_sorted(window), _COVERS)
+    return _merged(found if covers is None else found.unionByName(covers))
 
 
 def _head(tail: bytes, gram: int) -> bytes:
