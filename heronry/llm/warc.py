@@ -6,12 +6,13 @@ with its chunk, the last row tells whether it is the one that the record states.
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from typing import BinaryIO
+from typing import Any, BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
@@ -19,9 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import folder
+from ..sources.tables import qualified
+from .shared import folder, frugal
 
 CHUNK, DATE = 16 << 10, "1970-01-01T00:00:00Z"
+#: Bytes of a line of a head at most.
+LINE = 64 << 10
 #: Bytes of chunks that one Arrow batch holds at most.
 HELD = 8 << 20
 CHUNKS = "record_id string, kind string, url string, chunk_no int, begin long, n_bytes int, chunk binary, digest string, is_last boolean, is_valid boolean"
@@ -53,7 +57,7 @@ def _write(path: str, compress: bool, chunk: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        files, base = fs.FileSystem.from_uri(path)
+        files, base = located(path)
         name = f"{base}/part-{task.partitionId():06d}.warc" + ".gz" * compress
         draft = f"{base}/.{task.taskAttemptId()}-{uuid.uuid4().hex}"
         n = 0
@@ -64,7 +68,7 @@ def _write(path: str, compress: bool, chunk: int):
                     n += 1
         if n:
             files.move(draft, name)  # an attempt that is repeated puts the same file in its place
-            yield pa.RecordBatch.from_arrays([pa.array([name if "://" not in path else path.split("://")[0] + "://" + name]), pa.array([n])], ["path", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name.rpartition('/')[2]}"]), pa.array([n])], ["path", "n"])
         else:
             files.delete_file(draft)
 
@@ -72,33 +76,67 @@ def _write(path: str, compress: bool, chunk: int):
 
 
 def write(pages: DataFrame, path: str, compress: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """(path, n) of the files written into the folder `path`, one for each partition of the pages that has a record.
+    """(path, n) of the files written into the folder `path`, which all executors must reach, one for each partition of the pages that has a record.
 
     A page becomes a resource record urn:page:PAGE_ID. A null html has no record, an empty one an empty block; a null url gives a record
     without target, a null page_id urn:page:None. Repeated rows give repeated records. Other columns are not read.
     """
-    files, base = fs.FileSystem.from_uri(path)
+    path = qualified(pages.sparkSession, path)
+    files, base = located(path)
     files.create_dir(base, recursive=True)
+    frugal(pages.sparkSession)
     rows = pages.where("html is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode("html", "utf-8").alias("html"))
     spark = pages.sparkSession
     done = rows.mapInArrow(_write(path, compress, chunk), "path string, n long").collect()
     return spark.createDataFrame(done, "path string, n long")
 
 
+def located(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI, as Spark and Hadoop write them, and the path in it."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        raise ValueError(f"{uri} names no file system; qualify it, as tables.qualified() does")
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    return fs.FileSystem.from_uri(f"{scheme}:{rest}" if rest.startswith("//") else f"{scheme}://{rest}")
+
+
+def agrees(stated: str, total: Any) -> bool:
+    """Whether a digest as a record states it, in hexadecimal or base32, is that of `total`."""
+    if len(stated) == 2 * total.digest_size:
+        return stated.lower() == total.hexdigest()
+    return stated.upper().rstrip("=") == base64.b32encode(total.digest()).decode().rstrip("=")
+
+
 def chunks(stream: BinaryIO, chunk: int = CHUNK) -> Iterator[tuple]:
-    """The rows of CHUNKS of a WARC stream. A record that breaks off ends with an invalid last row; an empty block is one empty chunk."""
-    while line := stream.readline():
-        if not line.strip():
-            continue
+    """The rows of CHUNKS of a WARC stream; an empty block is one empty chunk.
+
+    A record that breaks off ends with an invalid last row. One whose head has a line of more than LINE bytes or no length that can be
+    read is one empty, invalid row, and what follows is skipped up to the next line that begins a record. A digest of an unknown
+    algorithm is not checked, digests without one are read as sha256. A stream that doesn't begin with a record is a ValueError.
+    """
+    begun = False
+    while line := stream.readline(LINE):
         if not line.startswith(b"WARC/"):
+            if not line.strip() or begun:
+                continue
             raise ValueError(f"no WARC record where one should begin: {line[:40]!r}")
+        begun = True
         fields: dict[str, str] = {}
-        while (line := stream.readline()) and line.strip():
+        broken = False
+        while (line := stream.readline(LINE)) and line.strip():
+            broken |= not line.endswith(b"\n")
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
-        left, at, number = int(fields.get("content-length", 0)), 0, 0
-        algorithm, _, stated = fields.get("warc-block-digest", "").partition(":")
-        total = hashlib.new(algorithm) if stated and algorithm in hashlib.algorithms_available else hashlib.sha256()
+        size = fields.get("content-length", "")
+        head = fields.get("warc-record-id", "").strip("<>"), fields.get("warc-type"), fields.get("warc-target-uri")
+        algorithm, colon, stated = fields.get("warc-block-digest", "").rpartition(":")
+        algorithm = algorithm.lower().replace("-", "") or "sha256"
+        known = algorithm in hashlib.algorithms_available and hashlib.new(algorithm).digest_size > 0
+        total = hashlib.new(algorithm) if stated and known else hashlib.sha256()
+        if broken or not (size.isascii() and size.isdigit()):
+            yield *head, 0, 0, 0, b"", total.hexdigest(), True, False
+            continue
+        left, at, number = int(size), 0, 0
         while True:
             part = stream.read(min(chunk, left))
             while part is not None and len(part) < min(chunk, left) and (more := stream.read(min(chunk, left) - len(part))):
@@ -106,9 +144,8 @@ def chunks(stream: BinaryIO, chunk: int = CHUNK) -> Iterator[tuple]:
             total.update(part)
             left -= len(part)
             last = not left or not part
-            digest = total.hexdigest()
-            valid = (not left and (not stated or algorithm not in hashlib.algorithms_available or stated.lower() == digest)) if last else None
-            yield fields.get("warc-record-id", "").strip("<>"), fields.get("warc-type"), fields.get("warc-target-uri"), number, at, len(part), part, digest, last, valid
+            valid = (not left and (not stated or not known or agrees(stated, total))) if last else None
+            yield *head, number, at, len(part), part, total.hexdigest(), last, valid
             at, number = at + len(part), number + 1
             if last:
                 break
@@ -118,7 +155,7 @@ def _read(chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                files, base = fs.FileSystem.from_uri(path)
+                files, base = located(path)
                 with files.open_input_stream(base, compression=None, buffer_size=1 << 20) as raw:
                     stream = gzip.GzipFile(fileobj=raw) if base.endswith(".gz") else raw
                     held, size = [], 0
@@ -146,20 +183,21 @@ class _Lines:
             return out
         return self.raw.read(n)
 
-    def readline(self) -> bytes:
-        while b"\n" not in self.rest:
-            more = self.raw.read(4096)
-            if not more:
-                out, self.rest = self.rest, b""
-                return out
+    def readline(self, most: int) -> bytes:
+        while b"\n" not in self.rest[:most] and len(self.rest) < most and (more := self.raw.read(4096)):
             self.rest += more
-        line, _, self.rest = self.rest.partition(b"\n")
-        return line + b"\n"
+        at = self.rest.find(b"\n", 0, most)
+        end = at + 1 if at >= 0 else min(most, len(self.rest))
+        out, self.rest = self.rest[:end], self.rest[end:]
+        return out
 
 
 def read(spark: SparkSession, paths: list[str], chunk: int = CHUNK) -> DataFrame:
-    """The rows of CHUNKS of WARC files (.warc or .warc.gz; URIs that pyarrow opens), a task for each file."""
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path")
+    """The rows of CHUNKS of WARC files (.warc or .warc.gz), a task for each file; broken records as chunks() has them.
+
+    A repeated path gives its records again, no path no row, a file without a record none.
+    """
+    files = spark.createDataFrame([(qualified(spark, p),) for p in paths], "path string").repartition(max(1, len(paths)), "path")
     return files.mapInArrow(_read(chunk), CHUNKS)
 
 
@@ -172,4 +210,4 @@ def joined(rows: DataFrame) -> DataFrame:
 def through(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The chunk rows of pages written as WARC into the shared folder and read again."""
     path = f"{folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return read(pages.sparkSession, [r["path"] for r in write(pages, path if "://" in path else f"file://{path}", chunk=chunk).collect()], chunk)
+    return read(pages.sparkSession, [r["path"] for r in write(pages, path, chunk=chunk).collect()], chunk)
