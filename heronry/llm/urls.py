@@ -21,12 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import BROADCAST_BYTES, written
+from .shared import frugal, written
 
 ORDER = 5  # an n-gram is a number: its length in bits 48 to 50 and up to six bytes
 BLOCKED = (
     "casino", "bets", "betting", "gambling", "poker", "pills", "viagra", "cialis", "ads", "porn", "xxx", "sex", "adult", "escort", "malware", "phishing", "spam", "warez",
 )
+#: Bytes of the URLs that are scored together.
+GROUP = 256 << 10
 _COUNTS = "gram long, good long, bad long"
 
 
@@ -70,65 +72,49 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[real]), pa.array((total - of_bad)[real]), pa.array(of_bad[real])], ["gram", "good", "bad"])
 
 
-class Chains:
-    """Both models as sorted arrays: counts of n-grams, and for contexts how many characters followed, and how many kinds."""
-
-    def __init__(self, gram: np.ndarray, good: np.ndarray, bad: np.ndarray):
-        order = np.argsort(gram)
-        self.gram, self.counts = gram[order], (good[order], bad[order])
-        self.context, which = np.unique(context(self.gram), return_inverse=True)
-        self.follow = [(np.bincount(which, c, len(self.context)), np.bincount(which, c > 0, len(self.context))) for c in self.counts]
-
-    def bits(self, own: np.ndarray) -> np.ndarray:
-        """log2 of the probability as rejected less as accepted, of each byte's n-grams."""
-        out = np.zeros(len(own))
-        at, known = _find(self.gram, own)
-        up, seen = _find(self.context, context(own))
-        for sign, counts, (n, kinds) in zip((-1, 1), self.counts, self.follow):
-            p = np.full(len(own), 1 / 256)
-            for k in range(ORDER + 1):
-                some = (own[:, k] >= 0) & seen[:, k]
-                c = np.where(known[some, k], counts[at[some, k]], 0)
-                total, types = n[up[some, k]], kinds[up[some, k]]
-                p[some] = np.where(total > 0, (c + types * p[some]) / np.maximum(total + types, 1), p[some])
-            out += sign * np.log2(p)
-        return np.where(known[:, 0], out, 0.0)
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-def _scores(chains: Chains, column: pa.Array) -> np.ndarray:
-    data, offs = flat.buffers(column)
-    total = np.concatenate([[0], np.cumsum(chains.bits(grams(data, offs)))]) if len(data) else np.zeros(1)
-    return np.round(np.diff(total[offs]) / np.maximum(np.diff(offs), 1), 6)
-
+def windows(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The longest n-gram that ends with each byte: all that its probability depends on."""
+    own = grams(data, offs)
+    place = np.arange(len(data)) - np.repeat(offs[:-1], np.diff(offs))
+    return own[np.arange(len(own)), np.minimum(place, ORDER)]
 
-def _scored(chains: Chains):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_scores(chains, batch.column(1)))], ["page_id", "url", "bad", "score"])
 
-    return run
+def _met(table: pa.Table) -> pa.Table:
+    """The distinct windows of a group of URLs."""
+    seen = np.unique(windows(*flat.buffers(table.column("url").cast(pa.large_string()))))
+    return pa.table([pa.array(np.full(len(seen), table.column("part")[0].as_py())), pa.array(seen)], names=["part", "window"])
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window with the n-grams that end it, from one byte on."""
     for batch in batches:
-        data, offs = flat.buffers(batch.column(0))
-        own = grams(data, offs)
-        row, k = np.nonzero(own >= 0)
-        url = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[row]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(url)), pa.array(row - offs[url]), pa.array(k), pa.array(own[row, k]), pa.array(context(own[row, k]))], ["url", "place", "k", "gram", "context"])
+        window = batch.column(0).to_numpy()
+        size = window >> 48
+        k = flat.runs(np.ones(len(size), np.int64), size)
+        own = np.repeat(window, size)
+        # the first byte of a window is its highest: its last k bytes are the lowest of the number
+        gram = k << 48 | own & ((np.int64(1) << (8 * k)) - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(k), pa.array(gram), pa.array(context(gram))], ["window", "k", "gram", "context"])
+
+
+def _summed(urls: pa.Table, answers: pa.Table) -> pa.Table:
+    """The score of each URL of a group, from the bits of the group's windows."""
+    column = urls.column("url").cast(pa.large_string())
+    data, offs = flat.buffers(column)
+    window, bits = answers.column("window").to_numpy(), answers.column("bits").to_numpy()
+    order = np.argsort(window)
+    own = windows(data, offs)
+    each = bits[order][np.searchsorted(window[order], own)] if len(own) else np.zeros(0)
+    total = np.concatenate([[0], np.cumsum(each)])[offs]
+    return pa.table([urls.column("url"), pa.array(np.round(np.diff(total) / np.maximum(np.diff(offs), 1), 6))], names=["url", "score"])
 
 
-def _joined(pages: DataFrame, counts: DataFrame) -> DataFrame:
-    """The scores of pages where the models are too large to be sent: n-grams of URLs are joined to their counts."""
+def _bits(windows_: DataFrame, counts: DataFrame) -> DataFrame:
+    """(window, bits): log2 of the probability of a window's last byte as rejected less as accepted; 0 for a byte that no seed has."""
     low = (1 << 48) - 1
     up = F.shiftleft(F.shiftright("gram", 48) - 1, 48).bitwiseOR(F.shiftright(F.col("gram").bitwiseAND(F.lit(low)), 8))
     follow = counts.groupBy(up.alias("context")).agg(*(x for s in ("good", "bad") for x in (F.sum(s).alias(f"n_{s}"), F.sum((F.col(s) > 0).cast("long")).alias(f"t_{s}"))))
-    each = pages.select("url").distinct().mapInArrow(_each, "url string, place long, k long, gram long, context long")
+    each = windows_.mapInArrow(_levels, "window long, k long, gram long, context long")
     full = each.join(counts, "gram", "left").join(follow, "context", "left").fillna(0)
     steps = F.array_sort(F.collect_list(F.struct("k", *(x for s in ("good", "bad") for x in (F.col(s).cast("double").alias(s), F.col(f"n_{s}").cast("double").alias(f"n_{s}"), F.col(f"t_{s}").cast("double").alias(f"t_{s}"))))))
 
@@ -137,35 +123,37 @@ def _joined(pages: DataFrame, counts: DataFrame) -> DataFrame:
         return F.aggregate("steps", F.lit(1 / 256), step)
 
     known = F.get("steps", F.lit(0))["good"] + F.get("steps", F.lit(0))["bad"] > 0
-    byte = full.groupBy("url", "place").agg(steps.alias("steps")).select("url", F.when(known, F.log2(chance("bad")) - F.log2(chance("good"))).otherwise(0.0).alias("bits"))
-    url = byte.groupBy("url").agg(F.round(F.sum("bits") / F.count("*"), 6).alias("score"))
-    return pages.join(url, "url", "left").select("page_id", "url", "bad", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return full.groupBy("window").agg(steps.alias("steps")).select("window", F.when(known, F.log2(chance("bad")) - F.log2(chance("good"))).otherwise(0.0).alias("bits"))
 
 
-def scored(pages: DataFrame, bad: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+def scored(pages: DataFrame, bad: str | None = None, group: int = GROUP) -> DataFrame:
     """(page_id, url, bad, score) of pages with a URL; bad is null where it is no seed, also in a column of the caller's own.
 
-    The models are sent to the executors if their counts fit `limit` bytes.
+    An empty URL scores 0, as do all where there is no seed. Neither the models nor the URLs are ever in one place: distinct URLs are
+    grouped, `group` bytes to each, a group asks for the bits of its distinct windows, and these are worked out once for each window,
+    beside its counts.
     """
+    frugal(pages.sparkSession)
     rows = pages.where("url is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", (F.col(bad).cast("boolean") if bad else seed(F.col("url"))).alias("bad"))
+    rows = written(rows, "urls")
     counts = written(rows.where("bad is not null").select("url", "bad").mapInArrow(_counted, _COUNTS).groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-grams")
-    if counts.count() * 72 > limit:
-        return _joined(rows, counts)
-    table = counts.toArrow()
-    if not table.num_rows:
-        return rows.withColumn("score", F.lit(0.0))
-    chains = Chains(*(table.column(k).to_numpy() for k in ("gram", "good", "bad")))
-    return rows.mapInArrow(_scored(chains), "page_id long, url string, bad boolean, score double")
+    distinct = rows.select("url").distinct()
+    total = distinct.agg(F.sum(F.octet_length("url").cast("long"))).first()[0] or 0
+    grouped = written(distinct.where("url <> ''").withColumn("part", F.pmod(F.xxhash64("url"), F.lit(-(-total // group) or 1))), "url-groups")
+    asked = written(grouped.groupBy("part").applyInArrow(_met, "part long, window long"), "url-windows")
+    answers = asked.join(_bits(asked.select("window").distinct(), counts), "window").select("part", "window", "bits")
+    found = grouped.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_summed, "url string, score double")
+    return rows.join(found, "url", "left").select("page_id", "url", "bad", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def kept(pages: DataFrame, bad: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+def kept(pages: DataFrame, bad: str | None = None, group: int = GROUP) -> DataFrame:
     """(page_id, url, score) of the pages whose URL is not rejected.
 
     The threshold tells accepted from rejected seeds with the highest balanced accuracy; where there are no seeds of either kind all
     pages are kept. A null URL is left out, an empty one scores 0. A null page_id stays, a repeated row comes again. Columns
     other than page_id, url and `bad` are not read.
     """
-    found = written(scored(pages, bad, limit), "url-scores")
+    found = written(scored(pages, bad, group), "url-scores")
     table = found.where("bad is not null").groupBy(F.round("score", 3).alias("score")).agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count("*").alias("n")).orderBy("score").collect()
     out, all_bad, total = found.select("page_id", "url", "score"), sum(r["bad"] for r in table), sum(r["n"] for r in table)
     if not all_bad or all_bad == total:

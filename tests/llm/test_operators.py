@@ -545,8 +545,8 @@ def test_urls(spark):
             for k in range(min(urls.ORDER, i) + 1):
                 counts[raw[i - k : i + 1]]["casino" in u] += 1
     frame = spark.createDataFrame(small, "page_id long, url string")
-    for limit in (1 << 30, 0):
-        for r in urls.scored(frame, limit=limit).collect():
+    for group in (1 << 30, 100):
+        for r in urls.scored(frame, group=group).collect():
             assert abs(r["score"] - brute_bits(counts, r["url"])) < 1e-5
     assert urls.kept(pages.limit(0)).count() == 0
     assert urls.kept(pages.where("url like '%site%'")).count() == 62
@@ -568,7 +568,7 @@ def test_score_decides_on_urls_that_are_no_seeds(spark):
     other = [(200 + i, f"http://{w}.casinowin-win.example.com/p/{i}") for i, w in enumerate("abcdefgh" * 5)] + [(300, "日本語" * 50), (301, "https://www.site1-b.example.org/en/7.html")]
     pages = spark.createDataFrame(good + bad + other, "page_id long, url string")
     assert {r["page_id"] for r in urls.kept(pages).collect()} == {i for i, _ in good} | {300, 301}
-    sent, through = ({r["page_id"]: r["score"] for r in urls.scored(pages, limit=limit).collect()} for limit in (1 << 30, 0))
+    sent, through = ({r["page_id"]: r["score"] for r in urls.scored(pages, group=group).collect()} for group in (1 << 30, 50))
     assert sent[300] == 0 and all(abs(sent[i] - through[i]) < 1e-5 for i in sent)
     own = pages.withColumn("mine", F.expr("case when page_id < 60 then false when page_id < 200 then true end"))
     assert {r["page_id"] for r in urls.kept(own, "mine").collect()} == {i for i, _ in good} | {300, 301}
