@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import flat
-from .shared import bucketed, frugal, unused, written
+from .shared import frugal, unused, written
 
 DIVISOR, WINDOW, FACTOR = 4, 3, 31
 
@@ -89,7 +89,7 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removals(rows: DataFrame, passages: bool = False) -> DataFrame:
-    """(doc_id, mark, begin, n) of the chunks, or with passages of the pairs of lines, to go, of rows (doc_id, mark, text) in buckets of both.
+    """(doc_id, mark, begin, n) of the chunks, or with passages of the pairs of lines, to go, of rows (doc_id, mark, text).
 
     Chunks with the same hash are alike if their least and greatest bodies are, byte by byte. Of a hash that differing bodies share each
     body is looked at for itself. Equal bodies meet before they travel, so that one that a third of all documents share is no burden.
@@ -131,7 +131,7 @@ def cleaned(docs: DataFrame, removed: str = "lines_removed", passages: bool = Fa
     document again, id and text alike, keep the same lines. A null text stays null and an empty one empty, with no line
     removed. A text all of whose lines go becomes empty. An input column named as `removed` is replaced.
 
-    The documents are written once in buckets, to which what is found out about them comes, so that texts are shuffled once.
+    Texts are shuffled to what is found out about them twice, at every size: once for the bodies of repeated chunks, once for the result.
     """
     frugal(docs.sparkSession)
     docs = docs.drop(removed)
@@ -139,7 +139,7 @@ def cleaned(docs: DataFrame, removed: str = "lines_removed", passages: bool = Fa
     # a null id comes last, and its texts have marks of their own
     number, name = F.col("doc_id").cast("long"), F.xxhash64("text")
     keys = {own: F.coalesce(number, F.lit(2**63 - 1)), mark: F.when(number.isNull(), F.bitwise_not(name)).otherwise(name)}
-    held = bucketed(docs.withColumns(keys), [own, mark], "documents")
+    held = docs.withColumns(keys)
     found = removals(held.select(F.col(own).alias("doc_id"), F.col(mark).alias("mark"), "text"), passages)
     each = F.sequence(F.col("begin"), F.col("begin") + F.col("n") - 1)
     lists = found.groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list(each))).alias("gone"))

@@ -25,13 +25,15 @@ from .shared import bucketed, frugal, unused, written
 
 N, THRESHOLD = 3, 0.55
 #: An n-gram is frequent if it is in one set of RARE, and in LEAST_FREQUENT at least.
-RARE, LEAST_FREQUENT = 1000, 64
+RARE, LEAST_FREQUENT = 4000, 16
 #: Largest l, cost of a verification in posting comparisons for each n-gram of the set.
 MOST_SHARED, VERIFY = 64, 0.1
 #: Least n-grams of a set by which groups are found, and how many of them a set shares with the one it is linked to.
 FIRST, MET = 8, 2
 #: n-grams of a counted block, postings of a bucket and of an n-gram in it, n-grams of the sets that are compared together.
-BLOCK, BUCKET, SPLIT, TOGETHER = 4 << 20, 3 << 19, 1 << 14, 1 << 20
+BLOCK, BUCKET, SPLIT, TOGETHER = 8 << 20, 1 << 20, 1 << 14, 1 << 20
+#: Groups in which met pairs are counted, for each bucket of postings.
+COUNTS = 4
 
 
 def sets(data: np.ndarray, offs: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -193,8 +195,12 @@ def _across(run: np.ndarray, group: np.ndarray, most: int = 1 << 19) -> Iterator
         a = b
 
 
-def _paired(threshold: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("times", pa.int32()), ("ell", pa.int32())])
+_TOLD = (("a", np.int64), ("b", np.int64), ("times", np.uint8), ("ells", np.uint8))
+
+
+def _paired(threshold: float, groups: int):
+    """Pairs of a bucket with the n-grams that they share there, packed for the group that counts those of their first set."""
+    schema = pa.schema([("part", pa.int64()), *((k, pa.binary()) for k, _ in _TOLD)])
 
     def run(table: pa.Table) -> pa.Table:
         parts = {k: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(k)]) for k, kind in _POSTED}
@@ -235,12 +241,27 @@ def _paired(threshold: float):
                 pending = 0
         fold()
         x, y = keys[0] >> 32, keys[0] & 0xFFFFFFFF
-        a, b = np.minimum(sids[x], sids[y]), np.maximum(sids[x], sids[y])
-        return pa.table([pa.array(a), pa.array(b), pa.array(counts[0].astype(np.int32)), pa.array(np.maximum(ell[x], ell[y]).astype(np.int32))], schema=schema)
+        told = np.minimum(sids[x], sids[y]), np.maximum(sids[x], sids[y]), np.minimum(counts[0], 255), np.maximum(ell[x], ell[y])
+        part = (flat.mix(told[0].view(flat.U)) % flat.U(groups)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        heads = np.flatnonzero(np.diff(part[order], prepend=-1))
+        ends = np.append(heads[1:], len(order))
+        columns = [[v[order[i:j]].astype(kind).tobytes() for i, j in zip(heads.tolist(), ends.tolist())] for v, (_, kind) in zip(told, _TOLD)]
+        return pa.table([pa.array(part[order[heads]]), *(pa.array(c, pa.binary()) for c in columns)], schema=schema)
 
     return flat.tidy(run)
 
 
+def _met(table: pa.Table) -> pa.Table:
+    """The pairs (a, b) of a group that share as many n-grams as the larger l of their two."""
+    a, b, times, ell = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(k)]) for k, kind in _TOLD)
+    order = np.lexsort((b, a))
+    a, b, times, ell = a[order], b[order], times[order], ell[order]
+    heads = np.flatnonzero((np.diff(a, prepend=0) != 0) | (np.diff(b, prepend=0) != 0) | (np.arange(len(a)) == 0))
+    own = heads[np.add.reduceat(times.astype(np.int64), heads) >= ell[heads]]
+    return pa.table([pa.array(a[own]), pa.array(b[own])], names=["a", "b"])
+
+
 def _verified(n: int, threshold: float):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -366,8 +387,8 @@ class Join:
         keys, times = self._frequent(total["sets"])
         buckets = max(1, math.ceil((total["grams"] or 0) * (1 - threshold) / BUCKET))
         posted = self._with(labels, "text", "root").mapInArrow(_postings(n, threshold, keys, times, buckets, split), ", ".join(["bucket long", *(f"{k} binary" for k, _ in _POSTED)]))
-        met = posted.groupBy("bucket").applyInArrow(_paired(threshold), "a long, b long, times int, ell int")
-        met = met.groupBy("a", "b", "ell").agg(F.sum("times").alias("times")).where("times >= ell").select("a", "b")
+        told = posted.groupBy("bucket").applyInArrow(_paired(threshold, COUNTS * buckets), ", ".join(["part long", *(f"{k} binary" for k, _ in _TOLD)]))
+        met = told.groupBy("part").applyInArrow(flat.tidy(_met), "a long, b long")
         self.groups = components(near.unionAll(self._similar(written(met, "met"))))
 
     def _with(self, keys: DataFrame, *columns: str) -> DataFrame:
@@ -394,7 +415,7 @@ class Join:
     def _frequent(self, count: int) -> tuple[np.ndarray, np.ndarray]:
         """The frequent n-grams and in how many sets each is, as far as blocks of sets show it: it only orders, and estimates cost.
 
-        Only those counted in the least number of sets or more are fetched: no more than RARE times the mean size of a set.
+        Only those counted in the least number of sets or more are fetched: no more than RARE times the mean size of a set, 16 bytes each.
         """
         least = max(LEAST_FREQUENT, math.ceil(count / RARE))
         if count < least:

@@ -16,10 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import flat
-from .shared import frugal, unused, written
+from .shared import frugal, written
 
 #: Labelled documents that docs holds from which the field is fitted, and how many of them are toxic if there are so many, half of
 #: them at most unless others are too few; of either kind the first by a hash of their id.
@@ -270,13 +269,12 @@ def _scored(field: Field):
     return flat.tidy(run)
 
 
-def _marked(field: Field, at: int, names: list[str]):
+def _clean(field: Field, least: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            for r, s, _ in scores(field, batch.column(at)):
-                score[r] = round(s, 6)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names)
+            keep = np.ones(batch.num_rows, bool)
+            keep[[r for r, s, _ in scores(field, batch.column(at)) if round(s, 6) >= least]] = False
+            yield batch.filter(pa.array(keep))
 
     return flat.tidy(run)
 
@@ -339,13 +337,12 @@ def toxic(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS
 def clean(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
     """The documents, all columns, that are not toxic as toxic() has it; null texts and rows with a null id and no span stay.
 
-    The documents are written with their scores, so that they are scored once.
+    Texts are scored for the threshold and again as they are filtered, so that they need neither be joined to their scores nor written
+    with them.
     """
     field, held = trained(docs, labels, fit_documents)
     if field is None:
         return docs
-    score = unused(docs, "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
-    marked = written(docs.mapInArrow(_marked(field, docs.columns.index("text"), schema.names), schema), "toxic-marked")
-    found = marked.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(score).alias("score"))
-    return marked.where(F.col(score) < threshold(found, held)).drop(score)
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    found = written(rows.mapInArrow(_scored(field), SCORED).select("doc_id", "score"), "toxic-scores")
+    return docs.mapInArrow(_clean(field, threshold(found, held), docs.columns.index("text")), docs.schema)
