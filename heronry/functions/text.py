@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,15 +69,24 @@ def tokenize_advanced(df: DataFrame, text: str, tokens: str, stemmed: bool = Fal
 
 
 def stem_all(tokens: Column) -> Column:
-    """Stems of the tokens of each row; stems of words seen before are kept by the worker."""
+    """Stems of the tokens of each row; each distinct token of an Arrow batch is stemmed once, those seen before not at all."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def stemmed(own: pd.Series) -> pd.Series:
-        return own.map(lambda words_: None if words_ is None else [stem(t) for t in words_])
+    @F.arrow_udf("array<string>")
+    def stemmed(own: pa.Array) -> pa.Array:
+        flat = own.flatten().dictionary_encode()
+        stems = pa.array([_stem(t) for t in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
+        size = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
+        at = np.concatenate([[0], np.cumsum(size)])
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32(), mask=np.append(pc.is_null(own).to_numpy(zero_copy_only=False), False)), stems)
 
     return stemmed(tokens)
 
 
+@lru_cache(1 << 17)
+def _stem(token: str) -> str:
+    return stem(token)
+
+
 def split_sentences(c: Column | str) -> Column:
     """Sentences: cut behind . ! ? where white space and a capital, quote or bracket follow; texts of one sentence at line breaks."""
     text = column(c)
@@ -143,13 +156,14 @@ def contextual_prompt(document: Column | str, chunk: Column | str, template: str
 
 
 def fingerprint(df: DataFrame, id_: str = "id", content: str = "content", metadata: str | None = "metadata") -> str:
-    """A hash of documents and their order by id; unlike a hash of ids and contents alone it sees a change of metadata."""
+    """A hash of a set of documents, summed over rows; unlike one of ids and contents alone it sees a change of metadata."""
     parts = [F.col(id_).cast("string"), F.col(content)]
     if metadata and metadata in df.columns:
         parts.append(F.to_json(metadata))
     one = F.sha2(F.concat_ws("\u0000", *(F.coalesce(p, F.lit("\u0001")) for p in parts)), 256)
-    row = df.select(F.col(id_).alias("i"), one.alias("h")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), ""), 256).alias("h")).first()
-    return f"{row['n']}:{row['h']}"
+    pieces = [F.sum(F.conv(F.substring(one, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
+    row = df.agg(F.count("*"), *pieces).first()
+    return ":".join(str(x or 0) for x in row)
 
 
 def sigmoid(c: Column | str) -> Column:

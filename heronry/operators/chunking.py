@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -128,10 +129,11 @@ def metadata(base: Chunker, form: Callable[[Column, Column], Column] = prefix) -
     return run
 
 
-def contextual(base: Chunker, provider: Callable[[list[str], list[str]], list[str]], cache: DataFrame | None = None, separator: str = "\n\n") -> Chunker:
+def contextual(base: Chunker, provider: Callable[[list[str], list[str]], list[str]], cache: Any = None, separator: str = "\n\n") -> Chunker:
     """The chunks of `base` behind a context that `provider` says for lists of documents and chunks.
 
-    cache: (key, context) of those known; the provider is asked for the others alone. A blank context changes nothing.
+    cache: (key, context) of those known, or an object with read() and add() of such a table, as store.ContextCache, to which new
+    contexts are added when the chunker is called; the provider is asked for the others alone. A blank context changes nothing.
     """
 
     def ask(batches):
@@ -143,10 +145,15 @@ def contextual(base: Chunker, provider: Callable[[list[str], list[str]], list[st
         chunks = base(docs)
         keyed = chunks.join(docs.select(F.col("id").alias("document_id"), F.col("content").alias("document")), "document_id")
         keyed = keyed.withColumn("key", context_key("document", "content"))
-        known = cache.select("key", "context") if cache is not None else None
+        kept = cache is not None and not isinstance(cache, DataFrame)
+        known = (cache.read() if kept else cache).select("key", "context") if cache is not None else None
         missing = keyed if known is None else keyed.join(known, "key", "left_anti")
         told = missing.select("key", "document", "content").dropDuplicates(["key"]).mapInPandas(ask, "key string, context string")
-        every = told if known is None else known.unionByName(told)
+        if kept:
+            cache.add(told)
+            every = cache.read()
+        else:
+            every = told if known is None else known.unionByName(told)
         said = trim(F.coalesce("context", F.lit("")))
         content = F.when(F.length(said) > 0, F.concat(said, F.lit(separator), "content")).otherwise(F.col("content"))
         return keyed.join(every, "key", "left").select("id", "document_id", content.alias("content"), "index", "metadata")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,22 +35,31 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
 
 
+def _buckets(tokens: list[str], n: int) -> np.ndarray:
+    """bucket() of each token."""
+    codes = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % n
+    size = np.array([len(t) for t in tokens], np.int64)
+    powers = np.ones(int(size.max(initial=0)) + 1, np.int64)
+    for k in range(1, len(powers)):
+        powers[k] = powers[k - 1] * 31 % n
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(codes)) - 1
+    sums = np.concatenate([[0], np.cumsum(codes * powers[left] % n)])
+    ends = np.cumsum(size)
+    return (sums[ends] - sums[ends - size]) % n
+
+
 def hash_embedder(n: int = DIMENSION) -> Embedder:
-    """The built-in embedder: deterministic, no model. Tokens are hashed over Arrow batches."""
-
-    @F.pandas_udf("array<double>")
-    def vectors(tokens: pd.Series) -> pd.Series:
-        def one(own):
-            v = [0.0] * n
-            for t in own if own is not None else ():
-                h = 0
-                for c in t:
-                    h = (h * 31 + ord(c)) % n
-                v[h] += 1
-            norm = sum(x * x for x in v) ** 0.5 or 1.0
-            return [x / norm for x in v]
-
-        return tokens.map(one)
+    """The built-in embedder: deterministic, no model. Distinct tokens of an Arrow batch are hashed once, all at a time."""
+
+    @F.arrow_udf("array<double>")
+    def vectors(tokens: pa.Array) -> pa.Array:
+        flat = tokens.flatten().dictionary_encode()
+        size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(tokens)), size)
+        at = row * n + _buckets(flat.dictionary.to_pylist(), n)[flat.indices.to_numpy(zero_copy_only=False)] if len(row) else row
+        v = np.bincount(at, minlength=len(tokens) * n).reshape(-1, n).astype(np.float64)
+        norm = np.sqrt((v * v).sum(1, keepdims=True))
+        return pa.ListArray.from_arrays(np.arange(0, v.size + 1, n, dtype=np.int32), pa.array((v / np.where(norm == 0, 1, norm)).ravel()))
 
     return lambda df, text, vector: df.withColumn(vector, vectors(tokenize(text)))
 
@@ -67,6 +79,37 @@ def model_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]],
     return run
 
 
+class FitOnce:
+    """An embedder that fits itself on the first texts it is given, and stays as it is: fit(df, text) makes the embedder."""
+
+    def __init__(self, fit: Callable[[DataFrame, str], Embedder]):
+        self.fit, self.fitted = fit, None
+
+    def __call__(self, df: DataFrame, text: str, vector: str) -> DataFrame:
+        if self.fitted is None:
+            self.fitted = self.fit(df, text)
+        return self.fitted(df, text, vector)
+
+
+def local_embedder(name: str, prefix: str = "", batch: int = 32) -> Embedder:
+    """Embeds with a local sentence model, loaded once in a Python worker. Needs the package sentence_transformers there."""
+
+    def load() -> Callable[[list[str]], list[list[float]]]:
+        model = _imported("sentence_transformers").SentenceTransformer(name)
+        return lambda texts: model.encode(texts, normalize_embeddings=True).tolist()
+
+    return model_embedder(load, prefix, batch)
+
+
+def _imported(package: str):
+    import importlib
+
+    try:
+        return importlib.import_module(package)
+    except ImportError as e:
+        raise ImportError(f"{package} is needed to run local models; install it on the executors, or give an embedder of your own") from e
+
+
 _models: dict[int, tuple] = {}
 
 

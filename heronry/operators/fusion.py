@@ -43,7 +43,7 @@ def adaptive_weights(weights: DataFrame, vector: DataFrame, keyword: DataFrame)
     return rows.select("query_id", adapted(F.col("weight"), F.coalesce("__v", zero), F.coalesce("__k", zero)).alias("weight"))
 
 
-def fuse(vector: DataFrame, keyword: DataFrame, weights: DataFrame | float = DEFAULT, k: int = K, limit: int | None = None, clamped: bool = True) -> DataFrame:
+def fuse(vector: DataFrame, keyword: DataFrame, weights: DataFrame | float = DEFAULT, k: int = K, limit: int | None = None, clamped: bool = True, digits: int | None = None) -> DataFrame:
     """weight / (k + rank) of the vector list plus (1 - weight) / (k + rank) of the keyword list, with both scores."""
     v = vector.select("query_id", "chunk_id", F.col("rank").alias("__v"), F.col("score").alias("vector_score"))
     w = keyword.select("query_id", "chunk_id", F.col("rank").alias("__k"), F.col("score").alias("keyword_score"))
@@ -55,7 +55,7 @@ def fuse(vector: DataFrame, keyword: DataFrame, weights: DataFrame | float = DEF
     weight = clamp("__w", 0.0, 1.0) if clamped else F.col("__w")
     zero = F.lit(0.0)
     score = F.coalesce(weight / (F.col("__v") + k), zero) + F.coalesce((1 - weight) / (F.col("__k") + k), zero)
-    fused = rows.select("query_id", "chunk_id", score.alias("score"), "vector_score", "keyword_score")
+    fused = rows.select("query_id", "chunk_id", (score if digits is None else F.round(score, digits)).alias("score"), "vector_score", "keyword_score")
     return top(fused, limit if limit is not None else 2**31 - 1)
 
 

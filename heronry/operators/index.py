@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -28,22 +29,34 @@ def idf(n, df):
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def build(chunks: DataFrame, stemmed: bool = False, drop_stopwords: bool = False, content: str = "content", chunk_id: str = "id") -> Index:
-    """Postings and statistics of all chunks; those without a token count in n and avgdl, too."""
+def build(chunks: DataFrame, stemmed: bool = False, drop_stopwords: bool = False, content: str = "content", chunk_id: str = "id", keep: Callable[[DataFrame], DataFrame] | None = None) -> Index:
+    """Postings and statistics of all chunks; those without a token count in n and avgdl, too.
+
+    keep: what makes a table of the postings, from which terms and statistics are then read, so that chunks are tokenized once.
+    """
     tokens = tokenize_advanced(chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(content).alias("text")), "text", "tokens", stemmed, drop_stopwords)
-    sized = tokens.select("chunk_id", "tokens", F.size("tokens").alias("doc_len"))
-    postings = sized.select("chunk_id", "doc_len", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "doc_len").agg(F.count("*").alias("tf"))
-    stats = sized.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avgdl"))
+    terms = tokens.select("chunk_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
+    postings = terms.groupBy("term", "chunk_id", "doc_len").agg(F.count("*").alias("tf"))
+    if keep:
+        postings = keep(postings)
+    return of_postings(chunks, postings, stemmed, drop_stopwords)
+
+
+def of_postings(chunks: DataFrame, postings: DataFrame, stemmed: bool = False, drop_stopwords: bool = False) -> Index:
+    """The index of chunks whose postings are there already."""
+    size = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("size"))
+    stats = chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(size)).select("n", F.when(F.col("n") > 0, F.col("size") / F.col("n")).otherwise(0.0).alias("avgdl"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n"))).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
     return Index(chunks, postings, terms, stats, stemmed, drop_stopwords)
 
 
 def last_of(batch: DataFrame, order: str | None = None) -> DataFrame:
-    """One row of each id of a batch: the last by `order`, else any."""
-    if order is None:
-        return batch.dropDuplicates(["id"])
-    by = Window.partitionBy("id").orderBy(F.desc(order))
-    return batch.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
+    """One row of each id of a batch: the last by `order`; without one, the last as Spark numbers the rows, which for a list or a
+    file is their own order."""
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    rows = batch.withColumn("__at", at)
+    by = Window.partitionBy("id").orderBy(F.desc("__at"))
+    return rows.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n", "__at")
 
 
 def upsert(chunks: DataFrame, batch: DataFrame, order: str | None = None, whole_documents: bool = False) -> DataFrame:

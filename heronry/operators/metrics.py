@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def gain(rel: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), rel) - 1) / F.log2(rank + 1)
@@ -17,14 +19,24 @@ def by_document(hits: DataFrame, doc: str = "document_id") -> DataFrame:
 
 
 def per_query(results: DataFrame, qrels: DataFrame, k: int = 10, graded: bool = False) -> DataFrame:
-    """(query_id, ndcg, mrr, recall, n_relevant) of each query that has a relevant document; ndcg and recall at k."""
+    """(query_id, ndcg, mrr, recall, n_relevant) of each query that has a relevant document; ndcg and recall at k.
+
+    Judgements without a query_id hold for every query of the results: they are ranked once, and joined to the hits alone.
+    """
+    key = [c for c in ("query_id",) if c in qrels.columns]
     rel = F.col("rel").cast("double") if graded else (F.col("rel") > 0).cast("double")
-    right = qrels.where("rel > 0").select("query_id", "doc_id", rel.alias("rel"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("rel"), "doc_id")
-    ideal = right.withColumn("__r", F.row_number().over(order)).groupBy("query_id").agg(
-        F.count("*").alias("n_relevant"), F.coalesce(F.sum(F.when(F.col("__r") <= k, gain(F.col("rel"), F.col("__r")))), F.lit(0.0)).alias("__ideal")
-    )
-    hit = results.join(right, ["query_id", "doc_id"])
+    right = qrels.where("rel > 0").select(*key, "doc_id", rel.alias("rel"))
+    if key:
+        order = Window.partitionBy("query_id").orderBy(F.desc("rel"), "doc_id")
+        best = right.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k)
+        ideal = right.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+        ideal = ideal.join(best.groupBy("query_id").agg(F.sum(gain(F.col("rel"), F.col("__r"))).alias("__ideal")), "query_id", "left")
+    else:
+        best = right.orderBy(F.desc("rel"), "doc_id").limit(k).agg(F.array_sort(F.collect_list("rel"), lambda x, y: F.when(x > y, -1).when(x < y, 1).otherwise(0)).alias("__all"))
+        total = F.aggregate(F.transform("__all", lambda r, i: gain(r, i + 1)), F.lit(0.0), lambda s, x: s + x)
+        one = right.agg(F.count("*").alias("n_relevant")).where("n_relevant > 0").crossJoin(F.broadcast(best.select(total.alias("__ideal"))))
+        ideal = results.select("query_id").distinct().crossJoin(F.broadcast(one))
+    hit = results.join(right, [*key, "doc_id"])
     got = hit.groupBy("query_id").agg(
         F.sum(F.when(F.col("rank") <= k, gain(F.col("rel"), F.col("rank")))).alias("__dcg"), F.min("rank").alias("__first"), F.sum((F.col("rank") <= k).cast("int")).alias("__hits")
     )
@@ -57,15 +69,26 @@ def strategy_shares(facts: DataFrame) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, by: list[str], shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """The value at place floor(share * n), from 0, of each group in order, as p50 and so on, with n.
+    """The value at place floor(share * n), from 0, of each group in order, as p50 and so on, with n. Nulls don't count.
 
-    Values are ranked by a window, not collected, so a group's size is bounded by disk alone.
+    All rows are sorted by ranges of (group, value), so that a large group lies in many partitions; counts by partition tell which
+    place of which partition holds each wanted rank.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
-    order = Window.partitionBy(*by).orderBy("__v")
-    ranked = rows.withColumn("__r", F.row_number().over(order) - 1).join(rows.groupBy(*by).agg(F.count("*").alias("n")), by)
-    at = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p))
-    return ranked.groupBy(*by, "n").agg(*(F.max(F.when(F.col("__r") == at(p), F.col("__v"))).alias(f"p{round(p * 100)}") for p in shares))
+    named = [f"__g{i}" for i in range(len(by))]
+    rows = df.where(F.col(value).isNotNull()).select(*(F.col(c).alias(g) for c, g in zip(by, named)), F.col(value).alias("__v"))
+    at = F.monotonically_increasing_id()  # the partition in the upper bits, the place in it in the lower 33
+    rows = rows.withColumn("__t", at)  # so that one value that many rows have is cut, too
+    sorted_ = rows.repartitionByRange(*named, "__v", "__t").sortWithinPartitions(*named, "__v").select(*named, "__v", at.alias("__at"))
+    sorted_ = written(sorted_, "percentiles")
+    parts = sorted_.groupBy(*named, F.shiftright("__at", 33).alias("__p")).agg(F.count("*").alias("__c"), F.min("__at").alias("__low"))
+    order = Window.partitionBy(*named).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__base", F.coalesce(F.sum("__c").over(order), F.lit(0))).withColumn("n", F.sum("__c").over(Window.partitionBy(*named)))
+    names = [f"p{round(p * 100)}" for p in shares]
+    rank = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.least(F.col("n") - 1, F.floor(F.col("n") * p)).alias("at")) for name, p in zip(names, shares)))).alias("__w")
+    wanted = parts.select("n", "__base", "__c", "__low", rank).where("__w.at >= __base and __w.at < __base + __c")
+    found = sorted_.join(wanted.select("n", F.col("__w.name").alias("__name"), (F.col("__low") + F.col("__w.at") - F.col("__base")).alias("__at")), "__at")
+    out = found.groupBy(*named, "n").agg(*(F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in names))
+    return out.select(*(F.col(g).alias(c) for g, c in zip(named, by)), "n", *names)
 
 
 def difference(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -98,6 +99,24 @@ def decide(signals: Column, force: Column | None = None, budget_ms: Column | Non
     return F.struct(strategy.alias("strategy"), F.array_compact(F.array(reason, fallback, said)).alias("reasons"), reranked.alias("reranked"))
 
 
+class Router(Protocol):
+    """What decides how queries are searched: a name, and a call that gives a STRUCT<strategy, reasons, reranked> column."""
+
+    name: str
+
+    def __call__(self, signals: Column, force: Column, budget_ms: Column, caps: Capabilities, has_reranker: bool) -> Column: ...
+
+
+class HeuristicRouter:
+    """The rules as a Router."""
+
+    def __init__(self, always_rerank: bool = True):
+        self.always_rerank, self.name = always_rerank, router_name(always_rerank)
+
+    def __call__(self, signals: Column, force: Column, budget_ms: Column, caps: Capabilities, has_reranker: bool) -> Column:
+        return decide(signals, force, budget_ms, caps, has_reranker, self.always_rerank)
+
+
 def should_rerank(strategy: Column, negation: Column, budget_ms: Column | None, always_rerank: bool = True) -> Column:
     """The rerank strategy always does. Else within the budget, if always; if not, negation does in any case and keyword doesn't."""
     roomy = F.lit(True) if budget_ms is None else budget_ms.isNull() | (budget_ms > RERANK_MS)

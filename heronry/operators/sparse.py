@@ -19,9 +19,11 @@ class SparseEncoder:
     vocabulary: DataFrame
     stats: DataFrame
     stemmed: bool = True
+    k1: float = K1
+    b: float = B
 
     @classmethod
-    def fit(cls, corpus: DataFrame, text: str = "content", order: str = "id", stemmed: bool = True) -> SparseEncoder:
+    def fit(cls, corpus: DataFrame, text: str = "content", order: str = "id", stemmed: bool = True, k1: float = K1, b: float = B) -> SparseEncoder:
         tokens = tokenize_advanced(corpus.select(F.col(order).alias("__o"), F.col(text).alias("__t")), "__t", "tokens", stemmed)
         stats = tokens.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avgdl"))
         each = tokens.select("__o", F.posexplode("tokens").alias("at", "term"))
@@ -31,7 +33,7 @@ class SparseEncoder:
         own = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("first", "term")))
         before = own.groupBy("part").count().withColumn("base", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
         numbered = own.join(F.broadcast(before), "part").crossJoin(F.broadcast(stats.select("n")))
-        return cls(numbered.select("term", (F.col("base") + F.col("k") - 1).cast("int").alias("idx"), "df", idf(F.col("n"), F.col("df")).alias("idf")), stats, stemmed)
+        return cls(numbered.select("term", (F.col("base") + F.col("k") - 1).cast("int").alias("idx"), "df", idf(F.col("n"), F.col("df")).alias("idf")), stats, stemmed, k1, b)
 
     def weights(self, df: DataFrame, text: str, key: str) -> DataFrame:
         """(key, idx, value) of the known terms; unknown ones are dropped."""
@@ -39,7 +41,7 @@ class SparseEncoder:
         counts = tokens.select(key, F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
         rows = counts.join(self.vocabulary, "term").crossJoin(F.broadcast(self.stats.select("avgdl")))
         size = F.when(F.col("avgdl") > 0, F.col("len") / F.col("avgdl")).otherwise(1.0)
-        value = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * size))
+        value = F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * size))
         return rows.select(key, "idx", value.alias("value")).where("value > 0")
 
     def encode(self, df: DataFrame, text: str, key: str = "id") -> DataFrame:

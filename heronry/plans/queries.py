@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text, words
 from ..operators import chunking, embedding, fusion, metrics, rerank, retrieve
-from ..operators.index import Index, build, delete, upsert
+from ..operators.index import Index, build, clear, count, delete, upsert
 from ..operators.router import PROFILES, decide
 from ..operators.signals import signals
 from ..operators.sparse import SparseEncoder, sparse_scores
+from ..sources.tables import written
+from .adapt import as_documents, as_nodes
+from .engine import Engine
 
 TOP = 10
+PROMPT = "<document>{WHOLE_DOCUMENT}</document><chunk>{CHUNK_CONTENT}</chunk>"
 #: Requests that go through each rule of the router.
 REQUESTS = (
     "\"connection refused\" after upgrade", "useState hook", "pool_mode=transaction", "rbac.authorization.k8s.io errors", "std::vector growth", "ERR_404", "503 status page", "release notes 2019",
@@ -41,7 +45,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> Index:
-    return build(_docs(spark, sf_dir))
+    return build(_docs(spark, sf_dir), keep=lambda df: written(df, "postings"))
 
 
 def _requests(spark: SparkSession) -> DataFrame:
@@ -111,13 +115,13 @@ def _vectors(spark, sf_dir) -> DataFrame:
 
 def vector_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir).withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 7)))
-    q = v.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     return _named(retrieve.vector_topk(q, v, TOP)).withColumnRenamed("doc_id", "vec_id")
 
 
 def vector_topk_filtered(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    q = v.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), F.col("metadata").alias("filter"))
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), F.col("metadata").alias("filter"))
     hits = retrieve.top(_rounded(retrieve.vector_scores(q, v)), TOP)
     return _named(hits).withColumnRenamed("doc_id", "vec_id")
 
@@ -127,17 +131,13 @@ def bm25_topk(spark, sf_dir):
 
 
 def bm25_all_terms(spark, sf_dir):
-    asked = _asked(spark, sf_dir).withColumn("query", F.array_join(F.slice(text.tokenize("query"), 1, 3), " "))
-    return _named(retrieve.top(_rounded(retrieve.bm25_scores(asked, _index(spark, sf_dir), all_terms=True)), TOP))
-
-
-def _short(spark, sf_dir) -> DataFrame:
-    """Queries of three words, with their case and marks."""
-    return _asked(spark, sf_dir).withColumn("query", F.array_join(F.slice(text.words("query"), 2, 3), " "))
+    return _named(retrieve.top(_rounded(retrieve.bm25_scores(_asked(spark, sf_dir), _index(spark, sf_dir), all_terms=True)), TOP))
 
 
 def bm25_phrase_boost(spark, sf_dir):
-    index, asked = _index(spark, sf_dir), _short(spark, sf_dir)
+    """Whole requests, and whole turns of conversations of no more words than phrases are read from."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1000).alias("query_id"), F.col("text").alias("query"))
+    asked, index = _requests(spark).unionByName(c.where(F.size(text.words("query")) <= 6)), _index(spark, sf_dir)
     hits = retrieve.boosted(retrieve.bm25_scores(asked, index), asked, index.chunks)
     return _named(retrieve.top(_rounded(hits), TOP))
 
@@ -150,23 +150,6 @@ def bm25_filtered(spark, sf_dir):
 
 
 def contained_topk(spark, sf_dir):
-    asked = _short(spark, sf_dir)
-    return _named(retrieve.contained_topk(asked, _docs(spark, sf_dir), TOP))
-
-
-def bm25_all_terms_whole(spark, sf_dir):
-    return _named(retrieve.top(_rounded(retrieve.bm25_scores(_asked(spark, sf_dir), _index(spark, sf_dir), all_terms=True)), TOP))
-
-
-def bm25_phrase_boost_requests(spark, sf_dir):
-    """Whole requests, and whole turns of conversations of no more words than the phrase boost reads."""
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1000).alias("query_id"), F.col("text").alias("query"))
-    asked, index = _requests(spark).unionByName(c.where(F.size(text.words("query")) <= 6)), _index(spark, sf_dir)
-    hits = retrieve.boosted(retrieve.bm25_scores(asked, index), asked, index.chunks)
-    return _named(retrieve.top(_rounded(hits), TOP))
-
-
-def contained_topk_whole(spark, sf_dir):
     return _named(retrieve.contained_topk(_asked(spark, sf_dir), _docs(spark, sf_dir), TOP))
 
 
@@ -180,15 +163,28 @@ def _two_sides(spark, sf_dir, k: int = 4 * TOP) -> tuple[DataFrame, DataFrame, D
     embed, asked = embedding.hash_embedder(), _asked(spark, sf_dir)
     chunks = embed(_docs(spark, sf_dir), "content", "embedding")
     q = embed(asked, "query", "vector").select("query_id", "vector")
-    vector = retrieve.top(_rounded(retrieve.vector_scores(q, chunks), 7), k)
-    keyword = retrieve.top(_rounded(retrieve.bm25_scores(asked, _index(spark, sf_dir)), 7), k)
+    vector = written(retrieve.vector_topk(q, chunks, k, digits=7), "vector-hits")
+    keyword = written(retrieve.top(_rounded(retrieve.bm25_scores(asked, _index(spark, sf_dir)), 7), k), "keyword-hits")
     return asked, vector, keyword
 
 
+def _fused(hits: DataFrame) -> DataFrame:
+    return _named(retrieve.top(hits.withColumn("score", F.round("score", 9)).drop("rank"), TOP))
+
+
 def rrf_hybrid(spark, sf_dir):
     _, vector, keyword = _two_sides(spark, sf_dir)
-    fused = fusion.fuse(vector, keyword, 0.3)
-    return _named(retrieve.top(fused.withColumn("score", F.round("score", 9)).drop("rank"), TOP))
+    return _fused(fusion.fuse(vector, keyword, 0.3))
+
+
+def rrf_server_side(spark, sf_dir):
+    _, vector, keyword = _two_sides(spark, sf_dir, fusion.prefetch(TOP))
+    return _fused(fusion.server_side(vector, keyword, 2**31 - 1))
+
+
+def alpha_blend(spark, sf_dir):
+    _, vector, keyword = _two_sides(spark, sf_dir)
+    return _fused(fusion.alpha_blend(vector, keyword, 0.25, 2**31 - 1))
 
 
 def adaptive_weight(spark, sf_dir):
@@ -238,9 +234,11 @@ def mmr_order(spark, sf_dir):
 
 
 def jaccard_pairs(spark, sf_dir):
+    """The items whose id is divisible by 50 against all items."""
     rows = _asked(spark, sf_dir).select("query_id", F.array_distinct(text.tokenize("query")).alias("t"))
-    a, b = rows.select(F.col("query_id").alias("a"), F.col("t").alias("x")), rows.select(F.col("query_id").alias("b"), F.col("t").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(rerank.jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
+    a = rows.where("query_id % 50 = 0").select(F.col("query_id").alias("a"), F.col("t").alias("x"))
+    b = rows.select(F.col("query_id").alias("b"), F.col("t").alias("y"))
+    return b.join(retrieve.small(a), F.col("a") != F.col("b")).select("a", "b", F.round(rerank.jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
 def stems(spark, sf_dir):
@@ -268,8 +266,7 @@ def sparse_dot(spark, sf_dir):
 def _judged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Results and judgements: documents labelled good are relevant to every query."""
     results = _named(retrieve.top(_rounded(retrieve.bm25_scores(_asked(spark, sf_dir), _index(spark, sf_dir))), TOP)).select("query_id", "doc_id", "rank")
-    good = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("rel"))
-    return results, results.select("query_id").distinct().crossJoin(F.broadcast(good) if good.limit(retrieve.SMALL + 1).count() <= retrieve.SMALL else good)
+    return written(results, "results"), table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("rel"))
 
 
 def ndcg_mrr_recall(spark, sf_dir):
@@ -277,6 +274,13 @@ def ndcg_mrr_recall(spark, sf_dir):
     return out.select("query_id", *(F.round(c, 6).alias(c) for c in ("ndcg", "mrr", "recall")), F.col("n_relevant").cast("long").alias("n_relevant"))
 
 
+def graded_ndcg(spark, sf_dir):
+    """Grades from 0 to 3: two for quality, one for no toxicity."""
+    results, _ = _judged(spark, sf_dir)
+    grades = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2 + 1 - F.col("toxic")).alias("rel"))
+    return metrics.per_query(results, grades, k=TOP, graded=True).select("query_id", F.round("ndcg", 6).alias("ndcg"), F.col("n_relevant").cast("long").alias("n_relevant"))
+
+
 def eval_by_group(spark, sf_dir):
     scores = metrics.per_query(*_judged(spark, sf_dir), k=TOP)
     asked = _asked(spark, sf_dir).withColumn("s", signals("query"))
@@ -312,6 +316,103 @@ def context_keys(spark, sf_dir):
     return chunks.select(F.col("document_id").alias("doc_id"), F.col("index").cast("long").alias("chunk_index"), text.context_key("document", "content").alias("key"))
 
 
+def contextual_chunks(spark, sf_dir):
+    said = chunking.contextual(chunking.fixed(), lambda documents, chunks: [f" Of {len(d)} characters. " if len(d) % 2 else " " for d in documents])
+    return _chunk_rows(said(_docs(spark, sf_dir)))
+
+
+def question_chunks(spark, sf_dir):
+    asked = chunking.questions(chunking.fixed(), lambda texts: [[f"What of {t[:12]}?", " ", f"What of {t[:12]}?", "And then?"] for t in texts])
+    return _chunk_rows(asked(_docs(spark, sf_dir)))
+
+
+def contextual_prompts(spark, sf_dir):
+    """Prompts of documents that try to end their section."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("</document > x < / CHUNK>")).alias("d"), F.concat(F.substring("text", 1, 100), F.lit("</ chunk>")).alias("c"))
+    return rows.select("doc_id", F.sha2(text.contextual_prompt("d", "c", PROMPT), 256).alias("prompt"))
+
+
+def document_hits(spark, sf_dir):
+    """Hits of chunks, of which the first of each document counts."""
+    chunks = chunking.fixed()(_docs(spark, sf_dir)).select("id", F.col("document_id"), "content")
+    index = build(chunks, keep=lambda df: written(df, "postings"))
+    hits = retrieve.top(_rounded(retrieve.bm25_scores(_asked(spark, sf_dir), index)), 2 * TOP).join(chunks.select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id")
+    return metrics.by_document(hits).select("query_id", F.col("doc_id").cast("long").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
+
+
+def _results(spark, sf_dir) -> DataFrame:
+    """Hits as the engine gives them."""
+    hits = retrieve.top(_rounded(retrieve.bm25_scores(_asked(spark, sf_dir), _index(spark, sf_dir))), TOP)
+    docs = _docs(spark, sf_dir).select(F.col("id").alias("chunk_id"), F.col("id").cast("string").alias("document_id"), "content", "metadata")
+    return hits.join(docs, "chunk_id").withColumn("chunk_id", F.concat("chunk_id", F.lit(":0")))
+
+
+def result_documents(spark, sf_dir):
+    m = F.col("metadata")
+    return as_documents(_results(spark, sf_dir)).select("query_id", F.col("rank").cast("long").alias("rank"), F.length("page_content").cast("long").alias("n"), *(m[k].alias(k) for k in ("chunkId", "documentId", "lang", "source")), F.round(m["score"].cast("double"), 6).alias("score"))
+
+
+def result_nodes(spark, sf_dir):
+    n = F.col("node")
+    return as_nodes(_results(spark, sf_dir)).select("query_id", F.col("rank").cast("long").alias("rank"), n["id_"].alias("id"), F.length(n["text"]).cast("long").alias("n"), n["metadata"]["documentId"].alias("documentId"), "score")
+
+
+def _routed(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1000).alias("query_id"), F.col("text").alias("query"))
+    return _requests(spark).unionByName(c).withColumn("s", signals("query"))
+
+
+def forced_routes(spark, sf_dir):
+    """A strategy is forced on three of four queries, and holds on a store that has none of it."""
+    force = F.element_at(F.array(F.lit("keyword"), F.lit("hybrid"), F.lit("rerank"), F.lit(None).cast("string")), (F.col("query_id") % 4 + 1).cast("int"))
+    made = decide(F.col("s"), force, caps=PROFILES["chroma"])
+    return _routed(spark, sf_dir).select("query_id", made["strategy"].alias("strategy"), F.get(made["reasons"], F.lit(0)).alias("reason"))
+
+
+def fallback_routes(spark, sf_dir):
+    """A store with hybrid search and no search by words alone."""
+    made = decide(F.col("s"), caps=PROFILES["pinecone+sparse"])
+    return _routed(spark, sf_dir).select("query_id", made["strategy"].alias("strategy"), F.exists(made["reasons"], lambda r: r.contains("falling back to vector")).alias("fell_back"))
+
+
+def rerank_decisions(spark, sf_dir):
+    """Budgets of 0, 500 and 1000 ms and none; with a reranker that always works, that spares plain words, and without one."""
+    budget = F.element_at(F.array(F.lit(0.0), F.lit(500.0), F.lit(1000.0), F.lit(None).cast("double")), (F.col("query_id") % 4 + 1).cast("int"))
+    always, spared, none = (decide(F.col("s"), None, budget, always_rerank=a, has_reranker=h) for a, h in ((True, True), (False, True), (True, False)))
+    last = lambda made: F.element_at(made["reasons"], -1)
+    return _routed(spark, sf_dir).select("query_id", always["reranked"].alias("always"), spared["reranked"].alias("spared"), none["reranked"].alias("none"), last(always).alias("why_always"), last(spared).alias("why_spared"), last(none).alias("why_none"))
+
+
+def composed_filters(spark, sf_dir):
+    user = F.when(F.col("query_id") % 3 == 0, F.create_map(F.lit("lang"), F.lit("fr"))).when(F.col("query_id") % 3 == 1, F.create_map(F.lit("source"), F.lit("web")))
+    language = F.when(text.detect_language("query") != "en", text.detect_language("query"))
+    made = fusion.composed(user, language)
+    return _routed(spark, sf_dir).select("query_id", made["lang"].alias("lang"), made["source"].alias("source"), F.size(made).cast("long").alias("n"))
+
+
+def engine_strategies(spark, sf_dir):
+    """The engine, with a strategy forced on every item: pools, cuts, fusion, least scores and what a result holds."""
+    engine = Engine(spark, chunker=chunking.fixed(10**9, 0), keep=lambda df: written(df, "engine"), digits=7)
+    docs = _docs(spark, sf_dir)
+    engine.index(docs.withColumn("id", F.lpad(F.col("id").cast("string"), 12, "0")))
+    force = F.element_at(F.array(F.lit("keyword"), F.lit("vector"), F.lit("hybrid")), (F.col("query_id") % 3 + 1).cast("int"))
+    least = F.when(F.col("query_id") % 2 == 0, 0.01).otherwise(F.when(F.col("query_id") % 3 == 0, 8.0))
+    found = engine.search(_asked(spark, sf_dir).withColumn("force_strategy", force).withColumn("min_score", least), top_k=5).results
+    return found.select("query_id", F.col("document_id").cast("long").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), (F.col("vector_score").isNotNull().cast("long") + 2 * F.col("keyword_score").isNotNull().cast("long")).alias("sides"))
+
+
+def cascaded_rerank(spark, sf_dir):
+    short = lambda q, c: [-len(t) / 1000 for t in c]
+    rounded = lambda hits, k: retrieve.top(_rounded(rerank.heuristic(hits, 2 * TOP)).drop("rank"), k)
+    return _named(rerank.cascaded([(rounded, 5), (rerank.model(short, squash=False), 3)])(_hits(spark, sf_dir), 3))
+
+
+def index_counts(spark, sf_dir):
+    chunks = chunking.fixed()(_docs(spark, sf_dir))
+    rest = delete(chunks, chunks.where("index > 0").select("id"))
+    return spark.createDataFrame([(count(chunks), count(rest), count(clear(chunks)))], "n long, n_left long, n_cleared long")
+
+
 _T = r"list_filter(string_split_regex(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda x: len(x) > 0)"
 
 
@@ -340,7 +441,7 @@ def ranked(source: str, k: int = TOP, key: str = "doc_id") -> str:
     return f"SELECT query_id, {key}, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS rank FROM {source}) WHERE rank <= {k}"
 
 
-_SHORT_SQL = r"sq AS (SELECT item_id AS query_id, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: len(x) > 0)[2:4], ' ') AS query FROM benchmark)"
+_SHORT_SQL = rf"sq AS (SELECT query_id, query FROM ({REQUEST_ROWS}) UNION ALL SELECT conv_id * 1000 + turn + 1000, text FROM conversations WHERE len(list_filter(string_split_regex(text, '\s+'), lambda x: len(x) > 0)) <= 6)"
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _FIXED = rf"""
 raw AS (SELECT doc_id, lang, source, text, i, regexp_replace(substr(text, i + 1, 800), '^\s+|\s+$', '', 'g') AS content
@@ -426,14 +527,14 @@ SELECT doc_id, chunk::BIGINT AS chunk_index, string_agg(s, ' ' ORDER BY pos) AS
     "metadata_chunks": f"WITH {_FIXED} SELECT doc_id, chunk_index, '[' || doc_id || ' | lang: ' || lang || ']' || chr(10) || content AS content FROM fixed",
     "vector_topk": """
 WITH e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x, 7)) AS v FROM embeddings),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 12) AS score FROM e a, e b)
+s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 12) AS score FROM e a, e b WHERE a.vec_id % 50 = 0)
 SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
     "vector_topk_filtered": """
 WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b USING (label))
+s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b USING (label) WHERE a.vec_id % 50 = 0)
 SELECT query_id, vec_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
     "bm25_topk": f"WITH {_BASE}, {_QUERY}, {_SCORE} {ranked('s')}",
-    "bm25_all_terms": f"""WITH {_BASE}, q AS (SELECT item_id AS query_id, unnest(list_distinct(({tokens('text')})[1:3])) AS term FROM benchmark), nq AS (SELECT query_id, count(*) AS n_all FROM q GROUP BY query_id),
+    "bm25_all_terms": f"""WITH {_BASE}, q AS (SELECT item_id AS query_id, unnest(list_distinct({tokens('text')})) AS term FROM benchmark), nq AS (SELECT query_id, count(*) AS n_all FROM q GROUP BY query_id),
 s AS (SELECT query_id, doc_id, round(sum(w), 6) AS score FROM q JOIN wt USING (term) JOIN nq USING (query_id) GROUP BY query_id, doc_id, n_all HAVING count(*) = n_all) {ranked('s')}""",
     "bm25_phrase_boost": rf"""WITH {_BASE}, {_SHORT_SQL}, q AS (SELECT query_id, unnest(list_distinct({tokens('query')})) AS term FROM sq),
 b AS (SELECT query_id, doc_id, sum(w) AS score FROM q JOIN wt USING (term) GROUP BY ALL),
@@ -445,7 +546,7 @@ ph AS (SELECT query_id, lower(array_to_string(g, ' ')) AS p FROM win WHERE len(l
 bo AS (SELECT query_id, b.doc_id, sum(CASE WHEN contains(lower(text), p) THEN len(string_split_regex(p, '\s+')) ELSE 0 END) AS bonus FROM b JOIN ph USING (query_id) JOIN documents d ON d.doc_id = b.doc_id GROUP BY ALL),
 s AS (SELECT query_id, doc_id, round(score * (1 + coalesce(bonus, 0) * 0.15::DOUBLE), 6) AS score FROM b LEFT JOIN bo USING (query_id, doc_id)) {ranked('s')}""",
     "bm25_filtered": f"WITH {_BASE}, {_QUERY}, {_SCORE}, sf AS (SELECT * FROM s SEMI JOIN (SELECT doc_id FROM documents WHERE lang = 'en') USING (doc_id)) {ranked('sf')}",
-    "contained_topk": f"""WITH {_SHORT_SQL}, t AS (SELECT query_id, {tokens('query')} AS ts FROM sq),
+    "contained_topk": f"""WITH sq AS (SELECT item_id AS query_id, text AS query FROM benchmark), t AS (SELECT query_id, {tokens('query')} AS ts FROM sq),
 s AS (SELECT query_id, doc_id, round(len(list_filter(ts, lambda y: contains(lower(text), y))) / len(ts), 6) AS score FROM t, documents WHERE len(ts) > 0), sp AS (SELECT * FROM s WHERE score > 0) {ranked('sp')}""",
     "hash_embed": f"SELECT doc_id, dim::BIGINT AS dim, round(value, 6) AS value FROM {_EMBED.format(key='doc_id', source='(SELECT doc_id, unnest(' + tokens('text') + ') AS term FROM documents)')}",
     "rrf_hybrid": f"""WITH {_SIDES},
@@ -463,7 +564,7 @@ c AS (SELECT h.query_id, h.doc_id, h.score, qq, ts, list_filter(list_transform(r
 r AS (SELECT query_id, doc_id, round(0.5 / (1 + exp(-score)) + 0.3 * len(list_intersect(qq, list_distinct(ts))) / len(qq) + 0.2 * CASE len(ps) WHEN 0 THEN 0 WHEN 1 THEN 0.5 ELSE greatest(0, 1 - (list_max(ps) - list_min(ps)) / 200) END, 6) AS score FROM c)
 {ranked('r')}""",
     "jaccard_pairs": f"""WITH t AS (SELECT item_id, list_distinct({tokens('text')}) AS ts FROM benchmark)
-SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.ts, y.ts)) / len(list_distinct(list_concat(x.ts, y.ts))), 6) AS similarity FROM t x JOIN t y ON x.item_id < y.item_id""",
+SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.ts, y.ts)) / len(list_distinct(list_concat(x.ts, y.ts))), 6) AS similarity FROM t x JOIN t y ON x.item_id % 50 = 0 AND x.item_id <> y.item_id""",
     "ndcg_mrr_recall": f"WITH {_JUDGED} SELECT query_id, round(ndcg, 6) AS ndcg, round(mrr, 6) AS mrr, round(recall, 6) AS recall, n_relevant FROM pq",
     "latency_percentiles": """WITH v AS (SELECT event_type, list_sort(list(value)) AS l FROM events WHERE value IS NOT NULL GROUP BY event_type)
 SELECT event_type, len(l) AS n, l[least(len(l) - 1, floor(len(l) * 0.5))::INT + 1] AS p50, l[least(len(l) - 1, floor(len(l) * 0.95))::INT + 1] AS p95, l[least(len(l) - 1, floor(len(l) * 0.99))::INT + 1] AS p99 FROM v""",
@@ -478,13 +579,14 @@ SELECT doc_id, idx, round(w, 6) AS value FROM wt JOIN ix USING (term) WHERE w >
 qw AS (SELECT query_id, term, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl)) AS qv FROM (SELECT query_id, len, term, count(*) AS tf FROM qt GROUP BY ALL) JOIN tm USING (term), st),
 s AS (SELECT query_id, doc_id, round(sum(w * qv), 6) AS score FROM qw JOIN wt USING (term) GROUP BY ALL) {ranked('s')}""",
 }
+_WEIGHTS = rf"""w AS (SELECT item_id AS query_id, list_filter(string_split_regex(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+'), lambda x: len(x) > 0) AS ws, text AS t FROM benchmark),
+b AS (SELECT query_id, CASE WHEN regexp_matches(t, '["''][^"'']{{2,}}["'']') OR {_any(_SPECIFIC)} OR {_any(_CODE)} THEN 0.3 WHEN len(ws) <= 2 THEN 0.4
+      WHEN (regexp_matches(t, '[?]\s*$') OR regexp_matches(t, '(?i)^({"|".join(words.QUESTION_WORDS)})\b')) AND len(ws) >= 6 THEN 0.7 ELSE 0.5 END::DOUBLE AS base FROM w)"""
 SQL["adaptive_weight"] = rf"""WITH {_SIDES},
 g AS (SELECT 'v' AS side, query_id, max(score) FILTER (rank = 1) AS a, max(score) FILTER (rank = 2) AS b, min(score) FILTER (rank <= 10) AS low, count(*) AS n FROM v GROUP BY query_id
       UNION ALL SELECT 'k', query_id, max(score) FILTER (rank = 1), max(score) FILTER (rank = 2), min(score) FILTER (rank <= 10), count(*) FROM k GROUP BY query_id),
 gap AS (SELECT side, query_id, CASE WHEN n < 2 OR a - low <= 0 THEN 0 ELSE greatest(0, least(1, (a - b) / (a - low))) END AS gap FROM g),
-w AS (SELECT item_id AS query_id, list_filter(string_split_regex(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+'), lambda x: len(x) > 0) AS ws, text AS t FROM benchmark),
-b AS (SELECT query_id, CASE WHEN regexp_matches(t, '["''][^"'']{{2,}}["'']') OR {_any(_SPECIFIC)} OR {_any(_CODE)} THEN 0.3 WHEN len(ws) <= 2 THEN 0.4
-      WHEN (regexp_matches(t, '[?]\s*$') OR regexp_matches(t, '(?i)^({"|".join(words.QUESTION_WORDS)})\b')) AND len(ws) >= 6 THEN 0.7 ELSE 0.5 END::DOUBLE AS base FROM w)
+{_WEIGHTS}
 SELECT query_id, round(greatest(0.1, least(0.9, base + greatest(-0.2, least(0.2, (coalesce(x.gap, 0) - coalesce(y.gap, 0)) * 0.3)))), 4) AS weight
 FROM b LEFT JOIN (SELECT * FROM gap WHERE side = 'v') x USING (query_id) LEFT JOIN (SELECT * FROM gap WHERE side = 'k') y USING (query_id)"""
 _BENCH_SIGNALS = _SIGNALS.replace(f"SELECT query_id, regexp_replace(query, '^\\s+|\\s+$', '', 'g') AS t FROM ({REQUEST_ROWS}) UNION ALL SELECT conv_id * 1000 + turn + 1000, regexp_replace(text, '^\\s+|\\s+$', '', 'g') FROM conversations", "SELECT item_id AS query_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM benchmark")
@@ -493,19 +595,58 @@ fx AS (SELECT pq.*, coalesce(CASE WHEN rt.n > 40 THEN 'long' WHEN rt.n > 25 THEN
 SELECT level, name, count(*) AS n, round(avg(ndcg), 5) AS ndcg, round(avg(mrr), 5) AS mrr, round(avg(recall), 5) AS recall
 FROM (SELECT *, 'all' AS level, 'all' AS name FROM fx UNION ALL SELECT *, 'category', category FROM fx UNION ALL SELECT *, 'strategy', strategy FROM fx) GROUP BY level, name"""
 
-SQL["bm25_all_terms_whole"] = SQL["bm25_all_terms"].replace(f"({tokens('text')})[1:3]", tokens("text"))
-SQL["contained_topk_whole"] = SQL["contained_topk"].replace(_SHORT_SQL, "sq AS (SELECT item_id AS query_id, text AS query FROM benchmark)")
-SQL["bm25_phrase_boost_requests"] = SQL["bm25_phrase_boost"].replace(
-    _SHORT_SQL,
-    rf"sq AS (SELECT query_id, query FROM ({REQUEST_ROWS}) UNION ALL SELECT conv_id * 1000 + turn + 1000, text FROM conversations WHERE len(list_filter(string_split_regex(text, '\s+'), lambda x: len(x) > 0)) <= 6)",
-)
+_FUSED = f"SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM u) WHERE rank <= {TOP}"
+_BOTH = "SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.doc_id, k.doc_id) AS doc_id, v.rank AS vr, k.rank AS kr, v.score AS vscore, k.score AS kscore FROM v FULL JOIN k ON v.query_id = k.query_id AND v.doc_id = k.doc_id"
+SQL["rrf_server_side"] = f"WITH {_SIDES}, u AS (SELECT query_id, doc_id, round(coalesce(0.5::DOUBLE / (60 + vr), 0) + coalesce(0.5::DOUBLE / (60 + kr), 0), 9) AS score FROM ({_BOTH})) {_FUSED}"
+SQL["alpha_blend"] = f"WITH {_SIDES}, u AS (SELECT query_id, doc_id, round(coalesce(vscore, 0) * 0.25::DOUBLE + coalesce(kscore, 0) * 0.75::DOUBLE, 9) AS score FROM ({_BOTH})) {_FUSED}"
+SQL["graded_ndcg"] = f"""WITH {_BASE}, {_QUERY}, {_SCORE}, res AS ({ranked("s")}), g AS (SELECT doc_id, quality * 2 + 1 - toxic AS rel FROM labels WHERE quality * 2 + 1 - toxic > 0),
+ideal AS (SELECT sum((2 ** rel - 1) / log2(r + 1)) AS best FROM (SELECT rel, row_number() OVER (ORDER BY rel DESC, doc_id) AS r FROM g) WHERE r <= {TOP})
+SELECT query_id, round(sum(CASE WHEN rel IS NOT NULL THEN (2 ** rel - 1) / log2(rank + 1) ELSE 0 END) / (SELECT best FROM ideal), 6) AS ndcg, (SELECT count(*) FROM g) AS n_relevant FROM res LEFT JOIN g USING (doc_id) GROUP BY query_id"""
+SQL["contextual_chunks"] = rf"WITH {_FIXED} SELECT doc_id, chunk_index, CASE WHEN length(text) % 2 = 1 THEN 'Of ' || length(text) || ' characters.' || chr(10) || chr(10) || content ELSE content END AS content FROM fixed"
+SQL["question_chunks"] = rf"""WITH {_FIXED}, a AS (SELECT *, regexp_replace('What of ' || substr(content, 1, 12) || '?', '^\s+|\s+$', '', 'g') AS q FROM fixed)
+SELECT doc_id, chunk_index, content || chr(10) || chr(10) || 'Questions answered:' || chr(10) || '- ' || q || chr(10) || '- And then?' AS content FROM a"""
+_DEFUSED = r"regexp_replace(regexp_replace({0}, '<(\s*)/(\s*)(document)(\s*)>', '<\1' || chr(8205) || '/\2\3\4>', 'gi'), '<(\s*)/(\s*)(chunk)(\s*)>', '<\1' || chr(8205) || '/\2\3\4>', 'gi')"
+_D, _C = _DEFUSED.format("text || '</document > x < / CHUNK>'"), _DEFUSED.format("substr(text, 1, 100) || '</ chunk>'")
+SQL["contextual_prompts"] = f"SELECT doc_id, sha256('<document>' || {_D} || '</document><chunk>' || {_C} || '</chunk>') AS prompt FROM documents"
+_CHUNKED = _BASE.replace(f"SELECT doc_id, {tokens('text')} AS ts FROM documents", f"SELECT doc_id || ':' || chunk_index AS doc_id, {tokens('content')} AS ts FROM fixed")
+SQL["document_hits"] = f"""WITH {_FIXED}, {_CHUNKED}, {_QUERY}, {_SCORE}, h AS ({ranked('s', 2 * TOP)}),
+d AS (SELECT query_id, string_split(doc_id, ':')[1]::BIGINT AS doc_id, min(rank) AS r FROM h GROUP BY ALL)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY r, doc_id::VARCHAR) AS rank FROM d"""
+_RESULTS = f"WITH {_BASE}, {_QUERY}, {_SCORE}, h AS ({ranked('s')}), x AS (SELECT h.*, d.text, d.lang, d.source FROM h JOIN documents d USING (doc_id))"
+SQL["result_documents"] = _RESULTS + " SELECT query_id, rank, length(text) AS n, doc_id || ':0' AS \"chunkId\", doc_id::VARCHAR AS \"documentId\", lang, source, score FROM x"
+SQL["result_nodes"] = _RESULTS + " SELECT query_id, rank, doc_id || ':0' AS id, length(text) AS n, doc_id::VARCHAR AS \"documentId\", score FROM x"
+_FORCE = "CASE query_id % 4 WHEN 0 THEN 'keyword' WHEN 1 THEN 'hybrid' WHEN 2 THEN 'rerank' END"
+SQL["forced_routes"] = f"WITH {_SIGNALS} SELECT query_id, coalesce({_FORCE}, 'vector') AS strategy, coalesce('forced strategy ' || {_FORCE}, 'the store is vector-only') AS reason FROM sg"
+SQL["fallback_routes"] = f"WITH {_SIGNALS}, {_ROUTED} SELECT query_id, CASE WHEN strategy = 'keyword' THEN 'vector' ELSE strategy END AS strategy, strategy = 'keyword' AND (quoted OR (code AND n <= 6) OR ((NOT (spec OR dated) OR n > 6) AND n > 2)) AS fell_back FROM rt"
+_SAID = """CASE WHEN {r} AND {a} AND strategy = 'keyword' THEN 'always reranking: keyword results, too' WHEN {r} AND negated THEN 'negation: reranking forced' WHEN {r} THEN 'reranking enabled, the latency budget allows it'
+ WHEN {w} THEN 'reranking skipped, no reranker configured' WHEN strategy <> 'keyword' THEN 'reranking skipped, latency budget' ELSE main END"""
+SQL["rerank_decisions"] = f"""WITH {_SIGNALS}, {_ROUTED}, b AS (SELECT *, CASE query_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 500 WHEN 2 THEN 1000 END AS budget FROM rt),
+r AS (SELECT *, coalesce(budget > 800, true) AS roomy, 'x' AS main0 FROM b),
+z AS (SELECT *, roomy AS wa, CASE WHEN negated THEN true WHEN strategy = 'keyword' THEN false ELSE roomy END AS sp,
+ CASE WHEN language <> 'en' THEN language || ' query: semantic search' WHEN quoted THEN 'quoted phrase: keyword' WHEN code AND n <= 6 THEN 'short query with code-like syntax: keyword' WHEN (spec OR dated) AND n <= 6 THEN NULL
+      WHEN n <= 2 THEN 'very short query of two words at most: keyword' WHEN named AND n <= 6 AND NOT question THEN 'named entity: keyword' END AS main FROM r)
+SELECT query_id, wa AS always, sp AS spared, false AS "none", {_SAID.format(r='wa', a='true', w='wa')} AS why_always, {_SAID.format(r='sp', a='false', w='sp')} AS why_spared, {_SAID.format(r='false', a='true', w='wa')} AS why_none FROM z"""
+SQL["composed_filters"] = f"""WITH {_SIGNALS} SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'fr' WHEN language <> 'en' THEN language END AS lang, CASE WHEN query_id % 3 = 1 THEN 'web' END AS source,
+ (query_id % 3 = 0 OR language <> 'en')::BIGINT + (query_id % 3 = 1)::BIGINT AS n FROM (SELECT query_id, {script_sql('query')} AS language FROM (SELECT query_id, query FROM ({REQUEST_ROWS}) UNION ALL SELECT conv_id * 1000 + turn + 1000, text FROM conversations))"""
+SQL["engine_strategies"] = f"""WITH {_SIDES},
+{_WEIGHTS},
+fv AS (SELECT * FROM v WHERE rank <= 20), fk AS (SELECT * FROM k WHERE rank <= 20),
+hy AS (SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.doc_id, k.doc_id) AS doc_id, round(coalesce(x.base / (60 + v.rank), 0) + coalesce((1 - x.base) / (60 + k.rank), 0), 7) AS score, (v.rank IS NOT NULL)::BIGINT + 2 * (k.rank IS NOT NULL)::BIGINT AS sides
+       FROM fv v FULL JOIN fk k ON v.query_id = k.query_id AND v.doc_id = k.doc_id JOIN b x ON x.query_id = coalesce(v.query_id, k.query_id)),
+al AS (SELECT query_id, doc_id, rank, score, 2 AS sides FROM k WHERE query_id % 3 = 0 UNION ALL SELECT query_id, doc_id, rank, score, 1 FROM v WHERE query_id % 3 = 1
+       UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id), score, sides FROM hy WHERE query_id % 3 = 2)
+SELECT query_id, doc_id, rank, round(score, 6) AS score, sides::BIGINT AS sides FROM al WHERE rank <= 5 AND (CASE WHEN query_id % 2 = 0 THEN score >= 0.01 WHEN query_id % 3 = 0 THEN score >= 8 ELSE true END)"""
+SQL["cascaded_rerank"] = SQL["heuristic_rerank"].rpartition("r AS (")[0] + "r AS (" + SQL["heuristic_rerank"].rpartition("r AS (")[2].replace(ranked("r"), "").rstrip() + f""", f AS ({ranked('r', 5)}),
+z AS (SELECT f.query_id, f.doc_id, -length(text) / 1000 AS score FROM f JOIN documents USING (doc_id)) SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ({ranked('z', 3)})"""
+SQL["index_counts"] = f"WITH {_FIXED} SELECT count(*) AS n, count(*) FILTER (chunk_index = 0) AS n_left, 0::BIGINT AS n_cleared FROM fixed"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokenize_counts, tokenize_without_stopwords, term_stats, corpus_stats, detect_language, fixed_chunks, sentence_split, sentence_chunks, metadata_chunks, semantic_chunks,
-        vector_topk, vector_topk_filtered, bm25_topk, bm25_all_terms, bm25_all_terms_whole, bm25_phrase_boost, bm25_phrase_boost_requests, bm25_filtered, contained_topk, contained_topk_whole, hash_embed, rrf_hybrid, adaptive_weight, query_signals,
+        vector_topk, vector_topk_filtered, bm25_topk, bm25_all_terms, bm25_phrase_boost, bm25_filtered, contained_topk, hash_embed, rrf_hybrid, adaptive_weight, query_signals,
         route_decisions, strategy_shares, heuristic_rerank, mmr_order, jaccard_pairs, stems, sparse_encode, sparse_dot, ndcg_mrr_recall, eval_by_group, latency_percentiles,
-        report_difference, upsert_delete, context_keys,
+        report_difference, upsert_delete, context_keys, contextual_chunks, question_chunks, contextual_prompts, document_hits, result_documents, result_nodes, forced_routes, fallback_routes,
+        rerank_decisions, composed_filters, engine_strategies, cascaded_rerank, index_counts, rrf_server_side, alpha_blend, graded_ndcg,
     )
 }
