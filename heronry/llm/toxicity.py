@@ -192,23 +192,7 @@ def fitted(rows: list[tuple[str, int]], steps: int = STEPS) -> Field | None:
     weights[-1] = -3.0
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, steps + 1):
-        slope = SQUARES * weights
-        moves = np.exp(weights[-5:-1].reshape(2, 2))
-        for x, w, true in parts:
-            odds = np.exp(np.clip(sum(weights[i] for i in w) + weights[-1], -30, 30))
-            ahead, back, p = x.marginals(odds, float(np.exp(weights[-6])), moves)
-            miss = p - true
-            for i in w:
-                slope[:n] += np.bincount(i, miss, n)
-            slope[-1] += miss.sum()
-            slope[-6] += miss[: x.at[1]].sum() if len(x.at) > 1 else 0
-            if len(x.active) > 1:
-                previous = flat.runs(x.at[:-2], x.active[1:])
-                now = np.arange(x.at[1], x.at[-1])
-                e = odds[now] * back[now]
-                pairs = np.stack([np.full(len(e), moves[0, 0]), moves[0, 1] * e, moves[1, 0] * ahead[previous], moves[1, 1] * ahead[previous] * e])
-                slope[-5:-1] += (pairs / pairs.sum(0)).sum(1) - np.bincount(true[previous] * 2 + true[now], minlength=4)
-        slope[0] = 0
+        slope = gradient(weights, parts, n)
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope * slope
         weights -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
@@ -216,6 +200,29 @@ def fitted(rows: list[tuple[str, int]], steps: int = STEPS) -> Field | None:
     return Field(keys[1:][order], weights[1:n][order], float(weights[-1]), float(np.exp(weights[-6])), np.exp(weights[-5:-1].reshape(2, 2)))
 
 
+def gradient(weights: np.ndarray, parts: list[tuple[Lines, list[np.ndarray], np.ndarray]], n: int) -> np.ndarray:
+    """Slope of the negative log-likelihood and the weighted squares, at the weights of n features (the first is none), then of a
+    line's start, four moves, and any word. parts: lines, their words' features, and which words are T, in columns."""
+    slope = SQUARES * weights
+    moves = np.exp(weights[-5:-1].reshape(2, 2))
+    for x, w, true in parts:
+        odds = np.exp(np.clip(sum(weights[i] for i in w) + weights[-1], -30, 30))
+        ahead, back, p = x.marginals(odds, float(np.exp(weights[-6])), moves)
+        miss = p - true
+        for i in w:
+            slope[:n] += np.bincount(i, miss, n)
+        slope[-1] += miss.sum()
+        slope[-6] += miss[: x.at[1]].sum() if len(x.at) > 1 else 0
+        if len(x.active) > 1:
+            previous = flat.runs(x.at[:-2], x.active[1:])
+            now = np.arange(x.at[1], x.at[-1])
+            e = odds[now] * back[now]
+            pairs = np.stack([np.full(len(e), moves[0, 0]), moves[0, 1] * e, moves[1, 0] * ahead[previous], moves[1, 1] * ahead[previous] * e])
+            slope[-5:-1] += (pairs / pairs.sum(0)).sum(1) - np.bincount(true[previous] * 2 + true[now], minlength=4)
+    slope[0] = 0
+    return slope
+
+
 def _once(*columns: np.ndarray) -> np.ndarray:
     """The first places of distinct rows."""
     order = np.lexsort(columns[::-1])

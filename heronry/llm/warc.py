@@ -102,9 +102,10 @@ def located(uri: str) -> tuple[fs.FileSystem, str]:
 
 def agrees(stated: str, total: Any) -> bool:
     """Whether a digest as a record states it, in hexadecimal or base32, is that of `total`."""
+    stated = stated.rstrip("=")
     if len(stated) == 2 * total.digest_size:
         return stated.lower() == total.hexdigest()
-    return stated.upper().rstrip("=") == base64.b32encode(total.digest()).decode().rstrip("=")
+    return stated.upper() == base64.b32encode(total.digest()).decode().rstrip("=")
 
 
 def chunks(stream: BinaryIO, chunk: int = CHUNK) -> Iterator[tuple]:

@@ -279,6 +279,71 @@ def test_forward_backward_is_exact():
         base += n
 
 
+def test_long_lines_are_cut_without_loss():
+    rnd = np.random.default_rng(5)
+    text = "\n".join(" ".join("w" for _ in range(n)) for n in (1, 40, 7, 23, 8, 2)).encode()
+    data, offs = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    starts, _, bounds = toxicity.flat.spans(data, offs)
+    odds, start, moves = np.exp(rnd.normal(size=len(starts)) * 3), 0.3, np.exp(rnd.normal(size=(2, 2)))
+    found = []
+    for cut in (1 << 62, 1, 3, 7, 8):
+        cols = toxicity.Lines(data, starts, bounds, cut)
+        p = np.empty(len(starts))
+        p[cols.word] = cols.marginals(odds[cols.word], start, moves)[2]
+        found.append(p)
+        assert len(cols.active) <= min(cut, 40)
+    assert all(np.allclose(p, found[0], atol=1e-9) for p in found[1:])
+
+
+def test_the_fit_follows_the_exact_likelihood():
+    rnd = np.random.default_rng(1)
+    lens, n = [3, 1, 4], 4
+    text = "\n".join(" ".join("w" for _ in range(k)) for k in lens).encode()
+    data, offs = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    starts, _, bounds = toxicity.flat.spans(data, offs)
+    cols = toxicity.Lines(data, starts, bounds)
+    word = [rnd.integers(0, n, len(starts)), rnd.integers(0, n, len(starts))]
+    true = rnd.random(len(starts)) < 0.5
+
+    def loss(w):
+        w = np.where(np.arange(len(w)) == 0, 0, w)
+        moves, out, at = w[-5:-1].reshape(2, 2), toxicity.SQUARES * (w * w).sum() / 2, 0
+        for k in lens:
+            own = sum(w[x[at : at + k]] for x in word) + w[-1]
+            value = lambda tags: w[-6] * tags[0] + (own * np.array(tags)).sum() + sum(moves[a, b] for a, b in zip(tags, tags[1:]))  # noqa: B023, E731
+            out += np.log(sum(np.exp(value(t)) for t in itertools.product((0, 1), repeat=k))) - value(true[at : at + k].astype(int).tolist())
+            at += k
+        return out
+
+    w = rnd.normal(size=n + 6)
+    w[0] = 0
+    slope = toxicity.gradient(w, [(cols, [x[cols.word] for x in word], true[cols.word])], n)
+    for i in range(1, len(w)):
+        step = np.eye(len(w))[i] * 1e-5
+        assert slope[i] == pytest.approx((loss(w + step) - loss(w - step)) / 2e-5, abs=1e-5)
+
+
+def brute_threshold(scored, truth):
+    """The least of the scores, rounded, with the highest F1 of those that reach it."""
+    levels = sorted({round(s, 3) for i, s in scored if i in truth}, reverse=True)
+    best, least = 0.0, float("inf")
+    for level in levels:
+        told = [truth[i] for i, s in scored if i in truth and round(s, 3) >= level]
+        f1 = 2 * sum(told) / (len(told) + sum(truth.values()))
+        if f1 >= best:
+            best, least = f1, level - 0.0005
+    return least
+
+
+def test_toxic_threshold_is_the_best(spark):
+    rnd = np.random.default_rng(4)
+    truth = {i: int(rnd.random() < 0.3) for i in range(300)}
+    scored = [(i, float(np.round(rnd.normal() + 2 * t + 3, 2))) for i, t in truth.items() if rnd.random() < 0.8] + [(900, 9.0)]
+    found = spark.createDataFrame(scored, "doc_id long, score double")
+    held = spark.createDataFrame([(i, t) for i, t in truth.items()], "doc_id long, toxic int")
+    assert toxicity.threshold(found, held) == pytest.approx(brute_threshold([x for x in scored if x[1] > 0], truth))
+
+
 # ---- quality
 
 
@@ -309,6 +374,54 @@ def test_paths_of_a_forest():
     assert (again.scores(good) == score[:300]).all()
 
 
+def test_path_lengths_and_scores_of_a_forest_against_a_walk():
+    rnd = np.random.default_rng(7)
+    good = rnd.normal(size=(120, 4))
+    rows = rnd.normal(size=(50, 4)) * 3
+    forest = quality.Forest(good, np.minimum(good.min(0), rows.min(0)), np.maximum(good.max(0), rows.max(0)), trees=9, rows=64, seed=3)
+    expected = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    random = np.random.default_rng(3)
+    total = np.zeros(len(rows))
+    for root in forest.roots:
+        held = good[random.choice(len(good), 64, replace=False)]
+        for r, row in enumerate(rows):
+            node, depth, own = root, 0, held
+            while forest.what[node] >= 0:
+                k, value = forest.what[node], forest.value[node]
+                own = own[own[:, k] >= value] if row[k] >= value else own[own[:, k] < value]
+                node, depth = forest.left[node] + int(row[k] >= value), depth + 1
+            total[r] += depth + expected(len(own))
+        _skip(random, forest, root, held)
+    assert np.allclose(forest.scores(rows), 2.0 ** (-total / 9 / expected(64)))
+
+
+def _skip(random, forest, root, held):
+    """Draws what growing the tree drew, so that the next tree's rows are known."""
+    low = np.full(4, -np.inf)
+    waiting = [(root, held, 0)]
+    del low
+    while waiting:
+        at, own, depth = waiting.pop()
+        if forest.what[at] < 0:
+            continue
+        random.choice(4)
+        random.random()
+        random.uniform(0, 1)
+        k, value = forest.what[at], forest.value[at]
+        waiting += [(forest.left[at], own[own[:, k] < value], depth + 1), (forest.left[at] + 1, own[own[:, k] >= value], depth + 1)]
+
+
+def test_quality_threshold_tells_most_rightly(spark):
+    rnd = np.random.default_rng(4)
+    truth = {i: int(rnd.random() < 0.7) for i in range(300)}
+    scored = [(i, float(np.round(0.5 - 0.1 * t + rnd.normal() / 10, 3))) for i, t in truth.items()] + [(None, 0.1), (900, 0.9)]
+    most = quality.threshold(spark.createDataFrame(scored, "doc_id long, score double"), spark.createDataFrame(list(truth.items()), "doc_id long, quality int"))
+    right = lambda level: sum((s <= level) == bool(truth[i]) for i, s in scored if i in truth)
+    assert right(most) == max(right(s) for _, s in scored)
+    good = spark.createDataFrame([(i, 1) for i in truth], "doc_id long, quality int")
+    assert quality.threshold(spark.createDataFrame(scored, "doc_id long, score double"), good) == float("inf")
+
+
 # ---- n-gram Jaccard join
 
 
@@ -507,6 +620,26 @@ def test_planted_passages_go_whole(spark):
     assert lines.cleaned(fixtures.frame(spark, []), passages=True).count() == 0
 
 
+@pytest.mark.parametrize("passages", [False, True])
+def test_bodies_of_one_hash_are_told_apart(spark, monkeypatch, passages):
+    rows = [(i, "\n".join(" ".join(fixtures.words(k, 3)) for k in (i % 5, i % 7, i % 5, i % 3, 9, i % 4)), "en", "s", 0) for i in range(30)]
+    docs = fixtures.frame(spark, rows)
+    want = Counter(lines.cleaned(docs, passages=passages).collect())
+    thin = lines._thin
+
+    def weak(kind):
+        run = thin(kind)
+
+        def weaker(batches):
+            for batch in run(batches):
+                yield batch.set_column(4, "hash", pa.array(batch.column(4).to_numpy() & 1))
+
+        return weaker
+
+    monkeypatch.setattr(lines, "_thin", weak)
+    assert Counter(lines.cleaned(docs, passages=passages).collect()) == want and sum(r["lines_removed"] for r in want) > 10
+
+
 # ---- URL filters
 
 
@@ -572,3 +705,47 @@ def test_score_decides_on_urls_that_are_no_seeds(spark):
     assert sent[300] == 0 and all(abs(sent[i] - through[i]) < 1e-5 for i in sent)
     own = pages.withColumn("mine", F.expr("case when page_id < 60 then false when page_id < 200 then true end"))
     assert {r["page_id"] for r in urls.kept(own, "mine").collect()} == {i for i, _ in good} | {300, 301}
+
+
+def test_hot_passages_of_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BUCKET", 2000)
+    shared_ = fixtures.words(1, 70)
+    rows = [(i, " ".join(fixtures.words(100 + i, 11) + [f"a{i}"] + (shared_ if i % 3 == 0 else fixtures.words(5000 + i, 55)) + [f"b{i}"] + fixtures.words(900 + i, 9)), "en", "s", 0) for i in range(240)]
+    rows += [(300 + i, " ".join(fixtures.words(7000 + i // 2, 60) + [f"c{i}"]), "en", "s", 0) for i in range(8)]
+    docs = fixtures.frame(spark, rows)
+    want = Counter((i, 12, 70) for i in range(0, 240, 3)) + Counter((300 + i, 0, 60) for i in range(8))
+    for find in (repeats.super_kmers, repeats.suffixes):
+        for hot in (1 << 20, 20, 1):
+            assert Counter(tuple(r) for r in find(docs, hot=hot).collect()) == want
+
+
+def record(block, digest, extra=b""):
+    return b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x>\r\nWARC-Block-Digest: " + digest + b"\r\n" + extra + b"Content-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_digests_of_other_writers():
+    import base64
+    import hashlib
+    import io
+
+    block = b"some bytes " * 50
+    sha1 = hashlib.sha1(block).digest()
+    for digest in (b"sha1:" + base64.b32encode(sha1), b"SHA-1:" + sha1.hex().encode(), b"md5:" + base64.b32encode(hashlib.md5(block).digest()), b"unknown:abc", hashlib.sha256(block).hexdigest().encode()):
+        rows = list(warc.chunks(io.BytesIO(record(block, digest)), 100))
+        assert b"".join(r[6] for r in rows) == block and rows[-1][9] is True
+    assert list(warc.chunks(io.BytesIO(record(block, b"sha1:" + base64.b32encode(sha1[::-1])))))[-1][9] is False
+
+
+def test_broken_heads_are_invalid_rows():
+    import io
+
+    good = record(b"x", b"unknown:x")
+    for bad in (good.replace(b"Length: 1", b"Length: one"), good.replace(b"Length: 1", b"Length: -1"), record(b"x", b"unknown:x", b"A: " + b"a" * (1 << 17) + b"\r\n")):
+        for stream in (io.BytesIO(bad + good), warc._Lines(io.BytesIO(bad + good))):
+            rows = list(warc.chunks(stream))
+            assert [(r[5], r[8], r[9]) for r in rows] == [(0, True, False), (1, True, True)]
+    assert list(warc.chunks(io.BytesIO(b""))) == []
+    with pytest.raises(ValueError):
+        list(warc.chunks(io.BytesIO(b"z" * (1 << 20))))
+    with pytest.raises(ValueError):
+        warc.located("/no/scheme")
