@@ -70,7 +70,7 @@ def model_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]],
     def run(df: DataFrame, text: str, vector: str) -> DataFrame:
         @F.pandas_udf("array<double>")
         def vectors(parts: pd.Series) -> pd.Series:
-            model = _loaded(load)
+            model = loaded(load)
             own = [prefix + (t or "") for t in parts]
             return pd.Series([[float(x) for x in v] for a in range(0, len(own), batch) for v in model(own[a : a + batch])])
 
@@ -95,13 +95,13 @@ def local_embedder(name: str, prefix: str = "", batch: int = 32) -> Embedder:
     """Embeds with a local sentence model, loaded once in a Python worker. Needs the package sentence_transformers there."""
 
     def load() -> Callable[[list[str]], list[list[float]]]:
-        model = _imported("sentence_transformers").SentenceTransformer(name)
+        model = imported("sentence_transformers").SentenceTransformer(name)
         return lambda texts: model.encode(texts, normalize_embeddings=True).tolist()
 
     return model_embedder(load, prefix, batch)
 
 
-def _imported(package: str):
+def imported(package: str):
     import importlib
 
     try:
@@ -113,7 +113,7 @@ def _imported(package: str):
 _models: dict[int, tuple] = {}
 
 
-def _loaded(load):
+def loaded(load):
     """Models of this worker, at most four, the last used last."""
     key = id(load)
     held = _models.pop(key, None) or (load, load())

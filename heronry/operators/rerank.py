@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.porter import stem
 from ..functions.text import array_of, sigmoid, tokenize
 from ..functions.words import STOPWORDS
+from .embedding import imported, loaded
 from .retrieve import top
 
 Reranker = Callable[[DataFrame, int], DataFrame]
@@ -59,10 +61,14 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _tokens(text: str) -> frozenset[str]:
-    kept = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+    """Stems of the tokens as tokenize() makes them, letters and numbers of any script, without stopwords."""
+    kept = _APART.sub(" ", (text or "").lower()).split()
     return frozenset(stem(t) for t in kept if t not in _STOP)
 
 
+_APART = regex.compile(r"[^\p{L}\p{N}\s]")
+
+
 _STOP = frozenset(STOPWORDS)
 
 
@@ -103,6 +109,19 @@ def mmr(weight: float = 0.7, similarity: Callable[[str, str], float] | None = No
     return run
 
 
+def local_reranker(name: str, batch: int = 16) -> Reranker:
+    """Reranks with a local cross-encoder, loaded once in a Python worker. Needs the package sentence_transformers there."""
+
+    def score(queries: list[str], contents: list[str]) -> list[float]:
+        held = loaded(load).predict(list(zip(queries, contents)))
+        return [float(x) for x in held]
+
+    def load():
+        return imported("sentence_transformers").CrossEncoder(name)
+
+    return model(score, batch=batch)
+
+
 def model(score: Callable[[list[str], list[str]], list[float]], squash: bool = True, batch: int = 16) -> Reranker:
     """A reranker around a model that scores lists of queries and contents; logits are squashed unless told otherwise."""
 

@@ -117,6 +117,8 @@ class Engine:
         """Serves chunks that are stored elsewhere, with their stored postings if there are any, without copying them."""
         old = self.data
         self.data = self._built(chunks) if postings is None else of_postings(chunks, postings, self.stemmed, self.drop_stopwords)
+        if postings is not None:
+            self.data.terms, self.data.stats = self.keep(self.data.terms), self.keep(self.data.stats)
         if old:
             _forget(old)
 
@@ -195,7 +197,7 @@ class Engine:
                 words = cut(retrieve.bm25_topk(need.select("query_id", "query", "filter"), index, most, k1=self.k1, b=self.b, digits=self.digits))
         parts = []
         if fused_any:
-            with tracer.span(f"{pool}:fuse"):
+            with tracer.span("pool:hybrid" if pooled else "search:hybrid"):
                 both = rows.where(mixed).select("query_id", "top_k", "decision", fusion.vector_weight(F.col("signals")).alias("weight"))
                 weights = both.where(~again).select("query_id", "weight")
                 if pooled:

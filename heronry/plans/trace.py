@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections import OrderedDict, deque
@@ -10,9 +11,11 @@ from contextlib import contextmanager
 from datetime import datetime, timezone
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 
 class Tracer:
-    """Spans of one search. Spark is lazy: a span that doesn't materialize times the planning alone."""
+    """Spans of one search. Spark is lazy: the engine computes what a span is named for within it."""
 
     def __init__(self, query: str):
         self.id, self.query, self.started_at, self.spans = str(uuid.uuid4()), query, datetime.now(timezone.utc), []
@@ -54,6 +57,13 @@ class TraceStore:
     def push(self, trace: dict[str, Any]) -> None:
         self._held.append(trace)
 
+    def save(self, spark: SparkSession, folder: str) -> int:
+        """Appends the held traces, oldest first, to a table of JSON rows (id, started_at, trace); how many there were."""
+        rows = [(t["id"], t.get("started_at"), json.dumps(t, default=str)) for t in self._held]
+        if rows:
+            spark.createDataFrame(rows, "id string, started_at timestamp, trace string").coalesce(1).write.mode("append").parquet(folder)
+        return len(rows)
+
     def list(self, limit: int = 100) -> list[dict[str, Any]]:
         return [*reversed(self._held)][:limit]
 

@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,10 +8,10 @@ from heronry.functions.text import split_sentences
 from heronry.operators import chunking, embedding, fusion, index, metrics, rerank, retrieve, sparse
 from heronry.plans import adapt
 from heronry.plans.engine import Engine, evaluate
-from heronry.plans.server import Service
+from heronry.plans.server import Service, engine_of
 from heronry.plans.trace import BoundedCache, Tracer, TraceStore
 from heronry.sources import beir
-from heronry.sources.store import Store
+from heronry.sources.store import ContextCache, Store
 from heronry.streaming.ingest import ingest
 
 DOCS = "id string, content string, metadata map<string,string>"
@@ -333,3 +334,113 @@ def test_approximate_search_finds_nearly_all_at_any_length(spark):
     asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:40])], "query_id long, vector array<double>")
     exact, near = ({(r["query_id"], r["chunk_id"]) for r in search(asked, chunks, 10).collect()} for search in (retrieve.vector_topk, retrieve.lsh_topk))
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+class Always:
+    """A router that searches by words alone."""
+
+    name = "always-keyword"
+
+    def __call__(self, signals, force, budget_ms, caps, has_reranker):
+        return F.struct(F.lit("keyword").alias("strategy"), F.array(F.lit("as ever")).alias("reasons"), F.lit(False).alias("reranked"))
+
+
+def test_router_and_parameters_of_bm25(spark):
+    e = Engine(spark, router=Always(), k1=0.0, b=0.0)
+    rows = [("a", "pool pool pool", {}), ("b", "pool and more words than that", {}), ("b", "the last of two pool", {})]
+    assert e.index(docs(spark, rows))["chunks"] == 2  # of two documents with the same id the last stays
+    out = e.search("what is a pool and how does it work")
+    assert out.decisions.first()["decision"]["strategy"] == "keyword" and out.trace["router"] == "always-keyword"
+    found = {r["document_id"]: r for r in out.results.collect()}
+    assert found["b"]["content"] == "the last of two pool" and found["a"]["score"] == found["b"]["score"]  # k1 = 0: a term counts once
+    assert {s["name"] for s in out.trace["spans"]} == {"route", "search:keyword", "results"}
+
+
+def test_stored_postings_and_segments(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s", indexed=True)
+    store.migrate(), store.migrate()
+    with pytest.raises(ValueError, match="was made with"):
+        Store(spark, f"{tmp_path}/s", dimension=4).migrate()
+    chunks = chunking.fixed()(docs(spark))
+    store.upsert(chunks)
+    store.upsert(chunks.where("document_id in ('pool', 'lock')").withColumn("content", F.lit("changed words")))
+    store.delete(spark.createDataFrame([("cache:0",)], "id string"))
+
+    def same():
+        got, want = store.index(), index.build(store.read())
+        assert Counter(r["id"] for r in got.chunks.select("id").collect()) == Counter(f"{d}:0" for d, _ in CORPUS if d != "cache")
+        assert sorted(map(tuple, got.postings.select("term", "chunk_id", "doc_len", "tf").collect())) == sorted(map(tuple, want.postings.select("term", "chunk_id", "doc_len", "tf").collect()))
+        assert got.stats.first() == want.stats.first()
+
+    same()
+    store.compact()
+    same()
+    e = Engine(spark, router=Always())
+    e.attach(store.read(), store.index().postings)
+    assert {r["document_id"] for r in e.search("changed").results.collect()} == {"pool", "lock"}
+
+
+def test_contexts_are_asked_once(spark, tmp_path):
+    cache, asked = ContextCache(spark, f"{tmp_path}/contexts"), f"{tmp_path}/asked"
+
+    def provider(documents, chunks):
+        with open(asked, "a") as f:
+            f.write("".join(c[:4] + "\n" for c in chunks))
+        return ["seen" for _ in chunks]
+
+    chunker = chunking.contextual(chunking.fixed(), provider, cache)
+    for rows in (CORPUS[:3], CORPUS[1:5]):
+        assert all(r["content"].startswith("seen\n\n") for r in chunker(docs(spark, rows)).collect())
+    assert sorted(open(asked).read().split("\n")[:-1]) == sorted(t[:4] for _, t in CORPUS[:5]) and cache.read().count() == 5
+
+
+def test_embedder_that_fits_once(spark):
+    fits = []
+    e = embedding.FitOnce(lambda df, text: fits.append(df.count()) or embedding.hash_embedder(8))
+    for rows in (CORPUS[:2], CORPUS):
+        assert all(len(r["v"]) == 8 for r in e(docs(spark, rows), "content", "v").collect())
+    assert fits == [2]
+
+
+def test_percentiles_of_one_value_that_most_rows_have(spark):
+    rows = [("a", 5.0)] * 900 + [("a", float(i)) for i in range(100)] + [("b", 1.0), ("c", None)]
+    got = {r["k"]: r for r in metrics.percentiles(spark.createDataFrame(rows, "k string, v double").repartition(7), "v", ["k"]).collect()}
+    v = sorted(x for k, x in rows if k == "a")
+    assert (got["a"]["n"], got["a"]["p50"], got["a"]["p95"], got["a"]["p99"]) == (1000, v[500], v[950], v[990]) and got["b"]["p99"] == 1.0 and set(got) == {"a", "b"}
+
+
+def test_judgements_for_all_queries(spark):
+    results = spark.createDataFrame([(q, d, i + 1) for q in (1, 2) for i, d in enumerate("abc" if q == 1 else "xab")], "query_id long, doc_id string, rank int")
+    shared = spark.createDataFrame([("a", 1), ("b", 3), ("c", 0), ("z", 2)], "doc_id string, rel int")
+    each = shared.crossJoin(spark.createDataFrame([(1,), (2,)], "query_id long"))
+    for graded in (False, True):
+        one, two = (sorted(map(tuple, metrics.per_query(results, q, 2, graded).collect())) for q in (shared, each))
+        assert [[pytest.approx(x) for x in r] for r in one] == [list(r) for r in two]
+
+
+def test_traces_are_saved(spark, tmp_path):
+    store = TraceStore(3)
+    for q in "abcd":
+        store.push(Tracer(q).finish())
+    assert store.save(spark, f"{tmp_path}/t") == 3 and store.save(spark, f"{tmp_path}/t") == 3
+    assert {json.loads(r["trace"])["query"] for r in spark.read.parquet(f"{tmp_path}/t").collect()} == set("bcd")
+
+
+def test_description_of_the_service(spark):
+    s = Service(Engine(spark))
+    spec, doc = s.call("GET", "/openapi.json")[1], s.call("GET", "/docs")[1]
+    search = spec["paths"]["/search"]["post"]
+    fields = search["requestBody"]["content"]["application/json"]["schema"]
+    assert fields["required"] == ["query"] and "minScore" in fields["properties"] and "401" in search["responses"] and doc.startswith("<!doctype html>") and "/traces/{id}" in doc
+    with pytest.raises(ValueError, match="profile"):
+        engine_of(spark, profile="none")
+    with pytest.raises(ImportError, match="is needed to run local models"):
+        embedding.imported("no_such_package_of_models")
+
+
+def test_spotted_words_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "SMALL", 2)
+    chunks = spark.createDataFrame([("a", "One two three"), ("b", "twofold"), ("c", None)], "id string, content string")
+    wanted = spark.createDataFrame([("two",), ("one",), ("three",), ("old",), ("zzz",)], "word string")
+    assert Counter(map(tuple, retrieve.spotted(chunks, wanted).collect())) == Counter([("a", "one"), ("a", "two"), ("a", "three"), ("b", "two"), ("b", "old")])
+    assert retrieve.spotted(chunks, wanted.limit(0)).count() == 0
