@@ -27,11 +27,11 @@ N, THRESHOLD = 3, 0.55
 #: An n-gram is frequent if it is in one set of RARE, and in LEAST_FREQUENT at least.
 RARE, LEAST_FREQUENT = 4000, 16
 #: Largest l, cost of a verification in posting comparisons for each n-gram of the set.
-MOST_SHARED, VERIFY = 64, 0.1
+MOST_SHARED, VERIFY = 32, 0.1
 #: Least n-grams of a set by which groups are found, and how many of them a set shares with the one it is linked to.
 FIRST, MET = 8, 2
 #: n-grams of a counted block, postings of a bucket and of an n-gram in it, n-grams of the sets that are compared together.
-BLOCK, BUCKET, SPLIT, TOGETHER = 8 << 20, 1 << 20, 1 << 14, 1 << 20
+BLOCK, BUCKET, SPLIT, TOGETHER = 8 << 20, 1 << 21, 1 << 14, 1 << 20
 #: Groups in which met pairs are counted, for each bucket of postings.
 COUNTS = 4
 
@@ -134,7 +134,9 @@ def _split(sid: np.ndarray, grams: np.ndarray, df: np.ndarray, split: int) -> tu
     return np.concatenate([few, at]), np.concatenate([grams[few], flat.mix(grams[at] + cell * flat.GRAM)]), np.concatenate([np.zeros(len(few), np.uint8), side])
 
 
-_POSTED = (("grams", np.uint32), ("extra", np.uint8), ("sides", np.uint8), ("counts", np.int32), ("sids", np.int64), ("groups", np.int64), ("sizes", np.int32), ("ells", np.uint8))
+_POSTED = (("grams", np.uint32), ("extra", np.uint8), ("sides", np.uint8), ("counts", np.uint8), ("sids", np.int64), ("grouped", np.bool_), ("groups", np.int64), ("sizes", np.uint16), ("ells", np.uint8))
+#: Sizes of sets are sent as powers of this, rounded down.
+STEP = 1.0005
 
 
 def _postings(n: int, threshold: float, keys: np.ndarray, times: np.ndarray, buckets: int, split: int):
@@ -142,7 +144,7 @@ def _postings(n: int, threshold: float, keys: np.ndarray, times: np.ndarray, buc
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
         sid, group, size, prefix, ell = (np.array([h[k] for h in held], np.int64) for k in range(5))
-        lens = np.array([len(h[5]) for h in held])
+        lens, level = np.array([len(h[5]) for h in held]), np.floor(np.log(size) / math.log(STEP) + 1e-9)
         doc = np.repeat(np.arange(len(held)), lens)
         extra = np.maximum(flat.runs(np.zeros(len(held), np.int64), lens) - np.repeat(prefix, lens) + 1, 0).astype(np.uint8)
         at, grams, side = _split(sid[doc], np.concatenate([h[5] for h in held]), np.concatenate([h[6] for h in held]), split)
@@ -154,7 +156,10 @@ def _postings(n: int, threshold: float, keys: np.ndarray, times: np.ndarray, buc
         for b in np.flatnonzero(np.diff(cut)).tolist():
             own = order[cut[b] : cut[b + 1]]
             docs, counts = np.unique(doc[own], return_counts=True)
-            values = (grams[own] & flat.U(0xFFFFFFFF), extra[own], side[own], counts, sid[docs], group[docs], size[docs], ell[docs])
+            times = -(-counts // 255)  # a set of more n-grams comes again
+            docs, counts = np.repeat(docs, times), np.minimum(np.repeat(counts, times) - 255 * flat.runs(np.zeros(len(docs), np.int64), times), 255)
+            told = group[docs] != sid[docs]
+            values = (grams[own] & flat.U(0xFFFFFFFF), extra[own], side[own], counts, sid[docs], told, group[docs][told], level[docs], ell[docs])
             out["bucket"].append(b)
             for (k, kind), v in zip(_POSTED, values):
                 out[k].append(v.astype(kind).tobytes())
@@ -198,15 +203,17 @@ def _across(run: np.ndarray, group: np.ndarray, most: int = 1 << 19) -> Iterator
 _TOLD = (("a", np.int64), ("b", np.int64), ("times", np.uint8), ("ells", np.uint8))
 
 
-def _paired(threshold: float, groups: int):
+def _paired(threshold: float, counted: int):
     """Pairs of a bucket with the n-grams that they share there, packed for the group that counts those of their first set."""
     schema = pa.schema([("part", pa.int64()), *((k, pa.binary()) for k, _ in _TOLD)])
 
     def run(table: pa.Table) -> pa.Table:
         parts = {k: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(k)]) for k, kind in _POSTED}
         sids, which, back = np.unique(parts["sids"], return_index=True, return_inverse=True)
-        size, ell, group = parts["sizes"][which].astype(np.int64), parts["ells"][which], parts["groups"][which]
-        doc = np.repeat(back, parts["counts"])
+        groups = parts["sids"].copy()
+        groups[parts["grouped"]] = parts["groups"]
+        size, ell, group = STEP ** parts["sizes"][which], parts["ells"][which], groups[which]
+        doc = np.repeat(back.astype(np.int32), parts["counts"])
         gram, extra, side = parts["grams"], parts["extra"], parts["sides"]
         parts.clear()
         order = np.argsort(gram, kind="stable")
@@ -232,7 +239,7 @@ def _paired(threshold: float, groups: int):
         for a, b in _across(number, group[own]):
             x, y = own[a], own[b]
             shared = np.maximum(ell[x], ell[y])
-            ok = (most[a] < shared) & (most[b] < shared) & ((side[a] == 0) | (side[a] != side[b])) & (np.minimum(size[x], size[y]) >= needed(np.maximum(size[x], size[y]), threshold))
+            ok = (most[a] < shared) & (most[b] < shared) & ((side[a] == 0) | (side[a] != side[b])) & (STEP * np.minimum(size[x], size[y]) >= 0.9999 * threshold * np.maximum(size[x], size[y]))
             keys.append(x[ok].astype(np.int64) << 32 | y[ok])
             counts.append(np.ones(int(ok.sum()), np.int64))
             pending += len(keys[-1])
@@ -242,7 +249,7 @@ def _paired(threshold: float, groups: int):
         fold()
         x, y = keys[0] >> 32, keys[0] & 0xFFFFFFFF
         told = np.minimum(sids[x], sids[y]), np.maximum(sids[x], sids[y]), np.minimum(counts[0], 255), np.maximum(ell[x], ell[y])
-        part = (flat.mix(told[0].view(flat.U)) % flat.U(groups)).astype(np.int64)
+        part = (flat.mix(told[0].view(flat.U)) % flat.U(counted)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         heads = np.flatnonzero(np.diff(part[order], prepend=-1))
         ends = np.append(heads[1:], len(order))
