@@ -2,8 +2,9 @@
 
 An item is the set of its word n-grams. It is found in a document if some window of the document as long as the item, in words,
 holds at least `threshold` of the set. An item of k n-grams that must share `need` of them shares at least one of any
-k - need + 1; its rarest are taken, by the number of documents that hold them. Only a document with one of these is verified,
-in the task that has its words at hand, after bounds by length and by the place of the n-grams found.
+k - need + 1; its rarest are taken, by the number of documents that hold them. Documents are looked up for these prefixes alone. One
+with an n-gram of a prefix is looked up for the others of its items, where its words are at hand, and verified if it is long enough and if, within
+an item's length of a place of its prefix, there are as many n-grams of items as the item must share.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import flat
+from .shared import frugal
 
 N, THRESHOLD = 3, 0.7
 #: n-grams of items that are sent to the executors at a time; a larger benchmark is joined slice by slice.
@@ -54,33 +56,42 @@ class Items:
         self.grams = grams
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for size in sorted(set(self.sizes)):
-            keys = np.unique(np.concatenate([g for g, s in zip(grams, self.sizes) if s == size]))
-            sieve = np.zeros(int(SIEVE) + 1, bool)
-            sieve[(keys & SIEVE).astype(np.int64)] = True
-            self.by_size[size] = keys, sieve
-        #: n-gram -> items; and those of the prefixes alone, once their order is known.
-        self.owners: dict[int, list[int]] = {}
-        for k, g in enumerate(grams):
-            for h in g.tolist():
-                self.owners.setdefault(h, []).append(k)
+            self.by_size[size] = sieved(np.unique(np.concatenate([g for g, s in zip(grams, self.sizes) if s == size])))
+        self.first: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        #: n-gram of a prefix -> items, once their order is known.
         self.prefix: dict[int, list[int]] = {}
 
     def order(self, df: dict[int, int]) -> None:
         for k, g in enumerate(self.grams):
             for h in sorted(g.tolist(), key=lambda h: (df.get(h, 0), h))[: self.total[k] - self.need[k] + 1]:
                 self.prefix.setdefault(h, []).append(k)
+        for size in self.by_size:
+            own = {h for h, ks in self.prefix.items() if any(self.sizes[k] == size for k in ks)}
+            self.first[size] = sieved(np.sort(np.array(list(own), flat.U)))
 
     def hits(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(n-gram size, rows, word numbers, hashes) of the items' n-grams in a slice of texts."""
-        for size, (keys, sieve) in self.by_size.items():
-            all_grams = flat.grams(words, size)
-            at = np.flatnonzero(sieve[(all_grams & SIEVE).astype(np.int64)])
-            found = all_grams[at]
-            near = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-            at, found = at[keys[near] == found], found[keys[near] == found]
-            rows = np.searchsorted(bounds, at, "right") - 1
-            whole = at + size <= bounds[rows + 1]
-            yield size, rows[whole], at[whole], found[whole]
+        for size, known in self.by_size.items():
+            yield size, *met(flat.grams(words, size), known, bounds, size)
+
+
+def sieved(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sieve = np.zeros(int(SIEVE) + 1, bool)
+    sieve[(keys & SIEVE).astype(np.int64)] = True
+    return keys, sieve
+
+
+def met(grams: np.ndarray, known: tuple[np.ndarray, np.ndarray], bounds: np.ndarray, size: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, word numbers, hashes) of the known ones of n-grams, of those at the places `among`, that lie within one row."""
+    keys, sieve = known
+    own = grams if among is None else grams[among]
+    at = np.flatnonzero(sieve[(own & SIEVE).astype(np.int64)])
+    found = own[at]
+    same = keys[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] == found if len(keys) else np.zeros(len(at), bool)
+    at, found = at[same] if among is None else among[at[same]], found[same]
+    rows = np.searchsorted(bounds, at, "right") - 1
+    whole = at + size <= bounds[rows + 1]
+    return rows[whole], at[whole], found[whole]
 
 
 def phrase(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, size: int) -> bytes:
@@ -100,7 +111,7 @@ def _counts(items: Items):
                         total[h] = total.get(h, 0) + c
         yield pa.RecordBatch.from_arrays([pa.array(np.array(list(total), flat.U).view(np.int64)), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
 
-    return run
+    return flat.tidy(run)
 
 
 def best(places: np.ndarray, grams: np.ndarray, span: int, need: int) -> tuple[int, int]:
@@ -119,20 +130,34 @@ def _found(items: Items, column: pa.Array) -> Iterator[tuple[int, int, int, int]
     for row, _, part, at in flat.slices(data, offs):
         starts, ends, bounds = flat.spans(part, at)
         words = flat.hashes(part, starts, ends)
-        for size, rows, places, found in items.hits(words, bounds):
-            cut = np.searchsorted(rows, np.arange(len(at)))
-            for r in np.unique(rows).tolist():
-                own, where = found[cut[r] : cut[r + 1]], places[cut[r] : cut[r + 1]]
-                distinct = set(own.tolist())
-                for k in sorted({k for h in distinct for k in items.prefix.get(h, ()) if items.sizes[k] == size}):
-                    need = items.need[k]
-                    if bounds[r + 1] - bounds[r] - size + 1 < need or len(distinct) < need:
+        for size in items.first:
+            grams = flat.grams(words, size)
+            likely, first, told = met(grams, items.first[size], bounds, size)
+            some = np.unique(likely)
+            among = flat.runs(bounds[some], np.maximum(np.minimum(bounds[some + 1], len(grams)) - bounds[some], 0)) if len(some) else some
+            rows, places, found = met(grams, items.by_size[size], bounds, size, among)
+            for r in some.tolist():
+                i, j = np.searchsorted(rows, [r, r + 1])
+                own, where = found[i:j], places[i:j]
+                distinct = len(np.unique(own))
+                i, j = np.searchsorted(likely, [r, r + 1])
+                begun: dict[int, list[int]] = {}
+                for h, at_ in zip(told[i:j].tolist(), first[i:j].tolist()):
+                    for k in items.prefix[h]:
+                        if items.sizes[k] == size:
+                            begun.setdefault(k, []).append(at_)
+                for k in sorted(begun):
+                    need, span = items.need[k], items.words[k] - size
+                    if bounds[r + 1] - bounds[r] - size + 1 < need or distinct < need:
+                        continue
+                    near = np.array(begun[k])
+                    if (np.searchsorted(where, near + span, "right") - np.searchsorted(where, near - span) < need).all():
                         continue
                     mine = np.isin(own, items.grams[k])
                     mine[mine] = [phrase(part, starts, ends, int(p), size) == items.text[int(h)] for h, p in zip(own[mine], where[mine])]
-                    n, first = best(where[mine], own[mine], items.words[k] - size, need)
+                    n, begin = best(where[mine], own[mine], span, need)
                     if n >= need:
-                        yield row + r, k, n, first - int(bounds[r])
+                        yield row + r, k, n, begin - int(bounds[r])
 
 
 def _matches(items: Items):
@@ -142,7 +167,7 @@ def _matches(items: Items):
             rows = [(ids[r], items.ids[k], n, items.total[k], round(n / items.total[k], 6), first) for r, k, n, first in _found(items, batch.column(1))]
             yield pa.RecordBatch.from_pylist([dict(zip(MATCHES.names, x)) for x in rows], pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shared", pa.int32()), ("n_shingles", pa.int32()), ("containment", pa.float64()), ("first_word", pa.int64())]))
 
-    return run
+    return flat.tidy(run)
 
 
 def _clean(items: Items, at: int):
@@ -152,7 +177,7 @@ def _clean(items: Items, at: int):
             keep[[r for r, *_ in _found(items, batch.column(at))]] = False
             yield batch.filter(pa.array(keep))
 
-    return run
+    return flat.tidy(run)
 
 
 def prepared(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, most: int = MOST_GRAMS) -> Iterator[Items]:
@@ -165,6 +190,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float
         items.order({r["gram"] % (1 << 64): r["n"] for r in counted.collect()} if items.ids else {})
         return items
 
+    frugal(docs.sparkSession)
     rows, size = [], 0
     for row in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").toLocalIterator():
         long = row["text"].count(" ") + 1
