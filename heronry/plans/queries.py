@@ -595,6 +595,17 @@ fx AS (SELECT pq.*, coalesce(CASE WHEN rt.n > 40 THEN 'long' WHEN rt.n > 25 THEN
 SELECT level, name, count(*) AS n, round(avg(ndcg), 5) AS ndcg, round(avg(mrr), 5) AS mrr, round(avg(recall), 5) AS recall
 FROM (SELECT *, 'all' AS level, 'all' AS name FROM fx UNION ALL SELECT *, 'category', category FROM fx UNION ALL SELECT *, 'strategy', strategy FROM fx) GROUP BY level, name"""
 
+SQL["semantic_chunks"] = f"""
+WITH RECURSIVE {_SENTENCES},
+one AS (SELECT doc_id, pos, doc_id || ':' || pos AS sid, ss[pos] AS s FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS pos FROM s2)),
+e AS {_EMBED.format(key="sid", source="(SELECT sid, unnest(" + tokens("s") + ") AS term FROM one)")},
+near AS (SELECT o.doc_id, o.pos, coalesce(sum(x.value * y.value), 0) AS alike FROM one o LEFT JOIN e x ON x.sid = o.sid LEFT JOIN e y ON y.sid = o.doc_id || ':' || (o.pos - 1) AND y.dim = x.dim GROUP BY ALL),
+fold AS (
+ SELECT doc_id, pos, 0 AS chunk, length(s) AS n FROM one WHERE pos = 1
+ UNION ALL
+ SELECT o.doc_id, o.pos, f.chunk + (k.alike < 0.65 OR f.n + length(s) > 1500)::INT, CASE WHEN k.alike < 0.65 OR f.n + length(s) > 1500 THEN length(s) ELSE f.n + length(s) + 1 END
+ FROM fold f JOIN one o ON o.doc_id = f.doc_id AND o.pos = f.pos + 1 JOIN near k ON k.doc_id = o.doc_id AND k.pos = o.pos)
+SELECT doc_id, chunk::BIGINT AS chunk_index, string_agg(s, ' ' ORDER BY pos) AS content FROM fold JOIN one USING (doc_id, pos) GROUP BY doc_id, chunk"""
 _FUSED = f"SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM u) WHERE rank <= {TOP}"
 _BOTH = "SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.doc_id, k.doc_id) AS doc_id, v.rank AS vr, k.rank AS kr, v.score AS vscore, k.score AS kscore FROM v FULL JOIN k ON v.query_id = k.query_id AND v.doc_id = k.doc_id"
 SQL["rrf_server_side"] = f"WITH {_SIDES}, u AS (SELECT query_id, doc_id, round(coalesce(0.5::DOUBLE / (60 + vr), 0) + coalesce(0.5::DOUBLE / (60 + kr), 0), 9) AS score FROM ({_BOTH})) {_FUSED}"
