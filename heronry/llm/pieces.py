@@ -368,7 +368,12 @@ def coded(docs: DataFrame, path: str) -> DataFrame:
 
 
 def recoded(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """The documents with a text that went through pieces and back, and the column `ids` of its pieces; a column of that name is replaced."""
+    """The documents with a text that went through pieces and back, and the column `ids` of its pieces; a column of that name is replaced.
+
+    A null text stays null and has null ids, an empty one is empty and has none. Nothing else of a row is looked at: a null id stays, a
+    repeated row comes again, an empty table gives an empty one. A text changes only where the model can't say it: `▁` becomes a space,
+    and what it doesn't know its unknown piece.
+    """
     frugal(docs.sparkSession)
     raw = load(path)
     rows = docs.drop(ids)

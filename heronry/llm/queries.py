@@ -19,7 +19,9 @@ def pieces_path() -> str:
     if "HERONRY_PIECES" in os.environ:
         return os.environ["HERONRY_PIECES"]
     found = importlib.util.find_spec("public_tokenizers")
-    return os.path.join(os.path.dirname(found.origin) if found else "/opt/tokenizers", PIECES)
+    if found is None:
+        raise FileNotFoundError("set HERONRY_PIECES to the file of a SentencePiece model")
+    return os.path.join(os.path.dirname(found.origin), PIECES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,18 +1,15 @@
-"""What the operators share about the cluster: its shared folder, tables written there, and joins with a side of a checked size."""
+"""What the operators share about the cluster: its shared folder, and tables in buckets there."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import folder, written
 
-__all__ = ["bucketed", "folder", "frugal", "joined", "partitions", "unused", "written"]
+__all__ = ["bucketed", "folder", "frugal", "partitions", "unused", "written"]
 
-#: Bytes up to which a side of a join, or a model, is sent whole to every executor.
-BROADCAST_BYTES = 64 << 20
 #: Bytes of an Arrow batch that goes to a Python worker.
 ARROW_BYTES = 8 << 20
 
@@ -43,11 +40,5 @@ def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return out
 
 
-def joined(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str, width: int = 32) -> DataFrame:
-    """left joined to right, which is counted first: it is broadcast if its rows of about `width` bytes fit BROADCAST_BYTES,
-    and otherwise both sides are shuffled on the key."""
-    return left.join(F.broadcast(right) if right.count() * width <= BROADCAST_BYTES else right, on, how)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
