@@ -32,6 +32,8 @@ WINDOW, GRAM = 50, 8
 BUCKET, SAMPLES = 1 << 20, 32
 #: Stretches of one minimiser that are compared in one bucket.
 HOT = 1 << 14
+#: Cells of documents in which the sampled suffixes are looked for.
+CELLS = 1 << 22
 _STRETCH = "doc_id long, mark long, start long, n int, lead int, key long"
 
 
@@ -323,6 +325,13 @@ def _texts(rows: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.join(lists, ["doc_id", "mark"]).select("doc_id", "mark", "text", *names)
 
 
+def _holding(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """The rows whose document is in few, and others of their cells: texts that a sample doesn't touch are not shuffled for it. There
+    are CELLS cells at most, so what is sent has a bound."""
+    cell = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(CELLS)).alias("cell")
+    return rows.select("*", cell).join(F.broadcast(few.select(cell).distinct()), "cell", "left_semi").drop("cell")
+
+
 _COVERS = "doc_id long, mark long, first_word long, last_word long"
 _PACKED = "bucket long, doc_id long, mark long, start long, n int, lead int, body binary"
 
@@ -360,7 +369,8 @@ def suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     splitters: list[bytes] = []
     if buckets > 1:
         every = max(1, kept.count() // (SAMPLES * buckets))
-        some = _texts(rows, kept.where(F.pmod(F.xxhash64("doc_id", "start", "key"), F.lit(every)) == 0)).mapInArrow(_packed(window, lambda tails, keys: np.zeros(len(keys), np.int64), False), _PACKED)
+        few = kept.where(F.pmod(F.xxhash64("doc_id", "start", "key"), F.lit(every)) == 0)
+        some = _texts(_holding(rows, few), few).mapInArrow(_packed(window, lambda tails, keys: np.zeros(len(keys), np.int64), False), _PACKED)
         tails = sorted(bytes(r["tail"]) for r in some.select(_tail(F.col("body"), F.col("lead")).alias("tail")).toLocalIterator())
         splitters = sorted({tails[i * len(tails) // buckets] for i in range(1, buckets)}) if tails else []
     edges = {_head(s, gram): -1 - k for k, s in reversed(list(enumerate(splitters)))}
