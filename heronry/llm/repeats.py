@@ -32,7 +32,7 @@ WINDOW, GRAM = 50, 8
 BUCKET, SAMPLES = 1 << 20, 32
 #: Stretches of one minimiser that are compared in one bucket.
 HOT = 1 << 14
-#: Cells of documents in which the sampled suffixes are looked for.
+#: Cells of documents in which sampled suffixes and hot windows are looked for.
 CELLS = 1 << 22
 _STRETCH = "doc_id long, mark long, start long, n int, lead int, key long"
 
@@ -299,7 +299,7 @@ def _hashed(window: int):
 def _hot(rows: DataFrame, some: DataFrame, window: int) -> DataFrame:
     """Covers of the stretches of minimisers that very many stretches have: their windows are counted by 128 bits of hash, one by one,
     which are combined before they travel."""
-    each = written(_texts(rows, some).select("doc_id", "mark", "text", "start", "n").mapInArrow(_hashed(window), "doc_id long, mark long, place long, one long, two long"), "hot-windows")
+    each = written(_texts(_holding(rows, some), some).select("doc_id", "mark", "text", "start", "n").mapInArrow(_hashed(window), "doc_id long, mark long, place long, one long, two long"), "hot-windows")
     many = each.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("one", "two")
     return each.join(many, ["one", "two"]).select("doc_id", "mark", F.col("place").alias("first_word"), (F.col("place") + window - 1).alias("last_word"))
 
@@ -326,7 +326,7 @@ def _texts(rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def _holding(rows: DataFrame, few: DataFrame) -> DataFrame:
-    """The rows whose document is in few, and others of their cells: texts that a sample doesn't touch are not shuffled for it. There
+    """The rows whose document is in few, and others of their cells: texts without any of few are not shuffled for it. There
     are CELLS cells at most, so what is sent has a bound."""
     cell = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(CELLS)).alias("cell")
     return rows.select("*", cell).join(F.broadcast(few.select(cell).distinct()), "cell", "left_semi").drop("cell")
