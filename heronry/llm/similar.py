@@ -2,7 +2,8 @@
 
 Documents with the same set are copies, and count as one. Of a set of k, two similar sets share at least l of the first
 k - ceil(THRESHOLD * k) + l in each (the l-prefix), in an order common to all: n-grams that few sets have by hash, then the frequent
-ones by frequency. Each set takes the l for which its estimated candidate cost is least, a pair the larger l of its two.
+ones by frequency. Each set takes the l for which its estimated candidate cost is least, a pair the larger l of its two. Sets of x and
+y n-grams must share c = THRESHOLD / (1 + THRESHOLD) * (x + y) at least, so for such a pair the first x - c + l and y - c + l will do.
 
 Groups of near copies hold nearly all similar pairs, and these grow with the square of a group. So groups are found first, by linking
 each set to the least one that shares two of its least n-grams. Then prefix n-grams travel packed to the bucket of their hash,
@@ -117,7 +118,7 @@ def chosen(df: np.ndarray, prefix: int) -> int:
     return int(np.argmin(cost * (1 + VERIFY * len(df) / np.arange(1, most + 1)))) + 1
 
 
-def _split(sid: np.ndarray, grams: np.ndarray, df: np.ndarray, split: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _split(number: np.ndarray, grams: np.ndarray, df: np.ndarray, split: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, n-grams, sides) of postings, those of n-grams that more than `split` sets hold in the cells of a triangle.
 
     A set is in all cells of its row and column; in a cell off the diagonal only sets of different sides meet.
@@ -127,55 +128,67 @@ def _split(sid: np.ndarray, grams: np.ndarray, df: np.ndarray, split: int) -> tu
     if not len(many):
         return np.arange(len(grams)), grams, np.zeros(len(grams), np.uint8)
     few, s = np.flatnonzero(parts <= 1), parts[many]
-    own = np.repeat((flat.mix(sid[many].view(flat.U)) % s.astype(flat.U)).astype(np.int64), s)
+    own = np.repeat((flat.mix(number[many].astype(flat.U)) % s.astype(flat.U)).astype(np.int64), s)
     other, at, s = flat.runs(np.zeros(len(s), np.int64), s), np.repeat(many, s), np.repeat(s, s)
     cell = (np.minimum(own, other) * s + np.maximum(own, other)).astype(flat.U) + flat.U(1)
     side = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.uint8)
     return np.concatenate([few, at]), np.concatenate([grams[few], flat.mix(grams[at] + cell * flat.GRAM)]), np.concatenate([np.zeros(len(few), np.uint8), side])
 
 
-_POSTED = (("grams", np.uint32), ("extra", np.uint8), ("sides", np.uint8), ("counts", np.uint8), ("sids", np.int64), ("grouped", np.bool_), ("groups", np.int64), ("sizes", np.uint16), ("ells", np.uint8))
+def _kind(count: int) -> type:
+    """The type of numbers below count."""
+    return np.uint32 if count <= 1 << 32 else np.int64
+
+
+def _posted(kind: type) -> tuple:
+    """Names and types of what is sent for postings; kind: the type of the numbers of sets."""
+    return (("grams", np.uint32), ("places", np.uint8), ("sides", np.uint8), ("counts", np.uint8), ("numbers", kind), ("grouped", np.bool_), ("groups", kind), ("sizes", np.uint16), ("ells", np.uint8))
+
+
 #: Sizes of sets are sent as powers of this, rounded down.
 STEP = 1.0005
+#: Places in sets are sent as so many parts of the set, rounded down.
+PLACES = 255
 
 
-def _postings(n: int, threshold: float, keys: np.ndarray, times: np.ndarray, buckets: int, split: int):
-    """The prefixes of sets, packed by bucket: half of each n-gram's hash (what that confuses is told apart when verified), and its place beyond the 1-prefix."""
+def _postings(n: int, threshold: float, keys: np.ndarray, times: np.ndarray, buckets: int, split: int, kind: type):
+    """The prefixes of sets (text, number, group), packed by bucket: half of each n-gram's hash (what that confuses is told apart when verified), and its place in the set."""
+    posted = _posted(kind)
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
-        sid, group, size, prefix, ell = (np.array([h[k] for h in held], np.int64) for k in range(5))
-        lens, level = np.array([len(h[5]) for h in held]), np.floor(np.log(size) / math.log(STEP) + 1e-9)
+        number, group, size, ell = (np.array([h[k] for h in held], np.int64) for k in range(4))
+        lens, level = np.array([len(h[4]) for h in held]), np.floor(np.log(size) / math.log(STEP) + 1e-9)
         doc = np.repeat(np.arange(len(held)), lens)
-        extra = np.maximum(flat.runs(np.zeros(len(held), np.int64), lens) - np.repeat(prefix, lens) + 1, 0).astype(np.uint8)
-        at, grams, side = _split(sid[doc], np.concatenate([h[5] for h in held]), np.concatenate([h[6] for h in held]), split)
-        doc, extra = doc[at], extra[at]
+        place = (PLACES * flat.runs(np.zeros(len(held), np.int64), lens) // size[doc]).astype(np.uint8)
+        at, grams, side = _split(number[doc], np.concatenate([h[4] for h in held]), np.concatenate([h[5] for h in held]), split)
+        doc, place = doc[at], place[at]
         bucket = ((grams >> flat.U(32)) % flat.U(buckets)).astype(np.int64)
         order = np.argsort(bucket * len(held) + doc, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out: dict[str, list] = {k: [] for k in ("bucket", *(k for k, _ in _POSTED))}
+        out: dict[str, list] = {k: [] for k in ("bucket", *(k for k, _ in posted))}
         for b in np.flatnonzero(np.diff(cut)).tolist():
             own = order[cut[b] : cut[b + 1]]
             docs, counts = np.unique(doc[own], return_counts=True)
             times = -(-counts // 255)  # a set of more n-grams comes again
             docs, counts = np.repeat(docs, times), np.minimum(np.repeat(counts, times) - 255 * flat.runs(np.zeros(len(docs), np.int64), times), 255)
-            told = group[docs] != sid[docs]
-            values = (grams[own] & flat.U(0xFFFFFFFF), extra[own], side[own], counts, sid[docs], told, group[docs][told], level[docs], ell[docs])
+            told = group[docs] != number[docs]
+            values = (grams[own] & flat.U(0xFFFFFFFF), place[own], side[own], counts, number[docs], told, group[docs][told], level[docs], ell[docs])
             out["bucket"].append(b)
-            for (k, kind), v in zip(_POSTED, values):
-                out[k].append(v.astype(kind).tobytes())
+            for (k, own_kind), v in zip(posted, values):
+                out[k].append(v.astype(own_kind).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k != "bucket" else pa.int64()) for k, v in out.items()], list(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for batch in batches:
-            groups = batch.column(1).to_numpy()
+            numbers, groups = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for row, own in sets(*flat.buffers(batch.column(0)), n):
                 grams, df = ordered(own, keys, times)
                 prefix = len(own) - int(needed(len(own), threshold)) + 1
                 end = prefix + MOST_SHARED - 1
                 ell = chosen(df, prefix)
-                held.append((_name(own), groups[row], len(own), prefix, ell, grams[:end], df[:end]))
-                total += len(held[-1][5])
+                held.append((numbers[row], groups[row], len(own), ell, grams[:end], df[:end]))
+                total += len(held[-1][4])
                 if total >= 1 << 20:
                     yield packed(held)
                     held, total = [], 0
@@ -200,21 +213,22 @@ def _across(run: np.ndarray, group: np.ndarray, most: int = 1 << 19) -> Iterator
         a = b
 
 
-_TOLD = (("a", np.int64), ("b", np.int64), ("times", np.uint8), ("ells", np.uint8))
+def _told(kind: type) -> tuple:
+    return (("a", kind), ("b", kind), ("times", np.uint8), ("ells", np.uint8))
 
 
-def _paired(threshold: float, counted: int):
+def _paired(threshold: float, counted: int, kind: type):
     """Pairs of a bucket with the n-grams that they share there, packed for the group that counts those of their first set."""
-    schema = pa.schema([("part", pa.int64()), *((k, pa.binary()) for k, _ in _TOLD)])
+    schema = pa.schema([("part", pa.int64()), *((k, pa.binary()) for k, _ in _told(kind))])
 
     def run(table: pa.Table) -> pa.Table:
-        parts = {k: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(k)]) for k, kind in _POSTED}
-        sids, which, back = np.unique(parts["sids"], return_index=True, return_inverse=True)
-        groups = parts["sids"].copy()
+        parts = {k: np.concatenate([np.frombuffer(x.as_buffer(), own) for x in table.column(k)]) for k, own in _posted(kind)}
+        numbers, which, back = np.unique(parts["numbers"], return_index=True, return_inverse=True)
+        groups = parts["numbers"].copy()
         groups[parts["grouped"]] = parts["groups"]
         size, ell, group = STEP ** parts["sizes"][which], parts["ells"][which], groups[which]
         doc = np.repeat(back.astype(np.int32), parts["counts"])
-        gram, extra, side = parts["grams"], parts["extra"], parts["sides"]
+        gram, place, side = parts["grams"], parts["places"], parts["sides"]
         parts.clear()
         order = np.argsort(gram, kind="stable")
         heads = np.flatnonzero(np.diff(gram[order], prepend=gram[order][:1] + np.uint32(1))) if len(order) else order
@@ -227,8 +241,9 @@ def _paired(threshold: float, counted: int):
         again = np.zeros(len(order), bool)
         again[1:] = (number[1:] == number[:-1]) & (doc[order][1:] == doc[order][:-1])
         order, number = order[~again], number[~again]
-        own, most, side = doc[order], extra[order], side[order]
-        del gram, extra, doc, order, inner, again
+        own, side = doc[order], side[order]
+        left = STEP * size[own] * (1 - place[order] / PLACES)  # n-grams from this one on, at most
+        del gram, place, doc, order, inner, again
         keys, counts, pending = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
 
         def fold() -> None:
@@ -238,8 +253,8 @@ def _paired(threshold: float, counted: int):
 
         for a, b in _across(number, group[own]):
             x, y = own[a], own[b]
-            shared = np.maximum(ell[x], ell[y])
-            ok = (most[a] < shared) & (most[b] < shared) & ((side[a] == 0) | (side[a] != side[b])) & (STEP * np.minimum(size[x], size[y]) >= 0.9999 * threshold * np.maximum(size[x], size[y]))
+            common = 0.9999 * threshold / (1 + threshold) * (size[x] + size[y])
+            ok = (np.minimum(left[a], left[b]) + np.maximum(ell[x], ell[y]) - 1 >= common) & ((side[a] == 0) | (side[a] != side[b])) & (STEP * np.minimum(size[x], size[y]) >= 0.9999 * threshold * np.maximum(size[x], size[y]))
             keys.append(x[ok].astype(np.int64) << 32 | y[ok])
             counts.append(np.ones(int(ok.sum()), np.int64))
             pending += len(keys[-1])
@@ -248,25 +263,29 @@ def _paired(threshold: float, counted: int):
                 pending = 0
         fold()
         x, y = keys[0] >> 32, keys[0] & 0xFFFFFFFF
-        told = np.minimum(sids[x], sids[y]), np.maximum(sids[x], sids[y]), np.minimum(counts[0], 255), np.maximum(ell[x], ell[y])
-        part = (flat.mix(told[0].view(flat.U)) % flat.U(counted)).astype(np.int64)
+        told = np.minimum(numbers[x], numbers[y]), np.maximum(numbers[x], numbers[y]), np.minimum(counts[0], 255), np.maximum(ell[x], ell[y])
+        part = (flat.mix(told[0].astype(flat.U)) % flat.U(counted)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         heads = np.flatnonzero(np.diff(part[order], prepend=-1))
         ends = np.append(heads[1:], len(order))
-        columns = [[v[order[i:j]].astype(kind).tobytes() for i, j in zip(heads.tolist(), ends.tolist())] for v, (_, kind) in zip(told, _TOLD)]
+        columns = [[v[order[i:j]].astype(own).tobytes() for i, j in zip(heads.tolist(), ends.tolist())] for v, (_, own) in zip(told, _told(kind))]
         return pa.table([pa.array(part[order[heads]]), *(pa.array(c, pa.binary()) for c in columns)], schema=schema)
 
     return flat.tidy(run)
 
 
-def _met(table: pa.Table) -> pa.Table:
-    """The pairs (a, b) of a group that share as many n-grams as the larger l of their two."""
-    a, b, times, ell = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(k)]) for k, kind in _TOLD)
-    order = np.lexsort((b, a))
-    a, b, times, ell = a[order], b[order], times[order], ell[order]
-    heads = np.flatnonzero((np.diff(a, prepend=0) != 0) | (np.diff(b, prepend=0) != 0) | (np.arange(len(a)) == 0))
-    own = heads[np.add.reduceat(times.astype(np.int64), heads) >= ell[heads]]
-    return pa.table([pa.array(a[own]), pa.array(b[own])], names=["a", "b"])
+def _met(kind: type):
+    """The pairs (x, y) of a group, by number, that share as many n-grams as the larger l of their two."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, times, ell = (np.concatenate([np.frombuffer(x.as_buffer(), own) for x in table.column(k)]) for k, own in _told(kind))
+        order = np.lexsort((b, a))
+        a, b, times, ell = a[order], b[order], times[order], ell[order]
+        heads = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        own = heads[np.add.reduceat(times.astype(np.int64), heads) >= ell[heads]]
+        return pa.table([pa.array(a[own].astype(np.int64)), pa.array(b[own].astype(np.int64))], names=["x", "y"])
+
+    return flat.tidy(run)
 
 
 def _verified(n: int, threshold: float):
@@ -374,7 +393,7 @@ class Join:
     """The join of documents with themselves, as tables in the shared folder, where a copy of docs lies in buckets of (id, mark).
 
     signed: (doc_id, mark, sid, size, first), the set of each document with a word; mark is the hash of its text.
-    kept: (sid, doc_id, mark, n, size), the least document of each set, and how many have it.
+    kept: (sid, doc_id, mark, n, size, first, row), the least document of each set, and how many have it; row is its partition and its place there.
     groups: (sid, root) of the sets that similar pairs connect with a lesser one; root is the least of them.
     """
 
@@ -387,15 +406,23 @@ class Join:
         self.rows = rows
         self.signed = written(rows.mapInArrow(_signed(n), "doc_id long, mark long, sid long, size long, first array<long>").dropDuplicates(["doc_id", "mark"]), "signed")
         one = self.signed.groupBy("sid").agg(F.min(F.struct("doc_id", "mark")).alias("kept"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("first").alias("first"))
-        self.kept = written(one.select("sid", "kept.*", "n", "size", "first"), "kept")
-        total = self.kept.agg(F.count("*").alias("sets"), F.sum("size").alias("grams")).first()
+        self.kept = written(one.select("sid", "kept.*", "n", "size", "first").withColumn("row", F.monotonically_increasing_id()), "kept")
+        place = F.col("row").bitwiseAND((1 << 33) - 1)
+        total = self.kept.agg(F.count("*").alias("sets"), F.sum("size").alias("grams"), F.coalesce(F.max(F.shiftright("row", 33)) + 1, F.lit(1)).alias("parts"), F.max(place).alias("place")).first()
+        # sets are numbered, so that most tables need 4 bytes to name one
+        kind = _kind(((total["place"] or 0) + 1) * total["parts"])
+        numbers = self.kept.select("sid", "doc_id", "mark", (place * total["parts"] + F.shiftright("row", 33)).alias("number"))
         near = self._similar(written(self._least(), "near"))
-        labels = self.kept.select("sid", "doc_id", "mark").join(components(near), "sid", "left").select("doc_id", "mark", F.coalesce("root", "sid").alias("root"))
+        groups = components(near).join(numbers.select(F.col("sid").alias("root"), F.col("number").alias("group")), "root").select("sid", "group")
+        labels = numbers.join(groups, "sid", "left").select("doc_id", "mark", "number", F.coalesce("group", "number").alias("group"))
         keys, times = self._frequent(total["sets"])
         buckets = max(1, math.ceil((total["grams"] or 0) * (1 - threshold) / BUCKET))
-        posted = self._with(labels, "text", "root").mapInArrow(_postings(n, threshold, keys, times, buckets, split), ", ".join(["bucket long", *(f"{k} binary" for k, _ in _POSTED)]))
-        told = posted.groupBy("bucket").applyInArrow(_paired(threshold, COUNTS * buckets), ", ".join(["part long", *(f"{k} binary" for k, _ in _TOLD)]))
-        met = told.groupBy("part").applyInArrow(flat.tidy(_met), "a long, b long")
+        posted = self._with(labels, "text", "number", "group").mapInArrow(_postings(n, threshold, keys, times, buckets, split, kind), ", ".join(["bucket long", *(f"{k} binary" for k, _ in _posted(kind))]))
+        told = posted.groupBy("bucket").applyInArrow(_paired(threshold, COUNTS * buckets, kind), ", ".join(["part long", *(f"{k} binary" for k, _ in _told(kind))]))
+        met = written(told.groupBy("part").applyInArrow(_met(kind), "x long, y long"), "numbered")
+        for end, side in (("x", "a"), ("y", "b")):
+            met = met.join(numbers.select(F.col("number").alias(end), F.col("sid").alias(side)), end)
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         self.groups = components(near.unionAll(self._similar(written(met, "met"))))
 
     def _with(self, keys: DataFrame, *columns: str) -> DataFrame:

@@ -6,11 +6,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from heronry.llm import decontaminate, lines, pieces, quality, queries, repeats, similar, toxicity, urls, warc
+from heronry.llm import decontaminate, flat, lines, pieces, quality, queries, repeats, similar, toxicity, urls, warc
 
 from . import fixtures
 
@@ -512,6 +513,51 @@ def test_a_group_of_a_third_of_all_rows(spark, small_tables):
     assert Counter(got) == Counter(brute_links(rows, similar.N, similar.THRESHOLD)) and len(got) == 200
 
 
+def told_pairs(texts, buckets=3, kind=np.uint32, threshold=0.55):
+    """{(a, b): (n-grams told as shared, l)} of texts numbered by place, each a group of its own."""
+    numbers = np.arange(len(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(numbers), pa.array(numbers)], ["text", "number", "group"])
+    none = np.zeros(0, np.int64)
+    posted = pa.Table.from_batches(similar._postings(1, threshold, none.view(np.uint64), none, buckets, 100, kind)(iter([batch])))
+    times, ells = Counter(), {}
+    for b in range(buckets):
+        told = similar._paired(threshold, 4, kind)(posted.filter(pa.compute.equal(posted["bucket"], b)))
+        columns = [np.concatenate([np.zeros(0, own), *(np.frombuffer(x.as_buffer(), own) for x in told[k])]) for k, own in similar._told(kind)]
+        for x, y, n, ell in zip(*(c.tolist() for c in columns)):
+            times[x, y] += n
+            ells[x, y] = ell
+    return {k: (n, ells[k]) for k, n in times.items()}
+
+
+def test_pairs_are_told_for_the_prefixes_that_their_sizes_need():
+    # sets of 220 must share 157 to be similar, so only their first 220 - 157 + l n-grams count, of which these two share none
+    by_hash = sorted(fixtures.words(1, 6000), key=lambda w: int(next(similar.sets(*flat.buffers(pa.array([w])), 1))[1][0]))
+    by_hash = list(dict.fromkeys(by_hash))[:1400]
+    early, late = by_hash[:200], by_hash[-1200:]
+    x, y = early[::2] + late[:120], early[1::2] + late[:120]
+    assert len(x) == len(y) == 220 and len(set(x) & set(y)) == 120
+    assert told_pairs([" ".join(x), " ".join(y)]) == {}
+
+
+def test_no_similar_pair_is_lost_to_places():
+    rnd = np.random.default_rng(8)
+    vocabulary = list(dict.fromkeys(fixtures.words(2, 9000)))[:5000]
+    texts = []
+    for size in (1, 2, 3, 7, 20, 60, 300, 1500):
+        for _ in range(4):
+            base = rnd.permutation(vocabulary)
+            for share in (0.56, 0.6, 0.8, 1.0, 1.25, 1.75):  # smaller and larger ones, and some with other words
+                n = max(1, round(size * share))
+                texts.append(" ".join([*base[: n - n // 12], *rnd.choice(base[n:], n // 12, replace=False)]))
+    words = [set(fold(t)) for t in texts]
+    near = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(words[i] & words[j]) >= 0.55 * len(words[i] | words[j]) - 1e-9}
+    assert len(near) > 200
+    for kind in (np.uint32, np.int64):
+        told = told_pairs(texts, kind=kind)
+        assert near <= {k for k, (n, ell) in told.items() if n >= ell}
+    assert similar._kind(1 << 32) is np.uint32 and similar._kind((1 << 32) + 1) is np.int64
+
+
 def test_overlaps_are_exact():
     rnd = np.random.default_rng(2)
     grams = [np.unique(rnd.integers(0, 400, int(rnd.integers(1, 90))).astype(np.uint64)) for _ in range(120)] + [np.arange(3, dtype=np.uint64)] * 40
