@@ -19,6 +19,8 @@ class Index:
     stats: DataFrame
     stemmed: bool = False
     drop_stopwords: bool = False
+    #: Whether the postings are a table, from which queries are answered; otherwise they are from the texts.
+    stored: bool = False
 
     def tokens(self, df: DataFrame, text: str, column: str) -> DataFrame:
         """Tokens of queries, made as those of the chunks were."""
@@ -39,15 +41,15 @@ def build(chunks: DataFrame, stemmed: bool = False, drop_stopwords: bool = False
     postings = terms.groupBy("term", "chunk_id", "doc_len").agg(F.count("*").alias("tf"))
     if keep:
         postings = keep(postings)
-    return of_postings(chunks, postings, stemmed, drop_stopwords)
+    return of_postings(chunks, postings, stemmed, drop_stopwords, bool(keep))
 
 
-def of_postings(chunks: DataFrame, postings: DataFrame, stemmed: bool = False, drop_stopwords: bool = False) -> Index:
+def of_postings(chunks: DataFrame, postings: DataFrame, stemmed: bool = False, drop_stopwords: bool = False, stored: bool = True) -> Index:
     """The index of chunks whose postings are there already."""
     size = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("size"))
     stats = chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(size)).select("n", F.when(F.col("n") > 0, F.col("size") / F.col("n")).otherwise(0.0).alias("avgdl"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n"))).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
-    return Index(chunks, postings, terms, stats, stemmed, drop_stopwords)
+    return Index(chunks, postings, terms, stats, stemmed, drop_stopwords, stored)
 
 
 def last_of(batch: DataFrame, order: str | None = None) -> DataFrame:
