@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize_advanced
+from ..sources.tables import written
 from .index import idf
 from .retrieve import B, K1, small, top
 
@@ -28,8 +29,9 @@ class SparseEncoder:
         stats = tokens.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avgdl"))
         each = tokens.select("__o", F.posexplode("tokens").alias("at", "term"))
         terms = each.groupBy("term", "__o").agg(F.min("at").alias("at")).groupBy("term").agg(F.count("*").alias("df"), F.min(F.struct("__o", "at")).alias("first"))
-        # numbered by two steps, a range partition at a time, rather than by one window over all terms
-        ranged = terms.repartitionByRange("first").withColumn("part", F.spark_partition_id())
+        # numbered by two steps, a range partition at a time, rather than by one window over all terms; the ranges come from a sample,
+        # which is another one whenever they are computed, so that they are written
+        ranged = written(terms.repartitionByRange("first").withColumn("part", F.spark_partition_id()), "terms")
         own = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("first", "term")))
         before = own.groupBy("part").count().withColumn("base", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
         numbered = own.join(F.broadcast(before), "part").crossJoin(F.broadcast(stats.select("n")))

@@ -71,3 +71,13 @@ def test_small_tiles_and_many_hits():
     got = sorted((q, -round(s, 1), i) for b in rows for q, i, s in zip(*(c.to_pylist() for c in b.columns)))
     assert got == sorted((q + 7, s, i) for n in range(3) for q, s, i in sorted(x for x in seen if x[0] == n)[:5])
     assert list(scan.cuts(np.array([3, 3, 9, 1, 1]), 6)) == [(0, 2), (2, 3), (3, 5)] and list(scan.cuts(np.array([1, 1, 1]), 6, 2)) == [(0, 2), (2, 3)]
+
+
+def test_terms_are_numbered_in_order_whatever_the_sample(spark):
+    corpus = spark.range(4000, numPartitions=4).select("id", F.concat_ws(" ", *(F.concat(F.lit("t"), (F.col("id") * 7 + j) % 30011) for j in range(12))).alias("content"))
+    rows = sparse.SparseEncoder.fit(corpus, stemmed=False).vocabulary.select("term", "idx").collect()
+    first = {}
+    for r in corpus.orderBy("id").collect():
+        for t in r["content"].split():
+            first.setdefault(t, len(first))
+    assert {r["term"]: r["idx"] for r in rows} == first and len(rows) == len(first)
