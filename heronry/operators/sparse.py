@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize_advanced
 from ..sources.tables import written
-from .index import idf
-from .retrieve import B, K1, small, top
+from .index import build, idf
+from .retrieve import B, K1, PAIRS, best_by_terms, ranked, slices, small, top
 
 
 @dataclass
@@ -62,3 +64,21 @@ def sparse_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
 def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     return top(sparse_scores(queries, docs), k)
+
+
+def text_topk(queries: DataFrame, docs: DataFrame, k: int = 10, query: str = "query", stemmed: bool = True, k1: float = K1, b: float = B, digits: int | None = None) -> DataFrame:
+    """sparse_topk() of texts, weighted as SparseEncoder.fit(docs) does, without a row for each pair: queries are sent to the documents."""
+
+    def weigh(idf_: np.ndarray, avgdl: float, rows: pa.Table) -> np.ndarray:
+        tf, size = (rows.column(c).to_numpy() for c in ("weight", "len"))
+        return idf_ * tf * (k1 + 1) / (tf + k1 * (1 - b + b * (size / avgdl if avgdl > 0 else np.ones(len(size)))))
+
+    index = build(docs, stemmed)
+    tokens = index.tokens(queries.select("query_id", F.col(query).alias("__t")), "__t", "tokens")
+    asked = tokens.select("query_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("query_id", "len", "term").agg(F.count("*").cast("double").alias("weight"))
+    parts = [best_by_terms(some, index, k, digits, weigh, k1, b, blank=False) for some in slices(asked, -(-asked.count() // PAIRS))]
+    if not parts or parts[0] is None:
+        encoder = SparseEncoder.fit(docs, stemmed=stemmed, k1=k1, b=b)
+        hits = sparse_scores(encoder.weights(queries, query, "query_id"), encoder.weights(docs, "content", "id").withColumnRenamed("id", "chunk_id"))
+        return top(hits if digits is None else hits.withColumn("score", F.round("score", digits)), k)
+    return ranked(parts, k, digits)

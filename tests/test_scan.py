@@ -81,3 +81,10 @@ def test_terms_are_numbered_in_order_whatever_the_sample(spark):
         for t in r["content"].split():
             first.setdefault(t, len(first))
     assert {r["term"]: r["idx"] for r in rows} == first and len(rows) == len(first)
+
+
+def test_sparse_products_of_texts(spark, chunks, asked):
+    encoder = sparse.SparseEncoder.fit(chunks, stemmed=False)
+    q, d = encoder.weights(asked, "query", "query_id"), encoder.weights(chunks, "content", "id").withColumnRenamed("id", "chunk_id")
+    want = retrieve.top(sparse.sparse_scores(q, d).withColumn("score", F.round("score", 9)), 4)
+    assert found(sparse.text_topk(asked, chunks, 4, stemmed=False, digits=9)) == found(want)
