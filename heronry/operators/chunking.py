@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import context_key, cosine, detect_language, split_sentences, trim
+from ..functions.text import context_key, detect_language, split_sentences, trim
 
 PREFIX_KEYS = ("title", "topic", "section", "kind", "lang")
 Chunker = Callable[[DataFrame], DataFrame]
@@ -26,6 +30,16 @@ def _numbered(docs: DataFrame, parts: Column) -> DataFrame:
     return rows.select(F.concat_ws(":", "id", "index").alias("id"), F.col("id").alias("document_id"), "content", "index", "metadata")
 
 
+def _of_parts(parts: Callable[[Column], Column]) -> Chunker:
+    """The chunker that cuts a text into an array of parts; it keeps the function that does."""
+
+    def run(docs: DataFrame) -> DataFrame:
+        return _numbered(docs, parts(F.col("content")))
+
+    run.parts = parts
+    return run
+
+
 def fixed(size: int = 800, overlap: int = 100) -> Chunker:
     """Slices of `size` characters, each starting `size - overlap` behind the one before; blank ones are skipped."""
     if overlap >= size:
@@ -35,7 +49,7 @@ def fixed(size: int = 800, overlap: int = 100) -> Chunker:
         at = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
         return F.filter(F.transform(at, lambda i: trim(F.substring(text, i + 1, size))), lambda c: F.length(c) > 0)
 
-    return lambda docs: _numbered(docs, parts(F.col("content")))
+    return _of_parts(parts)
 
 
 def pack(sentences: Column, target: int = 600, most: int = 1200) -> Column:
@@ -79,39 +93,88 @@ def sentences(target: int = 600, most: int = 1200) -> Chunker:
     def packed(column: pd.Series) -> pd.Series:
         return column.map(lambda s: [] if s is None else _pack(list(s), target, most))
 
-    return lambda docs: _numbered(docs, packed(split_sentences("content")))
+    return _of_parts(lambda text: packed(split_sentences(text)))
 
 
 def semantic(embed: Callable[[DataFrame, str, str], DataFrame], threshold: float = 0.65, most: int = 1500) -> Chunker:
     """Sentences packed until the next one's embedding is less alike than `threshold`, or the chunk would pass `most`."""
 
-    @F.pandas_udf("array<string>")
-    def packed(texts: pd.Series, cuts: pd.Series) -> pd.Series:
-        def fold(sentences_: list[str], cut: list[bool]) -> list[str]:
-            done, buffer, n = [], [], 0
-            for s, new in zip(sentences_, cut):
-                if buffer and (new or n + len(s) > most):
-                    done.append(" ".join(buffer))
-                    buffer, n = [], 0
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, buffer, n, index, head = None, [], 0, 0, None
+        for batch in batches:
+            at, texts, vectors = batch.column("at").to_pylist(), batch.column("sentence").to_pylist(), batch.column("vector")
+            near = _likeness(vectors if last is None else pa.concat_arrays([last, vectors]))
+            near = near if last is not None else np.append(np.nan, near)
+            done = []
+
+            def close():
+                nonlocal buffer, n, index
+                done.append((head, index, " ".join(buffer)))
+                buffer, n, index = [], 0, index + 1
+
+            for i, (place, s) in enumerate(zip(at, texts)):
+                if place == 0:
+                    if buffer:
+                        close()
+                    index, head = 0, batch.slice(i, 1).select(["id", "metadata"])
+                elif place != before + 1:
+                    raise ValueError("the embedder has changed the order of rows")
+                elif buffer and (near[i] < threshold or n + len(s) > most):
+                    close()
+                before = place
                 n = n + len(s) + 1 if buffer else len(s)
                 buffer.append(s)
-            return done + [" ".join(buffer)] * bool(buffer)
-
-        return pd.Series([fold(list(t), list(c)) for t, c in zip(texts, cuts)])
+            last = vectors[-1:] if batch.num_rows else last
+            yield from _told(done)
+        if buffer:
+            yield from _told([(head, index, " ".join(buffer))])
 
     def run(docs: DataFrame) -> DataFrame:
         docs = with_metadata(docs)
-        rows = docs.select("id", F.posexplode(split_sentences("content")).alias("at", "sentence"))
-        order = Window.partitionBy("id").orderBy("at")
-        rows = embed(rows, "sentence", "vector").withColumn("before", F.lag("vector").over(order))
-        cut = F.coalesce(cosine("before", "vector") < threshold, F.lit(False))
-        lists = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "sentence", cut.alias("cut")))).alias("all"))
-        joined = docs.join(lists, "id").withColumn("parts", packed(F.col("all.sentence"), F.col("all.cut")))
-        return _numbered(joined, F.col("parts"))
+        rows = docs.select("id", "metadata", F.posexplode(split_sentences("content")).alias("at", "sentence"))
+        # the sentences of a document stay where they are and in their order, so that nothing is shuffled
+        rows = embed(rows, "sentence", "vector").withColumn("vector", F.col("vector").cast("array<double>"))
+        kind = docs.select("id", "metadata").schema
+        schema = T.StructType([*kind, T.StructField("index", T.IntegerType()), T.StructField("content", T.StringType())])
+        out = rows.select("id", "metadata", "at", "sentence", "vector").mapInArrow(fold, schema)
+        return out.select(F.concat_ws(":", "id", "index").alias("id"), F.col("id").alias("document_id"), "content", "index", "metadata")
 
     return run
 
 
+def _told(done: list[tuple[pa.RecordBatch, int, str]]) -> Iterator[pa.RecordBatch]:
+    """One batch of chunks, each (id and metadata of its document, index, content)."""
+    if done:
+        heads = pa.Table.from_batches([d[0] for d in done]).combine_chunks().to_batches()[0]
+        yield pa.RecordBatch.from_arrays([*heads.columns, pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.string())], ["id", "metadata", "index", "content"])
+
+
+def _likeness(vectors: pa.ListArray) -> np.ndarray:
+    """cosine() of each vector with the next one, its sums in the same order; NaN where one is missing."""
+    size = pc.list_value_length(vectors)
+    if vectors.null_count or len(pc.unique(size)) > 1:
+        known = vectors.to_pylist()
+        out = np.full(max(len(known) - 1, 0), np.nan)
+        for i, (a, b) in enumerate(zip(known, known[1:])):
+            if a is not None and b is not None:
+                n = min(len(a), len(b))
+                out[i] = _cosines(np.array([a[:n]], np.float64), np.array([b[:n]], np.float64))[0]
+        return out
+    v = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+    return _cosines(v[:-1], v[1:])
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for d in range(x.shape[1]):
+            out += x[:, d] * y[:, d]
+        return out
+
+    norm = np.sqrt(dot(a, a)) * np.sqrt(dot(b, b))
+    return dot(a, b) / np.where(norm == 0, 1.0, norm)
+
+
 def prefix(id_: Column, metadata: Column) -> Column:
     """[id | title: .. | topic: .. | section: .. | kind: .. | lang: ..] and a line break; keys without a value are left out."""
     shown = [F.when(F.length(F.element_at(metadata, k)) > 0, F.concat(F.lit(f"{k}: "), F.element_at(metadata, k))) for k in PREFIX_KEYS]
@@ -142,6 +205,8 @@ def contextual(base: Chunker, provider: Callable[[list[str], list[str]], list[st
             yield pd.DataFrame({"key": pdf["key"], "context": said})
 
     def run(docs: DataFrame) -> DataFrame:
+        if cache is None and hasattr(base, "parts"):
+            return _contexts(docs, base.parts, provider, separator)
         chunks = base(docs)
         keyed = chunks.join(docs.select(F.col("id").alias("document_id"), F.col("content").alias("document")), "document_id")
         keyed = keyed.withColumn("key", context_key("document", "content"))
@@ -161,6 +226,42 @@ def contextual(base: Chunker, provider: Callable[[list[str], list[str]], list[st
     return run
 
 
+#: Chunks for which a provider is asked at once.
+ASKED = 10_000
+
+
+def _contexts(docs: DataFrame, parts: Callable[[Column], Column], provider: Callable[[list[str], list[str]], list[str]], separator: str) -> DataFrame:
+    """contextual() without a cache: documents of the same content meet in one task, one behind another, so that the provider is asked
+    once for each document and chunk, and only documents are shuffled, once."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[tuple[str, str], str | None] = {}
+        for batch in batches:
+            documents, lists = batch.column("content").to_pylist(), batch.column("parts").to_pylist()
+            known, pairs = dict(last), []
+            for d, own in zip(documents, lists):
+                for c in own or ():
+                    if (d, c) not in known:
+                        known[d, c] = None
+                        pairs.append((d, c))
+            for a in range(0, len(pairs), ASKED):
+                some = pairs[a : a + ASKED]
+                known.update(zip(some, provider([d for d, _ in some], [c for _, c in some]), strict=True))
+            said = pa.array([[known[d, c] for c in own or ()] for d, own in zip(documents, lists)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("metadata"), batch.column("parts"), said], ["id", "metadata", "parts", "said"])
+            if documents:
+                last = {(d, c): known[d, c] for d, own in zip(documents[-1:], lists[-1:]) for c in own or ()}
+
+    rows = with_metadata(docs).select("id", "metadata", "content", F.xxhash64("content").alias("__h"))
+    rows = rows.repartition("__h").sortWithinPartitions("__h", "content")
+    rows = rows.select("id", "metadata", "content", parts(F.col("content")).alias("parts"))
+    kind = rows.select("id", "metadata", "parts").schema
+    out = rows.mapInArrow(ask, T.StructType([*kind, T.StructField("said", T.ArrayType(T.StringType()))]))
+    said = lambda s: trim(F.coalesce(s, F.lit("")))
+    content = F.zip_with("parts", "said", lambda c, s: F.when(F.length(said(s)) > 0, F.concat(said(s), F.lit(separator), c)).otherwise(c))
+    return _numbered(out, content)
+
+
 def questions(base: Chunker, generate: Callable[[list[str]], list[list[str]]], form: Callable[[str, list[str]], str] | None = None) -> Chunker:
     """The chunks of `base` with generated questions behind them, trimmed and each once."""
 

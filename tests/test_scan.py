@@ -99,3 +99,22 @@ def test_sparse_products_of_texts(spark, chunks, asked):
     q, d = encoder.weights(asked, "query", "query_id"), encoder.weights(chunks, "content", "id").withColumnRenamed("id", "chunk_id")
     want = retrieve.top(sparse.sparse_scores(q, d).withColumn("score", F.round("score", 9)), 4)
     assert found(sparse.text_topk(asked, chunks, 4, stemmed=False, digits=9)) == found(want)
+
+
+def test_chunks_without_shuffles(spark, tmp_path):
+    said = f"{tmp_path}/said"
+
+    def provider(documents, chunks):
+        with open(said, "a") as f:
+            f.write("".join(f"{d[:2]} {c[:2]}\n" for d, c in zip(documents, chunks)))
+        return [None if c.startswith("x") else f" {len(d)} " for d, c in zip(documents, chunks)]
+
+    rows = [(i, t, {"k": str(i)}) for i, t in enumerate(["abcdefgh" * 2, "xyxyxyxy", "abcdefgh" * 2, "", None, "  "])]
+    docs = spark.createDataFrame(rows, "id long, content string, metadata map<string,string>").repartition(3)
+    out = chunking.contextual(chunking.fixed(8, 0), provider)(docs)
+    got = sorted((r["id"], r["content"], r["metadata"]["k"]) for r in out.collect())
+    assert got == [("0:0", "16\n\nabcdefgh", "0"), ("0:1", "16\n\nabcdefgh", "0"), ("1:0", "xyxyxyxy", "1"), ("2:0", "16\n\nabcdefgh", "2"), ("2:1", "16\n\nabcdefgh", "2")]
+    assert sorted(open(said).read().split("\n")[:-1]) == ["ab ab", "xy xy"]  # of equal documents and chunks one is asked for
+    texts = chunking.semantic(embedding.hash_embedder())(spark.createDataFrame([(i, "One two. One two three. Else.", {}) for i in range(5)], "id long, content string, metadata map<string,string>"))
+    assert sorted((r["id"], r["content"]) for r in texts.collect()) == sorted((f"{i}:{n}", c) for i in range(5) for n, c in enumerate(["One two. One two three.", "Else."]))
+    assert "Exchange" not in texts._jdf.queryExecution().executedPlan().toString()
