@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,8 @@ _SCRIPTS = (
     ("he", r"[\x{0590}-\x{05FF}]"),
     ("el", r"[\x{0370}-\x{03FF}]"),
 )
-_SHORT = r"(?U)(?<![A-Za-z0-9_])(Dr|Inc|Jr|Ltd|Mr|Mrs|Ms|Sr|St|e\.g|i\.e)\.\s"
+_ABBREVIATIONS = ("Dr", "Inc", "Jr", "Ltd", "Mr", "Mrs", "Ms", "Sr", "St", "e.g", "i.e")
+_SHORT = r"(?U)(?<![A-Za-z0-9_])(" + "|".join(a.replace(".", r"\.") for a in _ABBREVIATIONS) + r")\.\s"
 _INITIAL = r"(?U)(?<![A-Za-z0-9_])([A-Z])\.\s"
 _DOT = "<DOT>"
 
@@ -90,14 +91,19 @@ def _stem(token: str) -> str:
 def split_sentences(c: Column | str) -> Column:
     """Sentences: cut behind . ! ? where white space and a capital, quote or bracket follow; texts of one sentence at line breaks."""
     text = column(c)
-    kept = F.regexp_replace(F.regexp_replace(text, _SHORT, f"$1{_DOT} "), _INITIAL, f"$1{_DOT} ")
+    # the expression is looked for only in texts that may have one of them
+    some = reduce(lambda a, b: a | b, (F.contains(text, F.lit(f"{a}.")) for a in _ABBREVIATIONS))
+    kept = F.regexp_replace(F.when(some, F.regexp_replace(text, _SHORT, f"$1{_DOT} ")).otherwise(text), _INITIAL, f"$1{_DOT} ")
     parts = F.split(kept, r"(?U)(?<=[.!?])\s+(?=[A-Z\(\[\"'])")
     parts = _neat(F.transform(parts, lambda p: F.replace(p, F.lit(_DOT), F.lit("."))))
-    return F.when(F.size(parts) <= 1, _neat(F.split(text, r"\n+"))).otherwise(parts)
+    # bound to a variable, or the parts are worked out once for their number and again for themselves
+    return F.element_at(F.transform(F.array(parts), lambda p: F.when(F.size(p) <= 1, _neat(F.split(text, r"\n+"))).otherwise(p)), 1)
 
 
 def _neat(parts: Column) -> Column:
-    return F.filter(F.transform(parts, trim), lambda p: F.length(p) > 0)
+    # between two visible ASCII characters there is nothing to trim
+    bare = lambda p: F.ascii(F.substring(p, 1, 1)).between(33, 126) & F.ascii(F.substring(p, -1, 1)).between(33, 126)
+    return F.filter(F.transform(parts, lambda p: F.when(bare(p), p).otherwise(trim(p))), lambda p: F.length(p) > 0)
 
 
 def detect_language(c: Column | str) -> Column:

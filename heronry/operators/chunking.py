@@ -100,39 +100,38 @@ def semantic(embed: Callable[[DataFrame, str, str], DataFrame], threshold: float
     """Sentences packed until the next one's embedding is less alike than `threshold`, or the chunk would pass `most`."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, buffer, n, index, head = None, [], 0, 0, None
+        last, buffer, n, index, before, head = None, [], 0, 0, -1, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             at, texts, vectors = batch.column("at").to_pylist(), batch.column("sentence").to_pylist(), batch.column("vector")
             near = _likeness(vectors if last is None else pa.concat_arrays([last, vectors]))
-            near = near if last is not None else np.append(np.nan, near)
-            done = []
-
-            def close():
-                nonlocal buffer, n, index
-                done.append((head, index, " ".join(buffer)))
-                buffer, n, index = [], 0, index + 1
-
-            for i, (place, s) in enumerate(zip(at, texts)):
-                if place == 0:
-                    if buffer:
-                        close()
-                    index, head = 0, batch.slice(i, 1).select(["id", "metadata"])
-                elif place != before + 1:
+            near = (near if last is not None else np.append(np.nan, near)).tolist()
+            # the row of the document's first sentence, of this batch or one before it
+            heads = batch.select(["id", "metadata"])
+            heads, own, first = (heads, 0, 0) if head is None else (pa.concat_batches([head, heads]), 0, 1)
+            done: list[tuple[int, int, str]] = []
+            for i, (place, s, alike) in enumerate(zip(at, texts, near)):
+                if place and place != before + 1:
                     raise ValueError("the embedder has changed the order of rows")
-                elif buffer and (near[i] < threshold or n + len(s) > most):
-                    close()
+                if buffer and (place == 0 or alike < threshold or n + len(s) > most):
+                    done.append((own, index, " ".join(buffer)))
+                    buffer, n, index = [], 0, index + 1
+                if place == 0:
+                    own, index = first + i, 0
                 before = place
                 n = n + len(s) + 1 if buffer else len(s)
                 buffer.append(s)
-            last = vectors[-1:] if batch.num_rows else last
-            yield from _told(done)
+            last, head = vectors[-1:], heads.slice(own, 1)
+            yield _told(heads, done)
         if buffer:
-            yield from _told([(head, index, " ".join(buffer))])
+            yield _told(head, [(0, index, " ".join(buffer))])
 
     def run(docs: DataFrame) -> DataFrame:
         docs = with_metadata(docs)
         rows = docs.select("id", "metadata", F.posexplode(split_sentences("content")).alias("at", "sentence"))
-        # the sentences of a document stay where they are and in their order, so that nothing is shuffled
+        # the sentences of a document stay where they are and in their order, so that nothing is shuffled; the first one has its metadata
+        rows = rows.withColumn("metadata", F.when(F.col("at") == 0, F.col("metadata")))
         rows = embed(rows, "sentence", "vector").withColumn("vector", F.col("vector").cast("array<double>"))
         kind = docs.select("id", "metadata").schema
         schema = T.StructType([*kind, T.StructField("index", T.IntegerType()), T.StructField("content", T.StringType())])
@@ -142,11 +141,10 @@ def semantic(embed: Callable[[DataFrame, str, str], DataFrame], threshold: float
     return run
 
 
-def _told(done: list[tuple[pa.RecordBatch, int, str]]) -> Iterator[pa.RecordBatch]:
-    """One batch of chunks, each (id and metadata of its document, index, content)."""
-    if done:
-        heads = pa.Table.from_batches([d[0] for d in done]).combine_chunks().to_batches()[0]
-        yield pa.RecordBatch.from_arrays([*heads.columns, pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.string())], ["id", "metadata", "index", "content"])
+def _told(heads: pa.RecordBatch, done: list[tuple[int, int, str]]) -> pa.RecordBatch:
+    """Chunks, each (the row of its document among heads, index, content)."""
+    own = heads.take(pa.array([d[0] for d in done], pa.int64()))
+    return pa.RecordBatch.from_arrays([*own.columns, pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.string())], ["id", "metadata", "index", "content"])
 
 
 def _likeness(vectors: pa.ListArray) -> np.ndarray:

@@ -118,3 +118,21 @@ def test_chunks_without_shuffles(spark, tmp_path):
     texts = chunking.semantic(embedding.hash_embedder())(spark.createDataFrame([(i, "One two. One two three. Else.", {}) for i in range(5)], "id long, content string, metadata map<string,string>"))
     assert sorted((r["id"], r["content"]) for r in texts.collect()) == sorted((f"{i}:{n}", c) for i in range(5) for n, c in enumerate(["One two. One two three.", "Else."]))
     assert "Exchange" not in texts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_across_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(i, "One two. One two three. Else." + " A b." * i, {"k": str(i)}) for i in range(6)], "id long, content string, metadata map<string,string>").coalesce(1)
+    chunker = chunking.semantic(embedding.hash_embedder())
+    want = sorted((r["id"], r["content"], r["metadata"]["k"]) for r in chunker(docs).collect())
+    assert {w[0] for w in want} >= {"0:0", "0:1", "5:2"} and all(w[0].split(":")[0] == w[2] for w in want)
+    held = spark.conf.get(key)
+    try:
+        for n in (1, 2, 5):
+            spark.conf.set(key, n)
+            assert sorted((r["id"], r["content"], r["metadata"]["k"]) for r in chunker(docs).collect()) == want
+    finally:
+        spark.conf.set(key, held)
+    shuffled = lambda df, text, vector: embedding.hash_embedder()(df.orderBy(F.desc("at")), text, vector)
+    with pytest.raises(Exception, match="changed the order of rows"):
+        chunking.semantic(shuffled)(docs).collect()
