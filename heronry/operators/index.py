@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize_advanced
@@ -27,18 +30,38 @@ class Index:
         return tokenize_advanced(df, text, column, self.stemmed, self.drop_stopwords)
 
 
+def counted(tokens: Column) -> Column:
+    """The terms of each row's tokens, each with its number."""
+
+    @F.arrow_udf("array<struct<term:string,tf:bigint>>")
+    def counts(own: pa.Array) -> pa.Array:
+        flat = own.flatten().dictionary_encode()
+        size = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
+        many = max(len(flat.dictionary), 1)
+        key, tf = np.unique(np.repeat(np.arange(len(own)), size) * many + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        at = np.append(0, np.cumsum(np.bincount(key // many, minlength=len(own))))
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([flat.dictionary.take(pa.array(key % many)), pa.array(tf, pa.int64())], ["term", "tf"]))
+
+    return counts(tokens)
+
+
 def idf(n, df):
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def build(chunks: DataFrame, stemmed: bool = False, drop_stopwords: bool = False, content: str = "content", chunk_id: str = "id", keep: Callable[[DataFrame], DataFrame] | None = None) -> Index:
+def build(chunks: DataFrame, stemmed: bool = False, drop_stopwords: bool = False, content: str = "content", chunk_id: str = "id", keep: Callable[[DataFrame], DataFrame] | None = None, unique: bool = False) -> Index:
     """Postings and statistics of all chunks; those without a token count in n and avgdl, too.
 
+    unique: no id of a chunk repeats, so that its terms are counted where it lies and nothing is shuffled.
+
     keep: what makes a table of the postings, from which terms and statistics are then read, so that chunks are tokenized once.
     """
     tokens = tokenize_advanced(chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(content).alias("text")), "text", "tokens", stemmed, drop_stopwords)
     terms = tokens.select("chunk_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
     postings = terms.groupBy("term", "chunk_id", "doc_len").agg(F.count("*").alias("tf"))
+    if unique:
+        each = tokens.select("chunk_id", F.size("tokens").alias("doc_len"), F.explode(counted(F.col("tokens"))).alias("c"))
+        postings = each.select(F.col("c.term").alias("term"), "chunk_id", "doc_len", F.col("c.tf").alias("tf"))
     if keep:
         postings = keep(postings)
     return of_postings(chunks, postings, stemmed, drop_stopwords, bool(keep))

@@ -83,14 +83,14 @@ class Engine:
         """Chunks of documents (id, content, metadata), with their language and embedding."""
         return self.embedder(chunking.tagged(self.chunker(docs), docs), "content", "embedding")
 
-    def _built(self, chunks: DataFrame) -> Index:
-        index = build(chunks, self.stemmed, self.drop_stopwords, keep=self.keep)
+    def _built(self, chunks: DataFrame, unique: bool = False) -> Index:
+        index = build(chunks, self.stemmed, self.drop_stopwords, keep=self.keep, unique=unique)
         index.terms, index.stats = self.keep(index.terms), self.keep(index.stats)
         return index
 
     def _replace(self, chunks: DataFrame) -> None:
         """The index becomes one of `chunks`, a kept table; what the old one held is freed."""
-        old, self.data = self.data, self._built(chunks)
+        old, self.data = self.data, self._built(chunks, unique=True)  # of documents that repeat an id one stays
         if old:
             _forget(old)
 

@@ -136,3 +136,9 @@ def test_documents_across_batches(spark):
     shuffled = lambda df, text, vector: embedding.hash_embedder()(df.orderBy(F.desc("at")), text, vector)
     with pytest.raises(Exception, match="changed the order of rows"):
         chunking.semantic(shuffled)(docs).collect()
+
+
+def test_postings_of_unique_chunks(spark, chunks):
+    told = lambda i: sorted(map(tuple, i.postings.select("term", "chunk_id", "doc_len", "tf").collect()))
+    one = index.build(chunks, unique=True)
+    assert told(one) == told(index.build(chunks)) and "Exchange" not in one.postings._jdf.queryExecution().executedPlan().toString()
